@@ -87,18 +87,20 @@ def rank_rerank_hits(t):
 REPORT_SQL = f"""
 WITH {PAIRS_SQL},
 top AS (SELECT * FROM ranked WHERE rank <= 10 AND score >= {TEST_THRESHOLD}),
-h AS (SELECT t.query_id, t.rank, split_part(d.text, chr(10), 1) AS title, d.source AS url, t.score,
+h AS (SELECT t.query_id, t.rank, coalesce(split_part(d.text, chr(10), 1), '') AS title,
+             coalesce(d.source, '') AS url, t.score,
              {tokens('d.text')} AS tokens
-      FROM top t JOIN documents d ON d.doc_id = t.vec_id)
+      FROM top t JOIN documents d ON d.doc_id = t.vec_id),
+hp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM h)
 SELECT query_id, count(*) AS n_docs, sum(tokens) AS tokens_used,
   'Fecha de ejecución: {STAMP}  ' || chr(10) || 'Documentos encontrados: ' || count(*) || '  ' || chr(10) ||
   'Número de tokens usados: ' || sum(tokens) || '  ' || chr(10) ||
-  coalesce(string_agg(CASE WHEN rank <= 6 THEN
+  coalesce(string_agg(CASE WHEN pos <= 6 THEN
     '  ' || chr(10) || '  ' || chr(10) || 'Fecha:  ' || chr(9) || '  ' || chr(10) ||
     'Título:  ' || chr(9) || title || '  ' || chr(10) || 'URL:  ' || chr(9) || url || '  ' || chr(10) ||
     'Puntuación:  ' || chr(9) || CAST(trunc(100 * score + 10) AS INTEGER) || '%  ' || chr(10) END,
     '' ORDER BY rank), '') AS report
-FROM h GROUP BY query_id
+FROM hp GROUP BY query_id
 """
 
 
