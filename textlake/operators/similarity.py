@@ -146,9 +146,12 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
         n_v = v.count()
         nq_blocks = max(1, math.ceil(q_bytes / params.query_block_bytes))
         nv_blocks = max(1, math.ceil(n_v * dim * 8 / params.vector_block_bytes))
-        qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq_blocks))) \
+        # Block ids must have one type on both sides: cogroup hash-partitions
+        # each side by its own key values, and a long and an int of the same
+        # value hash differently.
+        qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq_blocks)).cast("int")) \
               .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv_blocks - 1))))
-        vb = v.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv_blocks))) \
+        vb = v.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv_blocks)).cast("int")) \
               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq_blocks - 1))))
         cand = qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")) \
                  .applyInPandas(_block_scorer(k, exclude_same_id), CANDIDATES)
