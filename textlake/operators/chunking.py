@@ -48,7 +48,11 @@ def with_word_windows(df: DataFrame, text: str, n: int, name: str = "windows") -
 def explode_chunks(df: DataFrame, chunks: Column, key: str, keep: list[str]) -> DataFrame:
     """One row per chunk, metadata copied, ``chunk_no`` from 1,
     ``text_id = {key}_chunk{n}``."""
-    out = df.select(*keep, F.posexplode(chunks).alias("_pos", "chunk"))
+    # posexplode_outer + an explicit filter: with plain posexplode the
+    # optimizer infers ``size(chunks) > 0`` below the generator and inlines
+    # the whole chunk expression there, evaluating it twice.
+    out = df.select(*keep, F.posexplode_outer(chunks).alias("_pos", "chunk")) \
+        .where(F.col("chunk").isNotNull())
     return (out.withColumn("chunk_no", (F.col("_pos") + 1).cast("int"))
                .withColumn("text_id", F.concat(F.col(key).cast("string"), F.lit("_chunk"),
                                                F.col("chunk_no").cast("string")))
