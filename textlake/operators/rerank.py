@@ -30,12 +30,20 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TERM_PATTERN), 0)
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, term, tf, dl`` for every document."""
+def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+             vocabulary: DataFrame | None = None) -> DataFrame:
+    """``doc_id, term, tf, dl``.
+
+    With a ``vocabulary`` (the query terms, broadcast) tokens are filtered
+    right after the explode, before any shuffle: only matching terms are
+    counted, so the aggregation volume follows the queries, not the corpus.
+    """
     d = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("_t")) \
         .withColumn("dl", F.size("_t"))
-    return d.select("doc_id", "dl", F.explode("_t").alias("term")) \
-        .groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    tok = d.select("doc_id", "dl", F.explode("_t").alias("term"))
+    if vocabulary is not None:
+        tok = tok.join(vocabulary, "term", "left_semi")
+    return tok.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -52,17 +60,24 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
 
     ``candidates`` (``query_id, doc_id``) restricts scoring to retrieved
     pairs (rerank); corpus statistics always come from all of ``docs``.
+    The query-term table is bounded by the number of queries; when that
+    count is known it is broadcast explicitly, otherwise the optimizer's
+    size-checked broadcast applies.
     """
-    post = postings(docs, doc_id, doc_text)
+    qt = query_terms(queries, query_id, query_text)
+    bound = None if n_queries is None else n_queries * 256
+    vocab = bounded_broadcast(qt.select("term").distinct(), bound)
+    # The filtered postings feed two branches (document frequency and the
+    # scores): materialise them once in the shared checkpoint folder instead
+    # of scanning and tokenising the corpus twice. This also cuts lineage, so
+    # a lost executor does not send the scoring back to the corpus scan.
+    post = postings(docs, doc_id, doc_text, vocab).checkpoint(eager=True)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     avgdl = docs.select(F.avg(F.size(terms(F.col(doc_text))))).scalar()
-    qt = query_terms(queries, query_id, query_text)
-    bound = None if n_queries is None else n_queries * 64
-    qt_b = bounded_broadcast(qt, bound)
-    wanted = bounded_broadcast(qt.select("term").distinct(), bound)
-    df = post.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # document frequency of the query terms (postings hold one row per doc)
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    m = post.join(qt_b, "term")
+    m = post.join(bounded_broadcast(qt, bound), "term")
     if candidates is not None:
         m = m.join(bounded_broadcast(candidates.select("query_id", "doc_id"), bound),
                    ["query_id", "doc_id"], "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions.tokens import token_count
-from textlake.operators.joins import pair_with
+from textlake.operators.joins import bounded_broadcast, pair_with
 from textlake.operators.similarity import threshold, top_k_similar
 from textlake.operators.windows import budget_cut
 from textlake.params import Params
@@ -31,11 +31,19 @@ def retrieve(queries: DataFrame, store: DataFrame, params: Params = Params(), *,
 
 def with_context(hits: DataFrame, docs: DataFrame, doc_key: str, text: str,
                  n_queries: int | None, k: int) -> DataFrame:
-    """Attach each hit's text and its token count (only hit rows are counted)."""
+    """Attach each hit's text and its token count.
+
+    Token counts are computed once per *distinct* hit document: the
+    documents are first reduced to the hit ids (semi join against the
+    broadcast id set, bounded by queries x k), counted, then paired with the
+    hits. Neither the corpus nor the hit list is tokenised more than needed.
+    """
     bound = None if n_queries is None else n_queries * k
-    joined = pair_with(hits, docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("context")),
-                       "vec_id", "_doc", hits_bound=bound)
-    return joined.drop("_doc").withColumn("tokens", token_count(F.col("context")))
+    ids = bounded_broadcast(hits.select(F.col("vec_id").alias("_doc")).distinct(), bound)
+    texts = docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("context")) \
+        .join(ids, "_doc", "left_semi") \
+        .withColumn("tokens", token_count(F.col("context")))
+    return pair_with(hits, texts, "vec_id", "_doc", hits_bound=bound).drop("_doc")
 
 
 def assemble(ctx: DataFrame, limit: int, sep: str = "\n\n") -> DataFrame:

@@ -9,7 +9,7 @@ from textlake.operators import rerank as R
 from textlake.params import Params
 from textlake.plans.prompts import context_report, conversation_prompts
 from textlake.plans.qa import answer_spans, examples_from_turns, split_label
-from textlake.plans.retrieval import retrieve
+from textlake.plans.retrieval import retrieve, with_context
 from textlake.registry.base import register
 from textlake.registry.retrieval import PAIRS_SQL, TEST_THRESHOLD
 from textlake.registry.sqlparts import tokens
@@ -50,7 +50,7 @@ SELECT query_id, doc_id, score, rank FROM (
 def rank_bm25_top10(t):
     """K6: BM25 of every benchmark query against the whole corpus, top 10."""
     q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    s = R.bm25(q, t.documents, n_queries=None).withColumn("score", F.round("score", 6))
+    s = R.bm25(q, t.documents, n_queries=t.benchmark.count()).withColumn("score", F.round("score", 6))
     return R.top_n(s, 10).select("query_id", "doc_id", "score", "rank")
 
 
@@ -109,9 +109,11 @@ def rag_context_report(t):
     """Per query summary and first 6 hits."""
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     hits = retrieve(q, t.embeddings, Params(), min_score=TEST_THRESHOLD, exclude_same_id=True)
-    d = t.documents.select(F.col("doc_id").alias("vec_id"), X.first_line(F.col("text")).alias("title"),
-                           F.col("source").alias("url"), token_count(F.col("text")).alias("tokens"))
-    h = hits.join(d, "vec_id").withColumn("date", F.lit(None).cast("string"))
+    ctx = with_context(hits, t.documents, "doc_id", "text", q.count(), Params().top_k)
+    meta = t.documents.select(F.col("doc_id").alias("vec_id"), X.first_line(F.col("text")).alias("title"),
+                              F.col("source").alias("url"))
+    h = ctx.join(meta.join(F.broadcast(hits.select("vec_id").distinct()), "vec_id", "left_semi"), "vec_id") \
+        .withColumn("date", F.lit(None).cast("string"))
     return context_report(h, STAMP)
 
 
