@@ -82,21 +82,34 @@ def _score_block(vids: np.ndarray, vmat: np.ndarray, qids: np.ndarray, qmat: np.
     return pd.concat(out, ignore_index=True)
 
 
-def _broadcast_scorer(bq, k: int, exclude_same_id: bool):
+def _broadcast_scorer(bq, k: int, dim: int, exclude_same_id: bool):
+    """``mapInArrow`` kernel: each Arrow batch's flat float buffer is reshaped
+    to an (n, dim) matrix without per-row Python objects."""
+    import pyarrow as pa
+
     def run(batches):
         qids, qmat = bq.value
         acc = None
-        for pdf in batches:
-            vmat, ok = _unit_rows(pdf["vec"].tolist())
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            vids = rb.column("vid").to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = rb.column("vec").flatten().to_numpy(zero_copy_only=False)
+            vmat = flat.astype(np.float64).reshape(rb.num_rows, dim)
+            n = np.linalg.norm(vmat, axis=1)
+            ok = n > 0
             if not ok.any():
                 continue
-            cand = _score_block(pdf["vid"].to_numpy(dtype=np.int64)[ok], vmat[ok], qids, qmat, k,
-                                exclude_same_id)
+            vmat = vmat[ok] / n[ok, None]
+            cand = _score_block(vids[ok], vmat, qids, qmat, k, exclude_same_id)
             acc = cand if acc is None else pd.concat([acc, cand], ignore_index=True)
             if len(acc) > 4 * k * max(len(qids), 1):
                 acc = _compact(acc, k)
         if acc is not None and len(acc):
-            yield _compact(acc, k)
+            out = _compact(acc, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out["query_id"].to_numpy(np.int64)), pa.array(out["vec_id"].to_numpy(np.int64)),
+                 pa.array(out["score"].to_numpy(np.float64))], names=["query_id", "vec_id", "score"])
     return run
 
 
@@ -141,7 +154,7 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
         qmat, ok = _unit_rows(pdf["qvec"].tolist())
         qids = pdf["qid"].to_numpy(dtype=np.int64)
         bq = spark.sparkContext.broadcast((qids[ok], qmat[ok]) if len(qids) else (qids, qmat))
-        cand = v.mapInPandas(_broadcast_scorer(bq, k, exclude_same_id), CANDIDATES)
+        cand = v.mapInArrow(_broadcast_scorer(bq, k, dim, exclude_same_id), CANDIDATES)
     else:
         n_v = v.count()
         nq_blocks = max(1, math.ceil(q_bytes / params.query_block_bytes))
