@@ -37,18 +37,22 @@ def terms(c: Column) -> Column:
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              vocabulary: DataFrame | None = None) -> DataFrame:
-    """``doc_id, term, tf, dl``.
+    """``doc_id, dl, term, tf``.
 
-    With a ``vocabulary`` (the query terms, broadcast) tokens are filtered
-    right after the explode, before any shuffle: only matching terms are
-    counted, so the aggregation volume follows the queries, not the corpus.
+    With a ``vocabulary`` (the query terms, broadcast) every term outside it
+    becomes NULL right after the explode, so partial aggregation folds all
+    of a document's other tokens into one ``term = NULL`` row: the table
+    holds the postings of the query terms plus one length row per document,
+    and the corpus statistics need no second tokenisation.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("_t")) \
         .withColumn("dl", F.size("_t"))
-    tok = d.select("doc_id", "dl", F.explode("_t").alias("term"))
+    tok = d.select("doc_id", "dl", F.explode_outer("_t").alias("term"))
     if vocabulary is not None:
-        tok = tok.join(vocabulary, "term", "left_semi")
-    return tok.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        v = vocabulary.select(F.col("term").alias("_v"))
+        tok = tok.join(v, F.col("term") == F.col("_v"), "left") \
+            .withColumn("term", F.when(F.col("_v").isNotNull(), F.col("term"))).drop("_v")
+    return tok.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -67,25 +71,30 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     pairs (rerank); corpus statistics always come from all of ``docs``.
     The query-term table is bounded by the number of queries; when that
     count is known it is broadcast explicitly, otherwise the optimizer's
-    size-checked broadcast applies.
+    size-checked broadcast applies. ``doc_id`` is a key of ``docs``.
     """
     qt = query_terms(queries, query_id, query_text)
     bound = None if n_queries is None else n_queries * 256
     vocab = bounded_broadcast(qt.select("term").distinct(), bound)
-    # The filtered postings feed two branches (document frequency and the
-    # scores): materialise them once in the shared checkpoint folder instead
-    # of scanning and tokenising the corpus twice. This also cuts lineage, so
-    # a lost executor does not send the scoring back to the corpus scan.
-    post = postings(docs, doc_id, doc_text, vocab).checkpoint(eager=True)
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    avgdl = docs.select(F.avg(F.size(terms(F.col(doc_text))))).scalar()
-    # document frequency of the query terms (postings hold one row per doc)
+    # Materialised once in the shared checkpoint folder: it feeds the
+    # statistics, the document frequencies and the scores, and the lineage
+    # back to the corpus scan is cut.
+    table = postings(docs, doc_id, doc_text, vocab).checkpoint(eager=True)
+    lengths = table.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    n_docs = lengths.select(F.count(F.lit(1))).scalar()
+    avgdl = lengths.select(F.avg("dl")).scalar()
+    post = table.where(F.col("term").isNotNull())
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    m = post.join(bounded_broadcast(qt, bound), "term")
-    if candidates is not None:
-        m = m.join(bounded_broadcast(candidates.select("query_id", "doc_id"), bound),
-                   ["query_id", "doc_id"], "left_semi")
+    if candidates is None:
+        # term-at-a-time over the whole corpus: postings x query terms
+        m = post.join(bounded_broadcast(qt, bound), "term")
+    else:
+        # rerank: start from the retrieved pairs (queries x k), so a term
+        # shared by many queries never multiplies the postings of all docs
+        pairs = bounded_broadcast(candidates.select("query_id", "doc_id"), bound)
+        m = post.join(pairs, "doc_id") \
+                .join(bounded_broadcast(qt, bound), ["query_id", "term"], "left_semi")
     m = m.join(df, "term")
     part = idf * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))

@@ -20,13 +20,19 @@ def retrieve(queries: DataFrame, store: DataFrame, params: Params = Params(), *,
              k: int | None = None, min_score: float | None = None,
              query_id: str = "query_id", query_vec: str = "embedding",
              vec_id: str = "vec_id", vec: str = "embedding",
-             exclude_same_id: bool = False) -> DataFrame:
-    """Top-k then score threshold (the threshold never widens k)."""
+             exclude_same_id: bool = False, materialize: bool = False) -> DataFrame:
+    """Top-k then score threshold (the threshold never widens k).
+
+    ``materialize`` writes the hit table (queries x k rows at most) to the
+    shared checkpoint folder once, for plans that read it several times;
+    it also cuts the lineage back to the vector scan.
+    """
     k = params.top_k if k is None else k
     hits = top_k_similar(queries, store, k, query_id=query_id, query_vec=query_vec,
                          vec_id=vec_id, vec=vec, exclude_same_id=exclude_same_id,
                          params=params)
-    return threshold(hits, params.score_threshold if min_score is None else min_score)
+    hits = threshold(hits, params.score_threshold if min_score is None else min_score)
+    return hits.checkpoint(eager=True) if materialize else hits
 
 
 def with_context(hits: DataFrame, docs: DataFrame, doc_key: str, text: str,
@@ -41,8 +47,13 @@ def with_context(hits: DataFrame, docs: DataFrame, doc_key: str, text: str,
     bound = None if n_queries is None else n_queries * k
     ids = bounded_broadcast(hits.select(F.col("vec_id").alias("_doc")).distinct(), bound)
     texts = docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("context")) \
-        .join(ids, "_doc", "left_semi") \
-        .withColumn("tokens", token_count(F.col("context")))
+        .join(ids, "_doc", "left_semi")
+    if bound is not None:
+        # The hit documents are few (at most queries x k) but often sit in a
+        # handful of files; spreading them before the per-row tokenisation
+        # is a shuffle of a bounded set, not of the corpus.
+        texts = texts.repartition("_doc")
+    texts = texts.withColumn("tokens", token_count(F.col("context")))
     return pair_with(hits, texts, "vec_id", "_doc", hits_bound=bound).drop("_doc")
 
 
@@ -62,6 +73,7 @@ def answer_contexts(queries: DataFrame, store: DataFrame, docs: DataFrame,
                     text: str = "text") -> DataFrame:
     """Flagship: for every query, the budgeted context block in rank order."""
     n_q = queries.count()
-    hits = retrieve(queries, store, params, min_score=min_score, exclude_same_id=exclude_same_id)
+    hits = retrieve(queries, store, params, min_score=min_score, exclude_same_id=exclude_same_id,
+                    materialize=True)
     ctx = with_context(hits, docs, doc_key, text, n_q, params.top_k)
     return assemble(ctx, params.token_budget)

@@ -73,12 +73,13 @@ def rank_rerank_hits(t):
     """Vector hits reranked by BM25 of the query document's
     title line against each hit's text; position 0 is best."""
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = retrieve(q, t.embeddings, Params(), min_score=-2.0, exclude_same_id=True)
+    hits = retrieve(q, t.embeddings, Params(), min_score=-2.0, exclude_same_id=True, materialize=True)
     qtext = t.documents.join(hits.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id",
                              "left_semi") \
         .select(F.col("doc_id").alias("query_id"), X.first_line(F.col("text")).alias("text"))
     cand = hits.select("query_id", F.col("vec_id").alias("doc_id"))
-    s = R.bm25(qtext, t.documents, candidates=cand).withColumn("score", F.round("score", 6))
+    s = R.bm25(qtext, t.documents, candidates=cand, n_queries=q.count()) \
+        .withColumn("score", F.round("score", 6))
     out = R.rerank(hits.select("query_id", "vec_id", "rank"), s, Params().rerank_top_n)
     return out.select("query_id", "vec_id", "rank", "rerank_score",
                       F.col("rank_pos").cast("long").alias("rank_pos"))
@@ -108,7 +109,8 @@ FROM hp GROUP BY query_id
 def rag_context_report(t):
     """Per query summary and first 6 hits."""
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    hits = retrieve(q, t.embeddings, Params(), min_score=TEST_THRESHOLD, exclude_same_id=True)
+    hits = retrieve(q, t.embeddings, Params(), min_score=TEST_THRESHOLD, exclude_same_id=True,
+                    materialize=True)
     ctx = with_context(hits, t.documents, "doc_id", "text", q.count(), Params().top_k)
     meta = t.documents.select(F.col("doc_id").alias("vec_id"), X.first_line(F.col("text")).alias("title"),
                               F.col("source").alias("url"))
