@@ -134,3 +134,36 @@ def score_pairs_with(pairs: DataFrame, scorer, query_text: str = "query_text",
         return pd.Series(scorer(q.tolist(), d.tolist()), dtype="float64")
 
     return pairs.withColumn("score", _score(F.col(query_text), F.col(doc_text)))
+
+
+def expand_queries(queries: DataFrame, docs: DataFrame, *, k: int = 3, n_terms: int = 5,
+                   query_id: str = "query_id", query_text: str = "text",
+                   doc_id: str = "doc_id", doc_text: str = "text",
+                   n_queries: int | None = None) -> DataFrame:
+    """K8: pseudo-relevance feedback, ``query_id, expansion``.
+
+    The ``n_terms`` most frequent terms of each query's top-``k`` BM25
+    documents that are not already query terms (ties by term) are appended
+    as ``query + ': ' + terms``. Only the top documents (queries x k, a
+    bounded set) are tokenised again.
+    """
+    scored = bm25(queries, docs, query_id=query_id, query_text=query_text, doc_id=doc_id,
+                  doc_text=doc_text, n_queries=n_queries).withColumn("score", F.round("score", 6))
+    top = top_n(scored, k).select("query_id", "doc_id")
+    bound = None if n_queries is None else n_queries * k
+    top_b = bounded_broadcast(top, bound)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_x")) \
+        .join(bounded_broadcast(top.select("doc_id").distinct(), bound), "doc_id", "left_semi")
+    tok = texts.select("doc_id", F.explode(terms(F.col("_x"))).alias("term")).join(top_b, "doc_id")
+    counts = tok.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    qt = query_terms(queries, query_id, query_text)
+    fresh = counts.join(qt, ["query_id", "term"], "left_anti")
+    w = Window.partitionBy("query_id").orderBy(F.desc("n"), F.asc("term"))
+    best = fresh.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_terms)
+    arr = F.array_sort(F.collect_list(F.struct("_r", "term")))
+    extra = best.groupBy("query_id").agg(F.array_join(F.transform(arr, lambda x: x["term"]), " ")
+                                         .alias("_extra"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("_q"))
+    return q.join(extra, "query_id", "left").select(
+        "query_id", F.when(F.col("_extra").isNull(), F.col("_q"))
+        .otherwise(F.concat(F.col("_q"), F.lit(": "), F.col("_extra"))).alias("expansion"))
