@@ -79,3 +79,35 @@ def test_plan_has_no_cross_join(spark):
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     plan = top_k_similar(q, e, 5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_approx_top_k(spark):
+    from textlake.operators.similarity import approx_top_k
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id): r.score
+             for r in top_k_similar(q, e, 5, exclude_same_id=True).collect()}
+    # no hyperplanes: one bucket per table, the exact answer
+    same = approx_top_k(q, e, 5, n_tables=1, n_bits=0, exclude_same_id=True)
+    assert {(r.query_id, r.vec_id) for r in same.collect()} == set(exact)
+    # approximate: every score is an exact cosine, and recall is reported
+    got = approx_top_k(q, e, 5, n_tables=8, n_bits=2, exclude_same_id=True).collect()
+    rows = {r.vec_id: r.embedding for r in e.collect()}
+    for r in got:
+        a, b = np.asarray(rows[r.query_id], float), np.asarray(rows[r.vec_id], float)
+        assert abs(r.score - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-9
+    recall = len({(r.query_id, r.vec_id) for r in got} & set(exact)) / len(exact)
+    assert recall > 0.5
+
+
+def test_approx_finds_planted_near_duplicates(spark):
+    from textlake.operators.similarity import approx_top_k
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((200, 32))
+    near = base[:20] + 0.01 * rng.standard_normal((20, 32))
+    store = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)],
+                                  "vec_id long, embedding array<float>")
+    qs = spark.createDataFrame([(1000 + i, [float(x) for x in v]) for i, v in enumerate(near)],
+                               "query_id long, embedding array<float>")
+    got = {r.query_id: r.vec_id for r in approx_top_k(qs, store, 1, n_tables=4, n_bits=6).collect()}
+    assert got == {1000 + i: i for i in range(20)}

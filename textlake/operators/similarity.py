@@ -185,3 +185,75 @@ def cosine_pairs(left: DataFrame, right: DataFrame, on: Column | str,
     """Score rows already paired by an equi-join key (no pair generation)."""
     from textlake.functions.vectors import cosine
     return left.join(right, on).withColumn("score", cosine(F.col(a), F.col(b)))
+
+
+SIGNED = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("vec", T.ArrayType(T.FloatType())),
+    T.StructField("buckets", T.ArrayType(T.IntegerType())),
+])
+
+
+def _signer(bplanes, n_tables: int, n_bits: int, dim: int):
+    """Random-hyperplane signature per table, from each Arrow batch at once."""
+    import pyarrow as pa
+
+    def run(batches):
+        planes = bplanes.value  # (n_tables * n_bits, dim)
+        weights = (1 << np.arange(n_bits)).astype(np.int64)
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            flat = rb.column("vec").flatten().to_numpy(zero_copy_only=False)
+            mat = flat.astype(np.float64).reshape(rb.num_rows, dim)
+            bits = (mat @ planes.T > 0).reshape(rb.num_rows, n_tables, n_bits)
+            codes = (bits * weights).sum(axis=2).astype(np.int32)
+            buckets = pa.array(list(codes), type=pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("vec"), buckets],
+                                             names=["id", "vec", "buckets"])
+    return run
+
+
+def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: int = 8,
+                 n_bits: int = 4, seed: int = 17, query_id: str = "query_id",
+                 query_vec: str = "embedding", vec_id: str = "vec_id", vec: str = "embedding",
+                 exclude_same_id: bool = False, params: Params = Params()) -> DataFrame:
+    """Approximate top-k (locality-sensitive hashing on cosine).
+
+    A vector is a candidate for a query when their signatures agree in at
+    least one of ``n_tables`` tables of ``n_bits`` random hyperplanes. Each
+    (table, bucket) group is split into hash sub-blocks sized to
+    ``params.vector_block_bytes`` (a hot bucket is spread over many tasks;
+    its queries are replicated to the sub-blocks), scored with the exact
+    kernel, and only local top-k rows leave a group -- no pair table. Scores
+    are exact cosines; only the candidate set is approximate, as with the
+    reference's hosted index. ``n_bits=0`` degenerates to the exact result.
+    """
+    spark = queries.sparkSession
+    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).alias("vec"))
+    stats = q.agg(F.max(F.size("vec")).alias("dim")).first()
+    dim = int(stats["dim"] or 0)
+    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("vec")) \
+        .where(F.size("vec") == F.lit(dim))
+    q = q.where(F.size("vec") == F.lit(dim))
+    rng = np.random.default_rng(seed)
+    planes = rng.standard_normal((n_tables * n_bits, dim))
+    bp = spark.sparkContext.broadcast(planes)
+    sign = _signer(bp, n_tables, n_bits, dim)
+    n_v = v.count()
+    per_bucket = max(1, n_v // max(1, (1 << n_bits)))
+    n_sub = max(1, math.ceil(per_bucket * dim * 8 / params.vector_block_bytes))
+    vs = v.mapInArrow(sign, SIGNED).select(
+        F.col("id").alias("vid"), "vec", F.posexplode("buckets").alias("tbl", "bucket")) \
+        .withColumn("sub", F.pmod(F.xxhash64("vid"), F.lit(n_sub)).cast("int"))
+    qs = q.mapInArrow(sign, SIGNED).select(
+        F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.posexplode("buckets").alias("tbl", "bucket")) \
+        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(n_sub - 1))))
+    keys = ["tbl", "bucket", "sub"]
+    cand = qs.groupBy(*keys).cogroup(vs.groupBy(*keys)) \
+        .applyInPandas(_block_scorer(k, exclude_same_id), CANDIDATES)
+    # a pair found in several tables carries the same exact score
+    cand = cand.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))

@@ -72,3 +72,13 @@ def thresholded(t):
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     hits = retrieve(q, t.embeddings, Params(), min_score=TEST_THRESHOLD, exclude_same_id=True)
     return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("join_topk_approx")
+def topk_approx(t):
+    """Approximate top-10 neighbours (LSH candidates, exact scores); no
+    SQL twin -- pytest checks it against the exact operator."""
+    from textlake.operators.similarity import approx_top_k
+    q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = approx_top_k(q, t.embeddings, 10, exclude_same_id=True)
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
