@@ -57,11 +57,12 @@ def overwrite_checked(df: DataFrame, path: str, vec: str, dim: int,
                       partition_by: list[str] | None = None) -> None:
     """Drop-and-recreate with an inline dimension check.
 
-    ``assert_true`` fails the job inside the write (no extra pass) when a
-    vector has another dimension.
+    The check lives inside the written vector column (``raise_error`` when
+    the dimension differs), so it fails the job during the write with no
+    extra pass -- and, unlike a separate check column, cannot be pruned.
     """
-    checked = df.withColumn("_dim_ok", F.assert_true(
-        F.size(vec) == F.lit(dim), F.lit(f"vector dimension differs from {dim}"))).drop("_dim_ok")
+    checked = df.withColumn(vec, F.when(F.size(vec) == F.lit(dim), F.col(vec)).otherwise(
+        F.raise_error(F.lit(f"vector dimension differs from {dim}"))))
     w = checked.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

@@ -57,18 +57,26 @@ def read_year_folders(spark: SparkSession, root: str, prefix: str = "boe_", fmt:
                                                   f"{prefix}(\\d{{4}})", 1).cast("int"))
 
 
-def resolve_paths(spark: SparkSession, names: list[str], local_root: str, remote_root: str) -> list[str]:
+def resolve_paths(spark: SparkSession, names: list[str], local_root: str,
+                  remote_root: str) -> tuple[list[str], list[str]]:
     """A5: each file from the primary location if present, else the fallback.
 
-    Only existence checks run on the driver; the transfer is the file system
-    connector's job. Missing or corrupt files are skipped by the reader
-    (``ignoreMissingFiles`` / ``ignoreCorruptFiles``) instead of failing.
+    Returns ``(paths, missing)``: names found in neither place are reported
+    and skipped, as the reference skipped a failing file. Only existence
+    checks run on the driver; the transfer is the file system connector's
+    job, and files that vanish after listing are skipped by the reader
+    (``ignoreMissingFiles`` / ``ignoreCorruptFiles``).
     """
-    out = []
+    paths, missing = [], []
     for n in names:
-        local = os.path.join(local_root, n)
-        out.append(local if path_exists(spark, local) else os.path.join(remote_root, n))
-    return out
+        local, remote = os.path.join(local_root, n), os.path.join(remote_root, n)
+        if path_exists(spark, local):
+            paths.append(local)
+        elif path_exists(spark, remote):
+            paths.append(remote)
+        else:
+            missing.append(n)
+    return paths, missing
 
 
 def read_many(spark: SparkSession, paths: list[str], schema: T.StructType, fmt: str = "parquet") -> DataFrame:
