@@ -14,6 +14,7 @@ from textlake.operators.aggregates import histogram, vector_stats
 from textlake.operators.chunking import chunk_file, explode_chunks, recursive_chunks
 from textlake.operators.embedding import encode, hashing_model_id
 from textlake.operators.joins import not_yet_stored, vector_record
+from textlake.operators.partitioning import spread_small
 from textlake.operators.windows import batch_label, dense_row_number
 from textlake.params import BYTES_OVERHEAD, Params
 from textlake.sinks.tables import UpsertTable
@@ -79,6 +80,7 @@ def chunk_corpus(docs: DataFrame, done: DataFrame | None = None, params: Params
     if done is not None:
         d = not_yet_stored(d, done, key)
     meta = meta if meta is not None else [c for c in d.columns if c != text]
+    d = spread_small(d, key)
     chunks = explode_chunks(d, recursive_chunks(F.col(text), params.chunk_size, params.chunk_overlap,
                                                 params.separators), key, meta)
     if prefix_title and "title" in meta:

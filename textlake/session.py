@@ -28,6 +28,10 @@ def build_session(master: str | None = None, app: str = "textlake",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     }
+    if master and master.startswith("local"):
+        # local mode runs every task inside the driver JVM: give it real heap
+        # (only effective when this call starts the JVM)
+        conf["spark.driver.memory"] = "12g"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
