@@ -103,8 +103,10 @@ def encode_and_upsert(chunks: DataFrame, store: UpsertTable, batch_seq: int,
                       meta: list[str] | None = None, group: str | None = None) -> DataFrame:
     """Encode, build vector records (metadata as strings), upsert.
 
-    Write batches of ``params.upsert_batch`` rows are labelled per group
-    with the skew-proof row number; physical batching is Arrow's.
+    Physical batching is Arrow's. With ``group`` set, rows also get the
+    reference's write-batch label (``params.upsert_batch`` rows per group,
+    skew-proof row number); that numbering re-reads its input, so it is off
+    by default.
     """
     meta = meta if meta is not None else [c for c in chunks.columns if c not in (text, "text_id")]
     enc = encode(chunks, text)

@@ -54,14 +54,13 @@ def src_markup_fields(t):
 
 @register("vec_encode_upsert")
 def vec_encode_upsert(t):
-    """Chunks encoded and upserted twice
+    """Chunks encoded and upserted twice
     (the replay is a no-op); the store statistics are returned."""
     spark = t.spark
     store = UpsertTable(spark, scratch_path(spark, "vectors"), ["text_id"])
     chunks = _chunks(t)
-    encode_and_upsert(chunks, store, 1, text="chunk", meta=["doc_id", "lang", "source"], group="lang")
-    return encode_and_upsert(chunks, store, 1, text="chunk", meta=["doc_id", "lang", "source"],
-                             group="lang")
+    encode_and_upsert(chunks, store, 1, text="chunk", meta=["doc_id", "lang", "source"])
+    return encode_and_upsert(chunks, store, 1, text="chunk", meta=["doc_id", "lang", "source"])
 
 
 @register("rag_benchmark_retrieval")
