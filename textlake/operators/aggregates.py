@@ -18,16 +18,20 @@ def stage_counts(df: DataFrame, **conds: Column) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins between min and max, the last bin closed.
 
-    min/max are scalar subqueries inside the same plan (no driver round trip
-    and no join); ``hi == lo`` puts every row into bin 0.
+    One pass over the data: rows are first counted per distinct value
+    (partial aggregation; the result is no larger than the value range) and
+    that small table is checkpointed once; min / max are scalar subqueries
+    over it and the binning sums its counts (no join, no row-level second
+    pass). ``hi == lo`` puts every row into bin 0.
     """
-    lo = df.select(F.min(col)).scalar()
-    hi = df.select(F.max(col)).scalar()
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")) \
+        .checkpoint(eager=True)
+    lo = counts.select(F.min(col)).scalar()
+    hi = counts.select(F.max(col)).scalar()
     width = hi - lo
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - lo) * F.lit(bins) / width), F.lit(bins - 1)))
-    return df.where(F.col(col).isNotNull()).groupBy(b.cast("long").alias("bin")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(b.cast("long").alias("bin")).agg(F.sum("_n").alias("n"))
 
 
 def percent_done(df: DataFrame, group: list[str], done: Column) -> DataFrame:

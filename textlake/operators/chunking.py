@@ -22,7 +22,10 @@ WORD_PATTERN = "[^" + PY_WHITESPACE + "]+"
 # ---- word windows (native) ---------------------------------------------
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(WORD_PATTERN), 0)
+    """Runs of non-whitespace (Python's notion of whitespace), as a split on
+    whitespace with empty pieces removed -- the same words as extracting
+    every ``WORD_PATTERN`` match, at about half the cost."""
+    return F.array_remove(F.split(c, "[" + PY_WHITESPACE + "]+"), "")
 
 
 def word_windows(w: Column, n: int) -> Column:
