@@ -90,34 +90,45 @@ class UpsertTable:
         return [d for d in list_dirs(self.spark, self.path) if d.startswith("base_")
                 and path_exists(self.spark, os.path.join(self.path, d, "_SUCCESS"))]
 
-    def raw(self) -> DataFrame | None:
-        parts = []
+    def _base(self) -> DataFrame | None:
         bases = self._bases()
-        if bases:
-            b = self.spark.read.parquet(os.path.join(self.path, bases[-1]))
-            parts.append(b)
+        return self.spark.read.parquet(os.path.join(self.path, bases[-1])) if bases else None
+
+    def _log(self) -> DataFrame | None:
         if any(d.startswith("batch_seq=") for d in list_dirs(self.spark, self.log_path)):
-            parts.append(self.spark.read.option("basePath", self.log_path).parquet(self.log_path))
-        if not parts:
-            return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+            return self.spark.read.option("basePath", self.log_path).parquet(self.log_path)
+        return None
 
-    def read(self) -> DataFrame:
-        """Latest row per key: ``max_by`` over (batch_seq, in-batch order)."""
-        raw = self.raw()
-        if raw is None:
-            raise FileNotFoundError(self.path)
+    def _latest(self, rows: DataFrame) -> DataFrame:
         order_parts = [F.col("batch_seq")]
         if self.order:
             order_parts.append(F.col(self.order))
-        value_cols = [c for c in raw.columns if c not in self.key]
-        latest = raw.groupBy(*self.key).agg(
+        value_cols = [c for c in rows.columns if c not in self.key]
+        latest = rows.groupBy(*self.key).agg(
             F.max_by(F.struct(*value_cols), F.struct(*order_parts)).alias("_v"))
         return latest.select(*self.key, "_v.*")
 
+    def read(self) -> DataFrame:
+        """Latest row per key: ``max_by`` over (batch_seq, in-batch order).
+
+        The compacted base is already key-unique, so only keys that occur in
+        the log are merged: untouched base rows pass through an anti join
+        against the log's keys (broadcast when the log is small, by the
+        optimizer's size check) and the big base is never aggregated.
+        """
+        base, log = self._base(), self._log()
+        if base is None and log is None:
+            raise FileNotFoundError(self.path)
+        if log is None:
+            return base
+        if base is None:
+            return self._latest(log)
+        keys = log.select(*self.key).distinct()
+        untouched = base.join(keys, self.key, "left_anti")
+        touched = base.join(keys, self.key, "left_semi").unionByName(log, allowMissingColumns=True)
+        merged = self._latest(touched)
+        return untouched.unionByName(merged.select(*untouched.columns))
+
     def compact(self) -> str:
         """Fold base + log into a new base, then drop the folded log batches.
 
