@@ -225,7 +225,8 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: in
     (table, bucket) group is split into hash sub-blocks sized to
     ``params.vector_block_bytes`` (a hot bucket is spread over many tasks;
     its queries are replicated to the sub-blocks), scored with the exact
-    kernel, and only local top-k rows leave a group -- no pair table. Scores
+    kernel, and only local top-k rows leave a group -- no pair table. The
+    number of sub-blocks is decided per bucket from sampled bucket sizes. Scores
     are exact cosines; only the candidate set is approximate, as with the
     reference's hosted index. ``n_bits=0`` degenerates to the exact result.
     """
@@ -241,14 +242,28 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: in
     bp = spark.sparkContext.broadcast(planes)
     sign = _signer(bp, n_tables, n_bits, dim)
     n_v = v.count()
-    per_bucket = max(1, n_v // max(1, (1 << n_bits)))
-    n_sub = max(1, math.ceil(per_bucket * dim * 8 / params.vector_block_bytes))
+    # Sub-blocks per bucket, sized from a sample of the signed vectors: a hot
+    # bucket gets proportionally many sub-blocks. The size table has at most
+    # n_tables x 2^n_bits rows (a proven bound for the broadcast); the sample
+    # only decides the split, never the result.
+    frac = min(1.0, 200_000 / max(n_v, 1))
+    rows_per_block = max(1, params.vector_block_bytes // max(dim * 8, 1))
+    sample = v.sample(fraction=frac, seed=seed) if frac < 1.0 else v
+    sizes = sample.mapInArrow(sign, SIGNED).select(F.posexplode("buckets").alias("tbl", "bucket")) \
+        .groupBy("tbl", "bucket").agg((F.count(F.lit(1)) / F.lit(frac)).alias("est")) \
+        .select("tbl", "bucket",
+                F.greatest(F.lit(1), F.ceil(F.col("est") / rows_per_block)).cast("int").alias("n_sub"))
+    sizes = F.broadcast(sizes)
     vs = v.mapInArrow(sign, SIGNED).select(
         F.col("id").alias("vid"), "vec", F.posexplode("buckets").alias("tbl", "bucket")) \
-        .withColumn("sub", F.pmod(F.xxhash64("vid"), F.lit(n_sub)).cast("int"))
+        .join(sizes, ["tbl", "bucket"], "left") \
+        .withColumn("sub", F.pmod(F.xxhash64("vid"), F.coalesce("n_sub", F.lit(1))).cast("int")) \
+        .drop("n_sub")
     qs = q.mapInArrow(sign, SIGNED).select(
         F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.posexplode("buckets").alias("tbl", "bucket")) \
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(n_sub - 1))))
+        .join(sizes, ["tbl", "bucket"], "left") \
+        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.coalesce("n_sub", F.lit(1)) - 1))) \
+        .drop("n_sub")
     keys = ["tbl", "bucket", "sub"]
     cand = qs.groupBy(*keys).cogroup(vs.groupBy(*keys)) \
         .applyInPandas(_block_scorer(k, exclude_same_id), CANDIDATES)
