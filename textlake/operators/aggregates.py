@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.params import HIST_BINS
+from textlake.session import materialize
 
 
 def stage_counts(df: DataFrame, **conds: Column) -> DataFrame:
@@ -24,8 +25,7 @@ def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     over it and the binning sums its counts (no join, no row-level second
     pass). ``hi == lo`` puts every row into bin 0.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")) \
-        .checkpoint(eager=True)
+    counts = materialize(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
     lo = counts.select(F.min(col)).scalar()
     hi = counts.select(F.max(col)).scalar()
     width = hi - lo

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textlake.operators.joins import bounded_broadcast
+from textlake.session import materialize
 from textlake.params import BM25_B, BM25_K1
 
 TERM_PATTERN = "[a-z0-9]+"
@@ -79,7 +80,7 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     # Materialised once in the shared checkpoint folder: it feeds the
     # statistics, the document frequencies and the scores, and the lineage
     # back to the corpus scan is cut.
-    table = postings(docs, doc_id, doc_text, vocab).checkpoint(eager=True)
+    table = materialize(postings(docs, doc_id, doc_text, vocab))
     lengths = table.groupBy("doc_id").agg(F.max("dl").alias("dl"))
     n_docs = lengths.select(F.count(F.lit(1))).scalar()
     avgdl = lengths.select(F.avg("dl")).scalar()

@@ -14,6 +14,7 @@ from textlake.operators.joins import bounded_broadcast, pair_with
 from textlake.operators.similarity import threshold, top_k_similar
 from textlake.operators.windows import budget_cut
 from textlake.params import Params
+from textlake.session import materialize as materialize_df
 
 
 def retrieve(queries: DataFrame, store: DataFrame, params: Params = Params(), *,
@@ -32,7 +33,7 @@ def retrieve(queries: DataFrame, store: DataFrame, params: Params = Params(), *,
                          vec_id=vec_id, vec=vec, exclude_same_id=exclude_same_id,
                          params=params)
     hits = threshold(hits, params.score_threshold if min_score is None else min_score)
-    return hits.checkpoint(eager=True) if materialize else hits
+    return materialize_df(hits) if materialize else hits
 
 
 def with_context(hits: DataFrame, docs: DataFrame, doc_key: str, text: str,
