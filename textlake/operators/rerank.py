@@ -16,6 +16,7 @@ A neural scorer plugs in through :func:`score_pairs_with` (Arrow batches).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -128,8 +129,6 @@ def rerank(hits: DataFrame, pair_scores: DataFrame, n: int, *, group: str = "que
 def score_pairs_with(pairs: DataFrame, scorer, query_text: str = "query_text",
                      doc_text: str = "doc_text") -> DataFrame:
     """Hook: ``scorer(list[str], list[str]) -> list[float]`` over Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def _score(q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(scorer(q.tolist(), d.tolist()), dtype="float64")

@@ -12,6 +12,7 @@ through :func:`summarize_with` (Arrow batches).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,8 +53,6 @@ def extractive_summary(docs: DataFrame, n: int = 3, key: str = "doc_id", text: s
 def summarize_with(df: DataFrame, summarizer, text: str = "text",
                    out: str = "text_summary") -> DataFrame:
     """Hook: ``summarizer(list[str]) -> list[str]`` over Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def _sum(s: pd.Series) -> pd.Series:
         return pd.Series(summarizer(s.fillna("").tolist()), dtype="object")
