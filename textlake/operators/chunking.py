@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions.text import PY_WHITESPACE
+from textlake.operators.partitioning import spread_small
 from textlake.params import CHUNK_OVERLAP, CHUNK_SEPARATORS, CHUNK_SIZE
 
 WORD_PATTERN = "[^" + PY_WHITESPACE + "]+"
@@ -44,7 +45,7 @@ def word_windows(w: Column, n: int) -> Column:
 
 def with_word_windows(df: DataFrame, text: str, n: int, name: str = "windows") -> DataFrame:
     """Adds ``name`` = n-word windows of ``text`` (words extracted once)."""
-    return df.withColumn("_words", words(F.col(text))) \
+    return spread_small(df).withColumn("_words", words(F.col(text))) \
              .withColumn(name, word_windows(F.col("_words"), n)).drop("_words")
 
 

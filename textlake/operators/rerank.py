@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textlake.operators.joins import bounded_broadcast
+from textlake.operators.partitioning import spread_small
 from textlake.session import materialize
 from textlake.params import BM25_B, BM25_K1
 
@@ -47,8 +48,8 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     holds the postings of the query terms plus one length row per document,
     and the corpus statistics need no second tokenisation.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), terms(F.col(text)).alias("_t")) \
-        .withColumn("dl", F.size("_t"))
+    d = spread_small(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_x")))
+    d = d.select("doc_id", terms(F.col("_x")).alias("_t")).withColumn("dl", F.size("_t"))
     tok = d.select("doc_id", "dl", F.explode_outer("_t").alias("term"))
     if vocabulary is not None:
         v = vocabulary.select(F.col("term").alias("_v"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textlake.operators.partitioning import spread_small
 from textlake.operators.rerank import terms
 
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
@@ -24,7 +25,7 @@ SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, pos (1-based), sentence`` -- trimmed, empty ones dropped."""
-    s = docs.select(F.col(key).alias("_k"),
+    s = spread_small(docs).select(F.col(key).alias("_k"),
                     F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(SENTENCE_PATTERN), 0))
                     .alias("_p", "sentence"))
     s = s.withColumn("sentence", F.trim("sentence")).where(F.length("sentence") > 0)
