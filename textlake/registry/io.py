@@ -126,7 +126,7 @@ def sink_append_once(t):
     spark = t.spark
     path = scratch_path(spark, "append")
     e = t.events.select("event_id", "event_type", "ts")
-    first = e.where(F.col("ts") <= F.lit(FEED_MARK).cast("timestamp"))
+    first = e.where(F.col("ts") <= F.lit(FEED_MARK).cast("timestamp_ntz"))
     append_new(first, path, ["event_id"])
     append_new(e, path, ["event_id"])
     append_new(e, path, ["event_id"])  # replay: no-op
@@ -144,7 +144,7 @@ def sink_upsert_replay(t):
     spark = t.spark
     path = scratch_path(spark, "upsert")
     e = t.events.select("user_id", "event_type", "value", "ts", "event_id")
-    mark = F.lit(FEED_MARK).cast("timestamp")
+    mark = F.lit(FEED_MARK).cast("timestamp_ntz")
     tab = UpsertTable(spark, path, ["user_id"], order="order_key")
     keyed = e.withColumn("order_key", F.struct("ts", "event_id"))
     tab.write_batch(keyed.where(F.col("ts") <= mark), 1)
@@ -162,7 +162,7 @@ GROUP BY 1
 def inc_resume_feed(t):
     """J1 / C3 / E8 (batch twin): mark from what landed, then only newer rows."""
     e = t.events
-    landed = e.where(F.col("ts") <= F.lit(FEED_MARK).cast("timestamp"))
+    landed = e.where(F.col("ts") <= F.lit(FEED_MARK).cast("timestamp_ntz"))
     mark = landed.select(F.max("event_id")).scalar()
     new = e.where(F.col("event_id") > mark)
     return new.groupBy(F.to_date("ts").cast("string").alias("day")).agg(
@@ -183,7 +183,7 @@ def inc_backward_cursor(t):
     spark = t.spark
     path = scratch_path(spark, "marks")
     e = t.events.select("event_type", F.to_date("ts").alias("d"), "ts")
-    split = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    split = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     first = next_cursor(e.where(F.col("ts") > split), "event_type", F.col("d"))
     write_marks(first, path, 1)
     marks = read_marks(spark, path)

@@ -376,7 +376,7 @@ def agg_rate_runtime(t):
     """Amount per second (NULL when no time elapsed), whole h and min."""
     e = t.events.groupBy("user_id").agg(
         F.sum("value").alias("total"),
-        (F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))).alias("us"))
+        F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")).alias("us"))
     secs = F.floor(F.col("us") / 1_000_000)
     h, m = D.hours_minutes(secs)
     rate = A.per_second(F.col("total"), F.col("us") / F.lit(1e6))

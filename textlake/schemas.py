@@ -31,7 +31,9 @@ CONVERSATIONS = T.StructType([
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampType()),
+    # stored without a zone (isAdjustedToUTC=false): read as TIMESTAMP_NTZ so
+    # results never depend on the session time zone
+    T.StructField("ts", T.TimestampNTZType()),
     T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()),
     T.StructField("value", T.DoubleType()),
@@ -54,7 +56,7 @@ ORDERS = T.StructType([
     T.StructField("o_custkey", T.LongType()),
     T.StructField("o_orderstatus", T.StringType()),
     T.StructField("o_totalprice", T.DoubleType()),
-    T.StructField("o_orderdate", T.TimestampType()),
+    T.StructField("o_orderdate", T.TimestampNTZType()),
     T.StructField("o_orderpriority", T.StringType()),
 ])
 
