@@ -46,7 +46,17 @@ def resume_feed(spark: SparkSession, source_dir: str, schema: T.StructType, sink
     s = feed_stream(spark, source_dir, schema, max_files)
     if dedup_watermark:
         col, delay = dedup_watermark
-        s = s.withWatermark(col, delay).dropDuplicatesWithinWatermark(key)
+        wm = col
+        if isinstance(schema[col].dataType, T.TimestampNTZType):
+            # watermarks need an instant: read the zone-less wall clock as UTC
+            # (independent of the session time zone)
+            epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+            s = s.withColumn("_event_time", F.timestamp_micros(
+                F.timestamp_diff("MICROSECOND", epoch, F.col(col))))
+            wm = "_event_time"
+        s = s.withWatermark(wm, delay).dropDuplicatesWithinWatermark(key)
+        if wm != col:
+            s = s.drop(wm)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         append_new(batch.dropDuplicates(key), sink_path, key, partition_by)
