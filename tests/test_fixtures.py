@@ -111,3 +111,12 @@ def test_dense_row_number_on_skewed_groups(spark, parts):
     a = sorted(tuple(r) for r in got.select("g", "n", "rn").collect())
     b = sorted(tuple(r) for r in want.select("g", "n", "rn").collect())
     assert a == b
+
+
+def test_random_split_is_seeded(spark):
+    from textlake.plans.qa import random_split
+    df = spark.range(1000)
+    a1, b1 = random_split(df, 0.2, seed=7)
+    a2, b2 = random_split(df, 0.2, seed=7)
+    assert a1.count() + b1.count() == 1000
+    assert sorted(r.id for r in b1.collect()) == sorted(r.id for r in b2.collect())

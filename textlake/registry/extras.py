@@ -6,8 +6,10 @@ from textlake.operators.rerank import expand_queries
 from textlake.operators.summary import SENTENCE_PATTERN, extractive_summary
 from textlake.params import COURT_ROOT
 from textlake.plans.links import harvest_counts, harvest_links, page_links
+from textlake.plans.report import progress_report
 from textlake.registry.base import register
 from textlake.registry.ranking import bm25_sql
+from textlake.registry.sqlparts import GAZETTE_INDEX
 from textlake.sources.landed import page_lang
 
 TERMS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
@@ -82,3 +84,20 @@ FROM l
 def links_harvest_counts(t):
     """Resolved and empty links."""
     return harvest_counts(page_links(t.pages))
+
+
+@register("report_progress", """
+SELECT substr(day_id, 1, 4) AS grp, count(*) AS total, count_if(day_id <= '19960101') AS done,
+       100.0::DOUBLE * count_if(day_id <= '19960101') / count(*) AS pct,
+       CAST(ceil(count(*) / 50) AS BIGINT) AS n_batches
+FROM (""" + GAZETTE_INDEX + """) GROUP BY 1
+UNION ALL
+SELECT 'all', count(*), count_if(day_id <= '19960101'),
+       100.0::DOUBLE * count_if(day_id <= '19960101') / count(*), CAST(ceil(count(*) / 50) AS BIGINT)
+FROM (""" + GAZETTE_INDEX + """)
+""")
+def report_progress(t):
+    """Per-year and overall progress of the day index."""
+    from textlake.sources.gazette import day_index_from_orders, year_of_day
+    idx = day_index_from_orders(t.orders)
+    return progress_report(idx, year_of_day(F.col("day_id")), F.col("day_id") <= "19960101")
