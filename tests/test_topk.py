@@ -31,7 +31,7 @@ def test_strategies_equal_brute_force(spark):
     rows = {r.vec_id: r.embedding for r in e.collect()}
     want = brute(rows, rows, 5, True)
     for strategy, params in (("broadcast", Params()),
-                             ("blocks", Params(query_block_bytes=16000, vector_block_bytes=40000))):
+                             ("blocks", Params(query_block_bytes=16000, block_group_bytes=60000))):
         got = top_k_similar(q, e, 5, exclude_same_id=True, params=params, strategy=strategy)
         res = {}
         for r in got.orderBy("query_id", "rank").collect():
@@ -42,7 +42,7 @@ def test_strategies_equal_brute_force(spark):
 def test_auto_strategy_switches_on_size(spark):
     e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
-    small = top_k_similar(q, e, 3, params=Params(query_block_bytes=32000, vector_block_bytes=64000))
+    small = top_k_similar(q, e, 3, params=Params(query_block_bytes=32000, block_group_bytes=100000))
     big = top_k_similar(q, e, 3)
     a = sorted(tuple(r) for r in small.select("query_id", "rank", "vec_id").collect())
     b = sorted(tuple(r) for r in big.select("query_id", "rank", "vec_id").collect())

@@ -12,9 +12,11 @@ Two physical strategies, chosen from a checked size:
   ``Params.query_block_bytes``: it is shipped once per executor as a
   broadcast variable and vectors are never shuffled.
 * ``blocks`` -- larger query sets: queries are hashed into ``NQ`` blocks and
-  vectors into ``NV`` blocks, each sized to the byte targets; block pairs
-  are co-grouped and scored with the same kernel. Memory per group is
-  bounded by the targets, never by the data size.
+  vectors into ``NV`` blocks, each half of ``Params.block_group_bytes``;
+  block pairs are co-grouped and scored with the same kernel. Memory per
+  group is bounded by the budget, never by the data size; the shuffle is
+  V*NQ + Q*NV bytes, which is why very large query sets over very large
+  stores go to the approximate operator instead.
 """
 
 from __future__ import annotations
@@ -157,8 +159,9 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
         cand = v.mapInArrow(_broadcast_scorer(bq, k, dim, exclude_same_id), CANDIDATES)
     else:
         n_v = v.count()
-        nq_blocks = max(1, math.ceil(q_bytes / params.query_block_bytes))
-        nv_blocks = max(1, math.ceil(n_v * dim * 8 / params.vector_block_bytes))
+        half = max(1, params.block_group_bytes // 2)
+        nq_blocks = max(1, math.ceil(q_bytes / half))
+        nv_blocks = max(1, math.ceil(n_v * dim * 8 / half))
         # Block ids must have one type on both sides: cogroup hash-partitions
         # each side by its own key values, and a long and an int of the same
         # value hash differently.

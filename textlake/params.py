@@ -70,9 +70,13 @@ class Params:
     keywords: tuple[str, ...] = field(default_factory=tuple)
     full_extraction: bool = True
     class_letters: tuple[str, ...] = CLASS_LETTERS
-    # Exact top-k: largest query block (bytes of float32 vectors) shipped to
-    # every task as a broadcast variable; larger query sets are split into
-    # blocks that are co-grouped with vector blocks instead.
+    # Exact top-k: largest query matrix (n x dim x 8 bytes, scored in double)
+    # shipped to every executor as a broadcast variable; larger query sets
+    # are split into blocks that are co-grouped with vector blocks instead.
     query_block_bytes: int = 64 * 1024 * 1024
-    # Target bytes of vectors per scoring group in the block strategy.
+    # Memory budget of one scoring group in the exact block strategy. The
+    # shuffle of that strategy is V*NQ + Q*NV bytes; for a fixed budget it
+    # is smallest when queries and vectors each get half of it.
+    block_group_bytes: int = 512 * 1024 * 1024
+    # Target bytes of vectors per sub-block in the approximate strategy.
     vector_block_bytes: int = 128 * 1024 * 1024
