@@ -67,6 +67,7 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", text: str = "tex
 def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
          query_text: str = "text", doc_id: str = "doc_id", doc_text: str = "text",
          candidates: DataFrame | None = None, n_queries: int | None = None,
+         candidates_bound: int | None = None,
          k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """``query_id, doc_id, score`` for every matching (query, doc) pair.
 
@@ -77,7 +78,9 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     size-checked broadcast applies. ``doc_id`` is a key of ``docs``.
     """
     qt = query_terms(queries, query_id, query_text)
-    bound = None if n_queries is None else n_queries * 256
+    # exact size of the (query, term) table: the broadcast bound is counted,
+    # not assumed (long queries have many terms)
+    bound = qt.count() if n_queries is not None else None
     vocab = bounded_broadcast(qt.select("term").distinct(), bound)
     # Materialised once in the shared checkpoint folder: it feeds the
     # statistics, the document frequencies and the scores, and the lineage
@@ -95,7 +98,7 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     else:
         # rerank: start from the retrieved pairs (queries x k), so a term
         # shared by many queries never multiplies the postings of all docs
-        pairs = bounded_broadcast(candidates.select("query_id", "doc_id"), bound)
+        pairs = bounded_broadcast(candidates.select("query_id", "doc_id"), candidates_bound)
         m = post.join(pairs, "doc_id") \
                 .join(bounded_broadcast(qt, bound), ["query_id", "term"], "left_semi")
     m = m.join(df, "term")

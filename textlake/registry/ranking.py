@@ -78,7 +78,9 @@ def rank_rerank_hits(t):
                              "left_semi") \
         .select(F.col("doc_id").alias("query_id"), X.first_line(F.col("text")).alias("text"))
     cand = hits.select("query_id", F.col("vec_id").alias("doc_id"))
-    s = R.bm25(qtext, t.documents, candidates=cand, n_queries=q.count()) \
+    n_q = q.count()
+    s = R.bm25(qtext, t.documents, candidates=cand, n_queries=n_q,
+               candidates_bound=n_q * Params().top_k) \
         .withColumn("score", F.round("score", 6))
     out = R.rerank(hits.select("query_id", "vec_id", "rank"), s, Params().rerank_top_n)
     return out.select("query_id", "vec_id", "rank", "rerank_score",
