@@ -120,3 +120,22 @@ def test_random_split_is_seeded(spark):
     a2, b2 = random_split(df, 0.2, seed=7)
     assert a1.count() + b1.count() == 1000
     assert sorted(r.id for r in b1.collect()) == sorted(r.id for r in b2.collect())
+
+
+def test_histogram_min_equals_max(spark):
+    from textlake.operators.aggregates import histogram
+    df = spark.createDataFrame([(7,), (7,), (7,), (None,)], "v long")
+    assert [(r.bin, r.n) for r in histogram(df, "v", 20).collect()] == [(0, 3)]
+    df2 = spark.createDataFrame([(0,), (5,), (10,)], "v long")
+    got = sorted((r.bin, r.n) for r in histogram(df2, "v", 20).collect())
+    assert got == [(0, 1), (10, 1), (19, 1)]  # the maximum falls in the last, closed bin
+
+
+def test_zero_hits_give_no_context(spark):
+    from textlake.params import Params
+    from textlake.plans.retrieval import answer_contexts
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    out = answer_contexts(q, e, d, Params(), min_score=1.5, exclude_same_id=True)
+    assert out.count() == 0
