@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from textlake.functions import templates as TPL
 from textlake.functions import text as X
-from textlake.functions.tokens import token_count
 from textlake.operators import rerank as R
 from textlake.params import Params
 from textlake.plans.prompts import context_report, conversation_prompts
