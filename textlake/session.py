@@ -27,6 +27,9 @@ def build_session(master: str | None = None, app: str = "textlake",
         # Arrow batches that feed the Python operators: bounded memory per batch.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+        # checkpoint files of intermediates that are no longer referenced are
+        # removed from the shared folder
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if master and master.startswith("local"):
         # local mode runs every task inside the driver JVM: give it real heap
