@@ -139,3 +139,11 @@ def test_zero_hits_give_no_context(spark):
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     out = answer_contexts(q, e, d, Params(), min_score=1.5, exclude_same_id=True)
     assert out.count() == 0
+
+
+def test_dense_row_number_many_groups_falls_back(spark):
+    rows = [(g, i) for g in range(300) for i in range(3)]
+    df = spark.createDataFrame(rows, "g long, n long")
+    got = dense_row_number(df, ["g"], ["n"], "rn", max_groups=10)
+    assert sorted(tuple(r) for r in got.select("g", "n", "rn").collect()) == \
+        sorted((g, i, i + 1) for g, i in rows)

@@ -44,7 +44,8 @@ def latest_per_key(df: DataFrame, key: list, order: list) -> DataFrame:
 
 
 def dense_row_number(df: DataFrame, partition_cols: list[str], order_cols: list[str],
-                     name: str = "row_no", num_partitions: int | None = None) -> DataFrame:
+                     name: str = "row_no", num_partitions: int | None = None,
+                     max_groups: int = 100_000) -> DataFrame:
     """1-based row number within ``partition_cols`` ordered by ``order_cols``.
 
     A plain ``Window.partitionBy(year)`` sends a whole year to one task; when
@@ -53,17 +54,24 @@ def dense_row_number(df: DataFrame, partition_cols: list[str], order_cols: list[
     splits a hot year over many tasks -- numbered locally with
     ``monotonically_increasing_id`` (partition index in the high bits), and
     shifted by the row counts of earlier tasks of the same group. The offset
-    table has at most (tasks x groups per task) rows.
+    table has at most (groups + tasks) rows; the number of groups is
+    estimated first and above ``max_groups`` the plain window is used.
     """
     keys = partition_cols + order_cols
+    # The offset table is broadcast: check its bound first. Many groups mean
+    # small groups, where the plain window is the right tool.
+    n_groups = df.select(F.approx_count_distinct(F.struct(*partition_cols))).first()[0]
+    if n_groups > max_groups:
+        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = df.repartitionByRange(int(n), *keys).sortWithinPartitions(*keys) \
         .withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
     # Each task covers a contiguous key range, so the offset table has at
-    # most (#groups + #tasks) rows: a proven bound for the broadcast below
-    # when the grouping is low-cardinality (years, classes), as documented.
+    # most (#groups + #tasks) rows, and #groups was checked above: the
+    # broadcast below has a bound.
     starts = ranged.groupBy(*partition_cols, "_pid").agg(
         F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*partition_cols).orderBy("_pid") \
