@@ -147,3 +147,12 @@ def test_dense_row_number_many_groups_falls_back(spark):
     got = dense_row_number(df, ["g"], ["n"], "rn", max_groups=10)
     assert sorted(tuple(r) for r in got.select("g", "n", "rn").collect()) == \
         sorted((g, i, i + 1) for g, i in rows)
+
+
+def test_observed_stage_counts(spark):
+    from textlake.operators.aggregates import observe_counts
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen, obs = observe_counts(d, "docs", non_empty=F.length("text") > 0)
+    n = seen.where(F.col("lang") == "en").count()
+    got = obs.get
+    assert got["n_rows"] == d.count() and got["n_non_empty"] <= got["n_rows"] and n <= got["n_rows"]

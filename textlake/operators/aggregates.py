@@ -68,3 +68,13 @@ def ordered_join(sort_key: Column, value: Column, sep: str) -> Column:
     """Values joined in ``sort_key`` order (groups are small: k or turns)."""
     arr = F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), value.alias("v"))))
     return F.array_join(F.transform(arr, lambda x: x["v"]), sep)
+
+
+def observe_counts(df: DataFrame, name: str, **conds: Column):
+    """E1 without an extra job: counts gathered while ``df`` is written or
+    collected (``Observation``). Returns ``(observed_df, observation)``;
+    ``observation.get`` holds ``n_rows`` and ``n_<cond>`` after the action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    aggs = [F.count(F.lit(1)).alias("n_rows")] + [F.count_if(c).alias(f"n_{k}") for k, c in conds.items()]
+    return df.observe(obs, *aggs), obs
