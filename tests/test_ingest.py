@@ -123,3 +123,13 @@ def test_inline_nested_qa_dataset(spark):
                      F.col("answers.text").alias("answer_text"))
     r = answer_spans(flat, ["k"]).collect()[0]
     assert (r.start_token, r.end_token) == (1, 2)
+
+
+def test_build_index_entities_and_malformed_day(spark):
+    landed = spark.createDataFrame([
+        ("20240101", 200, "<sumario>" + _item("Ley &amp; orden", "/diario_boe/xml.php?id=BOE-A-2024-1") + "</sumario>"),
+        ("20240102", 200, "<sumario><item><titulo>roto"),  # malformed: that day only
+        ("20240103", 200, "<sumario>" + _item("Ley dos", "/diario_boe/xml.php?id=BOE-A-2024-4") + "</sumario>"),
+    ], "day_id string, status int, body string")
+    got = sorted((r.day_id, r.title) for r in build_index(_calendar(spark), landed, Params()).collect())
+    assert got == [("20240101", "Ley & orden"), ("20240103", "Ley dos")]

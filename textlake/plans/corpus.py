@@ -22,6 +22,9 @@ from textlake.sources import gazette as G
 from textlake.sources.landed import gate
 
 
+DAY_ITEMS = "item array<struct<titulo:string,urlxml:string>>"
+
+
 def build_index(calendar: DataFrame, landed_days: DataFrame, params: Params = Params(),
                 mark: str | None = None) -> DataFrame:
     """Items of the landed day pages for calendar days after the mark.
@@ -33,13 +36,12 @@ def build_index(calendar: DataFrame, landed_days: DataFrame, params: Params = Pa
     days = C.after_mark(days, "day_id", mark)
     pages = landed_days.join(days, "day_id", "left_semi") \
         .withColumn("body", gate(F.col("status"), F.col("body")))
-    item = r"<item[^>]*>(.*?)</item>"
-    items = pages.select("day_id", F.explode(F.regexp_extract_all(F.col("body"), F.lit(item), 1))
-                         .alias("item"))
-    items = items.select(
-        "day_id",
-        F.nullif(F.regexp_extract("item", r"<titulo>(.*?)</titulo>", 1), F.lit("")).alias("title"),
-        F.nullif(F.regexp_extract("item", r"<urlxml>(.*?)</urlxml>", 1), F.lit("")).alias("url_xml"))
+    # Spark's own XML parser (JVM-side): entities decoded, a malformed body
+    # gives NULL items for that day only, never a failed task.
+    parsed = pages.select("day_id", F.from_xml(F.col("body"), DAY_ITEMS, {"mode": "PERMISSIVE"})
+                          .alias("_x"))
+    items = parsed.select("day_id", F.explode("_x.item").alias("it")).select(
+        "day_id", F.col("it.titulo").alias("title"), F.col("it.urlxml").alias("url_xml"))
     items = G.class_filter(items, params.class_letters)
     return items.select("day_id", G.absolute_url(F.col("url_xml")).alias("url"), "title")
 
