@@ -92,12 +92,15 @@ def sink_year_split_names(t):
 SELECT DISTINCT unnest(regexp_extract_all(html, 'a href="([^"]*)"', 1)) AS base_url FROM pages
 """)
 def src_table_exists(t):
-    """Link table saved through the catalog, existence checked,
-    one column read back."""
+    """Link table appended through the catalog (files in the shared
+    folder), existence checked, one column read back."""
     spark = t.spark
     links = t.pages.select(F.explode(M.all_hrefs(F.col("html"))).alias("base_url")).distinct()
-    name = "textlake_links_" + os.path.basename(scratch_path(spark, "t")).replace("-", "_")
-    links.createOrReplaceTempView(name)
+    path = scratch_path(spark, "linktable")
+    name = "textlake_links_" + os.path.basename(path).replace("-", "_")
+    # a catalog table whose files live in the shared folder (not the cwd)
+    links.limit(0).write.mode("append").option("path", path).saveAsTable(name)
+    links.write.mode("append").option("path", path).saveAsTable(name)
     col = FS.table_column(spark, name, "base_url")
     if col is None:
         raise RuntimeError("table missing")

@@ -35,6 +35,8 @@ def build_session(master: str | None = None, app: str = "textlake",
         # local mode runs every task inside the driver JVM: give it real heap
         # (only effective when this call starts the JVM)
         conf["spark.driver.memory"] = "12g"
+        # the session catalog's default database folder: not the working dir
+        conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="textlake-warehouse-", dir="/tmp")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
