@@ -100,3 +100,17 @@ def test_stream_deltas_equal_batch(spark, tmp_path):
     assert got == want
     orig = {(r.conv_id, r.turn): r.text for r in conv.collect()}
     assert all(orig[k] == v for k, v in got.items())
+
+
+def test_word_windows_on_a_stream(spark, tmp_path):
+    from textlake.operators.chunking import explode_chunks, with_word_windows
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    src = str(tmp_path / "docs")
+    docs.write.parquet(src)
+    stream = spark.readStream.schema(docs.schema).parquet(src)
+    chunks = explode_chunks(with_word_windows(stream, "text", 50), F.col("windows"), "doc_id", ["doc_id"])
+    q = chunks.writeStream.format("memory").queryName("stream_windows").start()
+    q.processAllAvailable()
+    q.stop()
+    batch = explode_chunks(with_word_windows(docs, "text", 50), F.col("windows"), "doc_id", ["doc_id"])
+    assert spark.table("stream_windows").count() == batch.count()

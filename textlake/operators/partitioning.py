@@ -13,6 +13,8 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     as it is, so this never adds a shuffle of a big table; it only keeps a
     few-file input from running on a few cores.
     """
+    if df.isStreaming:  # micro-batches are partitioned by the source
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
