@@ -115,16 +115,35 @@ def _broadcast_scorer(bq, k: int, dim: int, exclude_same_id: bool):
     return run
 
 
-def _block_scorer(k: int, exclude_same_id: bool):
-    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        qmat, qok = _unit_rows(q["qvec"].tolist())
-        vmat, vok = _unit_rows(v["vec"].tolist())
+def _arrow_matrix(col, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of a list<float> Arrow column (flat buffer reshaped)."""
+    if n == 0:
+        return np.zeros((0, dim)), np.zeros(0, dtype=bool)
+    arr = col.combine_chunks() if hasattr(col, "combine_chunks") else col
+    mat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
+    norms = np.linalg.norm(mat, axis=1)
+    ok = norms > 0
+    mat[ok] /= norms[ok, None]
+    return mat, ok
+
+
+def _block_scorer(k: int, dim: int, exclude_same_id: bool):
+    """``cogroup().applyInArrow`` kernel: one (query block, vector block) pair."""
+    import pyarrow as pa
+
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def run(q, v):
+        qmat, qok = _arrow_matrix(q.column("qvec"), q.num_rows, dim)
+        vmat, vok = _arrow_matrix(v.column("vec"), v.num_rows, dim)
         if not qok.any() or not vok.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        cand = _score_block(v["vid"].to_numpy(dtype=np.int64)[vok], vmat[vok],
-                            q["qid"].to_numpy(dtype=np.int64)[qok], qmat[qok], k,
-                            exclude_same_id)
-        return _compact(cand, k)
+            return schema.empty_table()
+        qids = q.column("qid").to_numpy().astype(np.int64)[qok]
+        vids = v.column("vid").to_numpy().astype(np.int64)[vok]
+        out = _compact(_score_block(vids, vmat[vok], qids, qmat[qok], k, exclude_same_id), k)
+        return pa.table([pa.array(out["query_id"].to_numpy(np.int64)),
+                         pa.array(out["vec_id"].to_numpy(np.int64)),
+                         pa.array(out["score"].to_numpy(np.float64))], schema=schema)
     return run
 
 
@@ -170,7 +189,7 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
         vb = v.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv_blocks)).cast("int")) \
               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq_blocks - 1))))
         cand = qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")) \
-                 .applyInPandas(_block_scorer(k, exclude_same_id), CANDIDATES)
+                 .applyInArrow(_block_scorer(k, dim, exclude_same_id), CANDIDATES)
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (cand.withColumn("rank", F.row_number().over(w))
@@ -269,7 +288,7 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: in
         .drop("n_sub")
     keys = ["tbl", "bucket", "sub"]
     cand = qs.groupBy(*keys).cogroup(vs.groupBy(*keys)) \
-        .applyInPandas(_block_scorer(k, exclude_same_id), CANDIDATES)
+        .applyInArrow(_block_scorer(k, dim, exclude_same_id), CANDIDATES)
     # a pair found in several tables carries the same exact score
     cand = cand.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
