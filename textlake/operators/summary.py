@@ -34,15 +34,25 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def extractive_summary(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text",
                        out: str = "text_summary") -> DataFrame:
-    """``key, out``: the ``n`` most distinctive sentences in text order."""
+    """``key, out``: the ``n`` most distinctive sentences in text order.
+
+    score(sentence) = mean over its term occurrences of ln(n_sent / df)
+                    = ln(n_sent) - mean(ln df),
+    with df the number of sentences of the same document containing the
+    term. Token rows are shuffled once, by (document, term): the document
+    frequency and the join back to the tokens reuse that partitioning, the
+    per-sentence mean is combined map-side, and the sentence count joins at
+    sentence level.
+    """
     s = sentences(docs, key, text)
-    st = s.select(key, "pos", F.explode(F.array_distinct(terms(F.col("sentence")))).alias("term"))
+    tok = s.select(key, "pos", F.explode(terms(F.col("sentence"))).alias("term")) \
+        .repartition(key, "term")
+    df = tok.groupBy(key, "term").agg(F.count_distinct("pos").alias("df"))
+    mean_ln_df = tok.join(df, [key, "term"]).groupBy(key, "pos") \
+        .agg(F.avg(F.log(F.col("df"))).alias("_m"))
     n_sent = s.groupBy(key).agg(F.count(F.lit(1)).alias("n_sent"))
-    df = st.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"))
-    tok = s.select(key, "pos", F.explode(terms(F.col("sentence"))).alias("term"))
-    w = tok.join(df, [key, "term"]).join(n_sent, key) \
-        .withColumn("isf", F.log(F.col("n_sent") / F.col("df")))
-    scored = w.groupBy(key, "pos").agg(F.round(F.avg("isf"), 6).alias("score"))
+    scored = mean_ln_df.join(n_sent, key) \
+        .select(key, "pos", F.round(F.log(F.col("n_sent")) - F.col("_m"), 6).alias("score"))
     rk = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
     best = scored.withColumn("_r", F.row_number().over(rk)).where(F.col("_r") <= n)
     chosen = best.join(s, [key, "pos"])

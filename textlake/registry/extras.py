@@ -20,11 +20,11 @@ WITH s0 AS (SELECT doc_id, unnest(generate_series(1, len(x))) AS pos, trim(unnes
             FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE_PATTERN}') AS x FROM documents)),
 s AS (SELECT * FROM s0 WHERE length(sentence) > 0),
 ns AS (SELECT doc_id, count(*) AS n_sent FROM s GROUP BY doc_id),
-st AS (SELECT DISTINCT doc_id, pos, unnest({TERMS.format(c='sentence')}) AS term FROM s),
-dfs AS (SELECT doc_id, term, count(*) AS df FROM st GROUP BY doc_id, term),
 tok AS (SELECT doc_id, pos, unnest({TERMS.format(c='sentence')}) AS term FROM s),
-sc AS (SELECT t.doc_id, t.pos, round(avg(ln(ns.n_sent / dfs.df)), 6) AS score
-       FROM tok t JOIN dfs USING (doc_id, term) JOIN ns USING (doc_id) GROUP BY t.doc_id, t.pos),
+dfs AS (SELECT doc_id, term, count(DISTINCT pos) AS df FROM tok GROUP BY doc_id, term),
+m AS (SELECT t.doc_id, t.pos, avg(ln(dfs.df)) AS m FROM tok t JOIN dfs USING (doc_id, term)
+      GROUP BY t.doc_id, t.pos),
+sc AS (SELECT m.doc_id, m.pos, round(ln(ns.n_sent) - m.m, 6) AS score FROM m JOIN ns USING (doc_id)),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS r
                         FROM sc) WHERE r <= 3)
 SELECT b.doc_id, string_agg(s.sentence, ' ' ORDER BY b.pos) AS text_summary
