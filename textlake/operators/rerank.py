@@ -111,7 +111,7 @@ def top_n(scored: DataFrame, n: int, group: str = "query_id", score: str = "scor
           tie: str = "doc_id", name: str = "rank") -> DataFrame:
     """Top-n per group by (score desc, tie asc); 1-based ``rank``."""
     w = Window.partitionBy(group).orderBy(F.desc(score), F.asc(tie))
-    return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+    return scored.withColumn(name, F.row_number().over(w).cast("long")).where(F.col(name) <= n)
 
 
 def rerank(hits: DataFrame, pair_scores: DataFrame, n: int, *, group: str = "query_id",

@@ -192,7 +192,7 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
                  .applyInArrow(_block_scorer(k, dim, exclude_same_id), CANDIDATES)
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return (cand.withColumn("rank", F.row_number().over(w))
+    return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
                 .where(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
 
@@ -292,5 +292,5 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: in
     # a pair found in several tables carries the same exact score
     cand = cand.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))

@@ -77,8 +77,8 @@ def links_harvest(t):
 
 @register("links_harvest_counts", f"""
 WITH l AS (SELECT DISTINCT unnest({HREFS}) AS base_url FROM pages)
-SELECT count_if(base_url IS NOT NULL AND base_url <> '' AND base_url <> '/') AS n_success,
-       count_if(NOT (base_url IS NOT NULL AND base_url <> '' AND base_url <> '/')) AS n_fails
+SELECT CAST(count_if(base_url IS NOT NULL AND base_url <> '' AND base_url <> '/') AS BIGINT) AS n_success,
+       CAST(count_if(NOT (base_url IS NOT NULL AND base_url <> '' AND base_url <> '/')) AS BIGINT) AS n_fails
 FROM l
 """)
 def links_harvest_counts(t):
@@ -87,12 +87,12 @@ def links_harvest_counts(t):
 
 
 @register("report_progress", """
-SELECT substr(day_id, 1, 4) AS grp, count(*) AS total, count_if(day_id <= '19960101') AS done,
+SELECT substr(day_id, 1, 4) AS grp, count(*) AS total, CAST(count_if(day_id <= '19960101') AS BIGINT) AS done,
        100.0::DOUBLE * count_if(day_id <= '19960101') / count(*) AS pct,
        CAST(ceil(count(*) / 50) AS BIGINT) AS n_batches
 FROM (""" + GAZETTE_INDEX + """) GROUP BY 1
 UNION ALL
-SELECT 'all', count(*), count_if(day_id <= '19960101'),
+SELECT 'all', count(*), CAST(count_if(day_id <= '19960101') AS BIGINT),
        100.0::DOUBLE * count_if(day_id <= '19960101') / count(*), CAST(ceil(count(*) / 50) AS BIGINT)
 FROM (""" + GAZETTE_INDEX + """)
 """)

@@ -94,7 +94,7 @@ h AS (SELECT t.query_id, t.rank, coalesce(split_part(d.text, chr(10), 1), '') AS
              {tokens('d.text')} AS tokens
       FROM top t JOIN documents d ON d.doc_id = t.vec_id),
 hp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos FROM h)
-SELECT query_id, count(*) AS n_docs, sum(tokens) AS tokens_used,
+SELECT query_id, count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS tokens_used,
   'Fecha de ejecución: {STAMP}  ' || chr(10) || 'Documentos encontrados: ' || count(*) || '  ' || chr(10) ||
   'Número de tokens usados: ' || sum(tokens) || '  ' || chr(10) ||
   coalesce(string_agg(CASE WHEN pos <= 6 THEN

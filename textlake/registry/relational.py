@@ -32,7 +32,7 @@ WORDS = "regexp_extract_all(text, '[^" + X.PY_WHITESPACE + "]+')"
 WINDOWS_SQL = (f"list_transform(range(0, CAST(ceil(len({WORDS}) / {WINDOW_WORDS}) AS BIGINT)), "
                f"lambda i: array_to_string({WORDS}[i * {WINDOW_WORDS} + 1 : i * {WINDOW_WORDS} + "
                f"{WINDOW_WORDS}], ' '))")
-DOC_CHUNKS = (f"(SELECT doc_id, lang, source, unnest(generate_series(1, len(w))) AS chunk_no, "
+DOC_CHUNKS = (f"(SELECT doc_id, lang, source, CAST(unnest(generate_series(1, len(w))) AS INTEGER) AS chunk_no, "
               f"unnest(w) AS chunk FROM (SELECT doc_id, lang, source, {WINDOWS_SQL} AS w "
               f"FROM documents))")
 PAGE_LANG = "NULLIF(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '')"
@@ -261,8 +261,9 @@ def join_vector_record(t):
 # ---------------------------------------------------------------- aggregates
 
 @register("agg_stage_counts", f"""
-SELECT count(*) AS n_rows, count_if(text IS NOT NULL) AS n_not_null,
-       count_if(length(text) > 0) AS n_non_empty, count_if(strlen(text) + 33 < {MAX_BYTES}) AS n_under_bytes
+SELECT count(*) AS n_rows, CAST(count_if(text IS NOT NULL) AS BIGINT) AS n_not_null,
+       CAST(count_if(length(text) > 0) AS BIGINT) AS n_non_empty,
+       CAST(count_if(strlen(text) + 33 < {MAX_BYTES}) AS BIGINT) AS n_under_bytes
 FROM documents
 """)
 def agg_stage_counts(t):
@@ -306,11 +307,11 @@ def agg_distinct_ids(t):
 
 
 @register("agg_progress", f"""
-SELECT substr(day_id, 1, 4) AS year, count_if(day_id <= '{DONE_UNTIL}') AS done, count(*) AS total,
+SELECT substr(day_id, 1, 4) AS year, CAST(count_if(day_id <= '{DONE_UNTIL}') AS BIGINT) AS done, count(*) AS total,
        100.0::DOUBLE * count_if(day_id <= '{DONE_UNTIL}') / count(*) AS pct
 FROM {IDX} GROUP BY 1
 UNION ALL
-SELECT 'all', count_if(day_id <= '{DONE_UNTIL}'), count(*),
+SELECT 'all', CAST(count_if(day_id <= '{DONE_UNTIL}') AS BIGINT), count(*),
        100.0::DOUBLE * count_if(day_id <= '{DONE_UNTIL}') / count(*) FROM {IDX}
 """)
 def agg_progress(t):
@@ -334,7 +335,8 @@ def agg_high_water_marks(t):
 
 @register("agg_outcomes", """
 SELECT regexp_extract(url, '^(https?)', 1) AS scheme,
-       count_if(contains(html, '</html>')) AS n_success, count_if(NOT contains(html, '</html>')) AS n_fails
+       CAST(count_if(contains(html, '</html>')) AS BIGINT) AS n_success,
+       CAST(count_if(NOT contains(html, '</html>')) AS BIGINT) AS n_fails
 FROM pages GROUP BY 1
 """)
 def agg_outcomes(t):
@@ -402,7 +404,7 @@ def agg_ordered_turns(t):
 @register("win_budget_cut", f"""
 WITH x AS (SELECT conv_id, turn, {tokens('text')} AS tokens FROM conversations),
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_tokens FROM x)
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cum_tokens FROM x)
 SELECT conv_id, turn, tokens, cum_tokens FROM c WHERE cum_tokens < {BUDGET}
 """)
 def win_budget_cut(t):

@@ -43,7 +43,7 @@ cut AS (
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
   FROM ctx
 )
-SELECT query_id, count(*) AS n_docs, sum(tokens) AS tokens_used,
+SELECT query_id, count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS tokens_used,
        string_agg(context, chr(10) || chr(10) ORDER BY rank) AS context
 FROM cut WHERE cum < 5120 GROUP BY query_id
 """

@@ -151,7 +151,7 @@ FROM (SELECT page_id, regexp_extract_all(html, '{LIST_ITEM}', 1) AS h,
 def src_day_index_items(t):
     """Repeating items of each page, in page order."""
     p = t.pages.select("page_id", F.posexplode(M.list_items(F.col("html"))).alias("p", "it"))
-    return p.select("page_id", (F.col("p") + 1).alias("pos"),
+    return p.select("page_id", (F.col("p") + 1).cast("long").alias("pos"),
                     F.col("it.href").alias("href"), F.col("it.text").alias("text"))
 
 
