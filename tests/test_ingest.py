@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from textlake.functions.dates import calendar_rows
 from textlake.params import Params
-from textlake.plans.corpus import build_documents, build_index, chunk_corpus, format_corpus
+from textlake.plans.corpus import (build_documents, build_index, chunk_corpus, fetch_outcomes,
+                                   format_corpus, success_marks)
 from textlake.plans.qa import answer_spans
 from textlake.schemas import QA_EXAMPLE
 from textlake.sinks.tables import overwrite_checked
@@ -85,6 +86,10 @@ def test_build_documents_and_format(spark):
     assert got["A-2024-9"].text is None  # failed fetch: NULL fields, not a failed job
     kw = build_documents(index, landed, None, Params(keywords=("proteccion",), full_extraction=False))
     assert [r.doc_key for r in kw.collect()] == ["C-2024-1"]
+    ok, retry = fetch_outcomes(docs)
+    assert [r.doc_key for r in retry.collect()] == ["A-2024-9"]  # kept for a retry, not stored as NULLs
+    marks = {(r.cls, r.year): r.n for r in success_marks(ok).collect()}
+    assert marks == {("C", "2024"): 1, ("A", "2024"): 4}  # the failed number 9 does not move the mark
     corpus = format_corpus(docs)
     assert corpus.columns == ["doc_key", "url", "title", "date", "legislative_origin", "department",
                               "rang", "text"]

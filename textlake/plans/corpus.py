@@ -120,3 +120,22 @@ def encode_and_upsert(chunks: DataFrame, store: UpsertTable, batch_seq: int,
             .withColumn("write_batch", batch_label(F.col("row_no"), params.upsert_batch)).drop("row_no")
     store.write_batch(rec, batch_seq)
     return vector_stats(store.read())
+
+
+def fetch_outcomes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split extracted documents into successes and a retry table.
+
+    A document whose fetch failed (NULL text) is kept in the retry table
+    instead of being stored as a row of NULLs, and it never moves a mark.
+    """
+    ok = docs.where(F.col("text").isNotNull())
+    retry = docs.where(F.col("text").isNull()).select("url", F.col("id").alias("day_id"), "doc_key")
+    return ok, retry
+
+
+def success_marks(ok: DataFrame) -> DataFrame:
+    """Per (class, year) high-water mark over successful documents only."""
+    parts = F.split(F.col("doc_key"), "-")
+    return ok.select(F.element_at(parts, 1).alias("cls"), F.element_at(parts, 2).alias("year"),
+                     F.element_at(parts, 3).cast("long").alias("n")) \
+        .groupBy("cls", "year").agg(F.max("n").alias("n"))
