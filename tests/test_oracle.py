@@ -38,3 +38,9 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["query_id", "n_docs", "tokens_used", "context"]
     assert df.count() >= 0
+
+
+def test_contract_consistency():
+    assert set(ORACLE) <= set(QUERIES)
+    assert all(callable(f) for f in QUERIES.values())
+    assert all(isinstance(s, str) and s.strip() for s in ORACLE.values())
