@@ -174,14 +174,13 @@ def fn_cast_string(t):
 
 @register("src_response_gate", """
 SELECT page_id, CASE WHEN contains(html, '</html>') THEN 200 ELSE 404 END AS status,
-       CASE WHEN contains(html, '</html>') THEN strlen(html) END AS body_bytes
+       CASE WHEN contains(html, '</html>') THEN md5(html) END AS body_md5
 FROM pages
 """)
 def src_response_gate(t):
     """Body kept only for status 200."""
     land = landed_from_pages(t.pages)
-    return land.select("page_id", "status",
-                       F.octet_length(gate(F.col("status"), F.col("body"))).cast("long").alias("body_bytes"))
+    return land.select("page_id", "status", F.md5(gate(F.col("status"), F.col("body"))).alias("body_md5"))
 
 
 @register("flt_nonempty_links", f"""
