@@ -501,12 +501,13 @@ def top_chunk_cap(t):
 # ---------------------------------------------------------------- set operations
 
 @register("set_union_by_name", """
-SELECT doc_id, lang, NULL::INTEGER AS quality FROM documents
-UNION ALL SELECT doc_id, NULL, quality FROM labels
+SELECT doc_id, lang, NULL::VARCHAR AS url FROM documents
+UNION ALL SELECT page_id, NULL, url FROM pages
 """)
 def set_union_by_name(t):
-    """H1: UNION ALL by name, missing columns NULL."""
-    return H.union_all(t.documents.select("doc_id", "lang"), t.labels.select("doc_id", "quality"))
+    """H1: UNION ALL by name (documents and pages), missing columns NULL."""
+    return H.union_all(t.documents.select("doc_id", "lang"),
+                       t.pages.select(F.col("page_id").alias("doc_id"), "url"))
 
 
 @register("set_except", f"""
