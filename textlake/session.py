@@ -45,6 +45,7 @@ def build_session(master: str | None = None, app: str = "textlake",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -80,3 +81,34 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``textlake`` importable in the Python workers.
+
+    Arrow UDFs and ``mapInArrow`` kernels refer to textlake functions by
+    module, so the workers must be able to import the package even when the
+    caller's working directory or PYTHONPATH does not contain it. A zip of
+    the package is built once per application and shipped by Spark itself
+    (``addPyFile``), which also reaches executors on a cluster.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="textlake-py-"), "textlake.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, dirnames, filenames in os.walk(pkg_dir):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for f in filenames:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
