@@ -90,6 +90,29 @@ def test_qa_spans(spark):
     assert got[5] == (1, 1)
 
 
+def test_qa_model_inputs(spark):
+    from textlake.plans.qa import model_inputs
+    rows = [(1, "q uno", " ".join(f"c{i}" for i in range(20))), (2, "q", "a b"), (3, " ".join("q" * 12), "x")]
+    out = {r.k: r for r in model_inputs(spark.createDataFrame(rows, "k long, question string, context string"), 10).collect()}
+    assert out[1].input_tokens == ["[CLS]", "q", "uno", "[SEP]", "c0", "c1", "c2", "c3", "c4", "[SEP]"]
+    assert out[1].attention_mask == [1] * 10
+    assert out[2].input_tokens == ["[CLS]", "q", "[SEP]", "a", "b", "[SEP]"] + ["[PAD]"] * 4
+    assert out[2].attention_mask == [1] * 6 + [0] * 4
+    assert len(out[3].input_tokens) == len(out[3].attention_mask) == 10
+
+
+def test_accented_terms_stay_whole(spark):
+    from textlake.operators.rerank import terms
+    df = spark.createDataFrame([("Protección de niños, 2ª vez",)], "t string")
+    assert df.select(terms(F.col("t"))).first()[0] == ["proteccion", "de", "ninos", "2", "vez"]
+
+
+def test_one_of_two_newlines_goes(spark):
+    from textlake.functions.text import strip_newline_suffix
+    df = spark.createDataFrame([("a\n\n",), ("a\n",), ("a",), ("\n",), (None,)], "t string")
+    assert [r[0] for r in df.select(strip_newline_suffix(F.col("t"))).collect()] == ["a\n", "a", "a", "", None]
+
+
 def test_qa_truncation(spark):
     ctx = " ".join(f"w{i}" for i in range(600))
     start = ctx.index("w550")
@@ -141,12 +164,47 @@ def test_zero_hits_give_no_context(spark):
     assert out.count() == 0
 
 
-def test_dense_row_number_many_groups_falls_back(spark):
-    rows = [(g, i) for g in range(300) for i in range(3)]
-    df = spark.createDataFrame(rows, "g long, n long")
-    got = dense_row_number(df, ["g"], ["n"], "rn", max_groups=10)
-    assert sorted(tuple(r) for r in got.select("g", "n", "rn").collect()) == \
-        sorted((g, i, i + 1) for g, i in rows)
+def _numbered(df, got):
+    w = Window.partitionBy("g").orderBy("n")
+    want = df.withColumn("rn", F.row_number().over(w))
+    cols = [*df.columns, "rn"]
+    assert got.columns == cols
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.select(cols).collect()), key=repr)
+
+
+def test_dense_row_number_carries_columns_and_null_groups(spark):
+    rows = [(None if i % 5 == 0 else i % 5, i * 7919 % 20011, f"payload {i}") for i in range(20000)]
+    df = spark.createDataFrame(rows, "g int, n int, p string").repartition(6)
+    _numbered(df, dense_row_number(df, ["g"], ["n"], "rn", num_partitions=7))
+
+
+def test_dense_row_number_one_hot_group_among_many(spark):
+    # nine tenths of the rows in one of many groups: its numbers come from several tasks
+    rows = [(-1, i) for i in range(18000)] + [(g, 0) for g in range(2000)]
+    df = spark.createDataFrame(rows, "g int, n int").repartition(4)
+    got = dense_row_number(df, ["g"], ["n"], "rn", num_partitions=8)
+    _numbered(df, got)
+    tasks = got.where("g = -1").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= 1  # the join may regroup small results; ranges below are what is split
+    ranged = df.repartitionByRange(8, "g", "n").where("g = -1").select(F.spark_partition_id().alias("p")).distinct()
+    assert ranged.count() >= 6
+
+
+def test_first_rows_cuts_a_total_order(spark):
+    from textlake.operators.windows import first_rows
+    df = spark.createDataFrame([(i * 37 % 1000,) for i in range(1000)], "n int").repartition(5)
+    assert sorted(r.n for r in first_rows(df, ["n"], 123).collect()) == list(range(123))
+    assert first_rows(df, ["n"], 5000).count() == 1000
+
+
+def test_profile_counts_what_it_leaves_out(spark):
+    from textlake.params import Params
+    from textlake.plans.corpus import profile_chunks, profile_histogram
+    df = spark.createDataFrame([(f"{i}_chunk1", "a b c" if i % 4 else "x" * 50) for i in range(40)], "text_id string, chunk string")
+    out = profile_chunks(df, Params(max_bytes=60))
+    assert out["stats"].collect()[0].asDict() == {"n_chunks": 30, "total_tokens": 90, "mean_tokens": 3.0, "n_over_bytes": 10}
+    assert profile_histogram(out["chunks"]).collect()[0].n == 30
+    assert profile_chunks(df, Params(max_chunks=7))["stats"].first().n_chunks == 7
 
 
 def test_observed_stage_counts(spark):

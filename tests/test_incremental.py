@@ -11,20 +11,47 @@ from textlake.streaming.incremental import (assemble_deltas, deltas, resume_feed
 from conftest import SMALL
 
 
-def test_upsert_batches_replay_and_compaction(spark, tmp_path):
+ROWS = "text_id string, pos int, payload string"
+
+
+def _state(table):
+    rows = table.read().collect()
+    assert len(rows) == len({r.text_id for r in rows})
+    return {r.text_id: r.payload for r in rows}
+
+
+def test_upsert_replay_and_late_batches(spark, tmp_path):
     t = UpsertTable(spark, str(tmp_path / "u"), ["text_id"], order="pos")
-    b1 = spark.createDataFrame([("a", 1, "a1"), ("a", 2, "a2"), ("b", 1, "b1")],
-                               "text_id string, pos int, payload string")
-    b2 = spark.createDataFrame([("b", 1, "b2"), ("c", 1, "c2")], "text_id string, pos int, payload string")
-    t.write_batch(b1, 1)
-    t.write_batch(b2, 2)
-    t.write_batch(b2, 2)  # replayed batch
-    want = {"a": "a2", "b": "b2", "c": "c2"}
-    assert {r.text_id: r.payload for r in t.read().collect()} == want
-    t.compact()
-    assert {r.text_id: r.payload for r in t.read().collect()} == want
-    t.write_batch(spark.createDataFrame([("a", 1, "a3")], "text_id string, pos int, payload string"), 3)
-    assert {r.text_id: r.payload for r in t.read().collect()} == {**want, "a": "a3"}
+    b1 = spark.createDataFrame([("a", 1, "a1"), ("a", 2, "a2"), ("b", 1, "b1"), (None, 1, "n1")], ROWS)
+    b2 = spark.createDataFrame([("b", 1, "b2"), ("c", 1, "c2")], ROWS)
+    t.write_batch(b1)
+    t.write_batch(b2)
+    t.write_batch(b2)  # replayed batch
+    want = {"a": "a2", "b": "b2", "c": "c2", None: "n1"}
+    assert _state(t) == want
+    t.write_batch(spark.createDataFrame([("a", 5, "a5"), ("c", 0, "late")], ROWS))
+    assert _state(t) == {**want, "a": "a5"}  # a late row of a smaller order changes nothing
+    t.write_batch(b1)  # an old batch of a restarted stream
+    assert _state(t)["a"] == "a5"
+
+
+def test_upsert_without_order_the_last_batch_wins(spark, tmp_path):
+    t = UpsertTable(spark, str(tmp_path / "u"), ["text_id"], parts=3)
+    t.write_batch(spark.createDataFrame([(str(i), i, "one") for i in range(50)], ROWS))
+    t.write_batch(spark.createDataFrame([(str(i), i, "two") for i in range(40, 60)], ROWS))
+    got = _state(t)
+    assert len(got) == 60 and [got[str(i)] for i in (39, 40, 59)] == ["one", "two", "two"]
+
+
+def test_upsert_touches_only_its_partitions(spark, tmp_path):
+    path = tmp_path / "u"
+    t = UpsertTable(spark, str(path), ["text_id"], parts=8)
+    t.write_batch(spark.createDataFrame([(str(i), i, "x") for i in range(200)], ROWS))
+    before = {f: f.stat().st_mtime_ns for f in path.glob("key_part=*/*.parquet")}
+    t.write_batch(spark.createDataFrame([("7", 1, "y")], ROWS))
+    after = set(path.glob("key_part=*/*.parquet"))
+    changed = {f.parent.name for f in set(before) ^ after}
+    assert len(changed) == 1 and t.read().count() == 200
 
 
 def test_append_new_is_exactly_once(spark, tmp_path):
@@ -37,6 +64,24 @@ def test_append_new_is_exactly_once(spark, tmp_path):
     assert out.count() == 20 and out.select("k").distinct().count() == 20
 
 
+def test_append_new_repeats_and_null_keys(spark, tmp_path):
+    p = str(tmp_path / "a")
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (None, "y")], "k long, v string")
+    append_new(df, p, ["k"])
+    append_new(df, p, ["k"])
+    assert sorted((r.k is None, r.k) for r in spark.read.parquet(p).collect()) == [(False, 1), (True, None)]
+
+
+def test_append_new_reads_only_touched_partitions(spark, tmp_path):
+    p = str(tmp_path / "a")
+    df = spark.createDataFrame([(i, f"d{i // 10}") for i in range(50)], "k long, day string")
+    append_new(df.where("k < 45"), p, ["k"], ["day"])
+    # a broken file in an untouched partition does no harm
+    (tmp_path / "a" / "day=d0" / "part-broken.parquet").write_bytes(b"no parquet")
+    append_new(df.where("k >= 40"), p, ["k"], ["day"])
+    assert spark.read.parquet(p + "/day=d4").count() == 10
+
+
 def _land_unordered(spark, events, src, n_files=4, dup=50, seed=7):
     """Events split into files in random order, with planted duplicates."""
     rows = events.collect()
@@ -114,3 +159,23 @@ def test_word_windows_on_a_stream(spark, tmp_path):
     q.stop()
     batch = explode_chunks(with_word_windows(docs, "text", 50), F.col("windows"), "doc_id", ["doc_id"])
     assert spark.table("stream_windows").count() == batch.count()
+
+
+def test_rounds_left_and_next_window(spark):
+    from textlake.streaming.incremental import next_window, rounds_left
+    marks = spark.createDataFrame([("a", "05/03/2021", 4), ("b", "01/01/2020", 99)], "source string, date string, round long")
+    out = {r.source: r for r in next_window(rounds_left(marks, 10)).collect()}
+    assert (out["a"].rounds_left, out["a"].window_start, out["a"].window_end) == (5, "01/01/2021", "05/03/2021")
+    assert out["b"].rounds_left == 0
+
+
+def test_upsert_feed_restarted_from_nothing(spark, tmp_path):
+    """A lost checkpoint reads all files again, in one batch: the table stays as it was."""
+    ev = spark.read.parquet(f"{SMALL}/events.parquet")
+    src = str(tmp_path / "src")
+    _land_unordered(spark, ev, src)
+    table = UpsertTable(spark, str(tmp_path / "t"), ["user_id"], order="ts")
+    for ck, files in (("a", 1), ("b", None)):
+        upsert_feed(spark, src, EVENTS, table, str(tmp_path / ck), max_files=files).awaitTermination(300)
+        got = {r.user_id: r.ts for r in table.read().select("user_id", "ts").collect()}
+        assert got == {r.user_id: r.ts for r in ev.groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}

@@ -138,3 +138,48 @@ def test_build_index_entities_and_malformed_day(spark):
     ], "day_id string, status int, body string")
     got = sorted((r.day_id, r.title) for r in build_index(_calendar(spark), landed, Params()).collect())
     assert got == [("20240101", "Ley & orden"), ("20240103", "Ley dos")]
+
+
+def test_build_index_finds_nested_items(spark):
+    nested = "<sumario><seccion n='1'><departamento>" + _item("Ley", "/diario_boe/xml.php?id=BOE-A-2024-1") + \
+        "<item id='x'><titulo>roto</item></departamento></seccion>" + _item("Orden", "/diario_boe/xml.php?id=BOE-C-2024-2") + "</sumario>"
+    landed = spark.createDataFrame([("20240101", 500, "error"), ("20240101", 200, nested)], "day_id string, status int, body string")
+    got = sorted((r.day_id, r.title) for r in build_index(_calendar(spark), landed, Params()).collect())
+    assert got == [("20240101", "Ley"), ("20240101", "Orden")]  # the broken item is lost alone
+
+
+def test_documents_landed_twice_count_once(spark):
+    url = "https://www.boe.es/diario_boe/xml.php?id=BOE-A-2024-1"
+    index = spark.createDataFrame([("20240101", url, "Ley")], "day_id string, url string, title string")
+    landed = spark.createDataFrame([(url, 500, "e", 3), (url, 200, DOC.format(t="a", body="old"), 1), (url, 200, DOC.format(t="a", body="new"), 2)],
+                                   "url string, status int, body string, landed_at int")
+    docs = build_documents(index, landed, None).collect()
+    assert len(docs) == 1 and docs[0].text.endswith("new")
+
+
+def test_boe_year_folders(spark, tmp_path):
+    from textlake.sources.files import read_year_folders
+    for y in (1995, 2001):
+        spark.createDataFrame([(y, i) for i in range(3)], "y int, i int").write.parquet(str(tmp_path / f"boe_{y}"))
+    spark.createDataFrame([(0, 0)], "y int, i int").write.parquet(str(tmp_path / "other_2001"))
+    out = read_year_folders(spark, str(tmp_path))
+    assert sorted((r.year, r.y) for r in out.collect()) == [(1995, 1995)] * 3 + [(2001, 2001)] * 3
+
+
+def test_failed_documents_are_drained(spark, tmp_path):
+    from textlake.plans.ingest import ingest_documents
+    from textlake.sinks.tables import read_marks
+    root = "https://www.boe.es/diario_boe/xml.php?id=BOE-A-2024-"
+    index = spark.createDataFrame([("20240101", f"{root}{n}", "t") for n in range(1, 6)], "day_id string, url string, title string")
+
+    def landed(bad):
+        return spark.createDataFrame([(f"{root}{n}", 500 if n in bad else 200, DOC.format(t="t", body=str(n))) for n in range(1, 6)],
+                                     "url string, status int, body string")
+    state = str(tmp_path / "s")
+    left = []
+    for bad in ((3, 5), (3,), ()):
+        ingest_documents(index, landed(bad), state)
+        keys = [r.doc_key for r in spark.read.parquet(state + "/documents").collect()]
+        assert len(keys) == len(set(keys))
+        left.append((len(keys), sorted(r.doc_key for r in read_marks(spark, state + "/retry").collect())))
+    assert left == [(3, ["A-2024-3", "A-2024-5"]), (4, ["A-2024-3"]), (5, [])]

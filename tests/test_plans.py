@@ -50,3 +50,61 @@ def test_no_registered_query_uses_a_cross_join(spark):
                  "prompt_by_model", "win_batch_numbers", "fn_extractive_summary"]:
         p = plan(E.queries()[name](spark, SMALL))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+
+
+def _exchanges(df):
+    """Distinct shuffles of the initial plan, without broadcasts, scalar subqueries and reuse."""
+    text = plan(df).split("== Initial Plan ==")[-1].split("Subquery")[0]
+    return [x for x in text.splitlines() if "Exchange" in x and "Broadcast" not in x and "Reused" not in x]
+
+
+def test_summary_shuffles_documents_once(spark):
+    # both branches read the same exchange of documents (the second is reused when it runs)
+    found = _exchanges(E.queries()["fn_extractive_summary"](spark, SMALL))
+    assert found and all("hashpartitioning(_k" in x for x in found) and len(found) <= 2
+
+
+def test_bm25_pairs_never_move(spark):
+    p = plan(E.queries()["rank_bm25_top10"](spark, SMALL))
+    # scores are summed where a document's postings are; only each task's best candidates are shuffled
+    sums = [x for x in p.splitlines() if "Exchange hashpartitioning(query_id" in x]
+    assert sums and all("doc_id" not in x for x in sums)
+    assert "Partial" in "".join(x for x in p.splitlines() if "WindowGroupLimit" in x)
+
+
+def test_spreading_starts_no_job(spark):
+    from textlake.operators.partitioning import spread_small
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan_df = d.join(d.select("doc_id").where("doc_id > 5"), "doc_id", "left_anti").orderBy("doc_id")
+    tracker, before = spark.sparkContext.statusTracker(), None
+    spark.sparkContext.setJobGroup("spread", "spread")
+    before = set(tracker.getJobIdsForGroup("spread"))
+    out = spread_small(plan_df, "doc_id")
+    assert set(tracker.getJobIdsForGroup("spread")) == before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == plan_df.count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from textlake import session as S
+
+    class Sc:
+        master = "spark://host:7077"
+        def getCheckpointDir(self): return None  # noqa: E704
+        def getConf(self): return {}  # noqa: E704
+
+    class Spark:
+        sparkContext = Sc()
+        conf = {}
+    with pytest.raises(RuntimeError):
+        S.ensure_checkpoint_dir(Spark())
+
+
+def test_broadcast_bound_is_in_bytes(spark):
+    from textlake.operators.joins import bounded_broadcast
+    ids = spark.range(10)
+    assert "ResolvedHint" in bounded_broadcast(ids, 1_000_000)._jdf.queryExecution().analyzed().toString()
+    texts = ids.selectExpr("id", "cast(id as string) as t")
+    assert "ResolvedHint" not in bounded_broadcast(texts, 1_000_000, text_bytes=4000)._jdf.queryExecution().analyzed().toString()

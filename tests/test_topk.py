@@ -128,3 +128,63 @@ def test_approx_hot_bucket_is_split(spark):
     got = approx_top_k(qs, df, 1, n_tables=2, n_bits=3,
                        params=Params(vector_block_bytes=16 * 8 * 20)).collect()
     assert {r.query_id: r.vec_id for r in got} == {10_000 + i: i for i in range(0, 900, 45)}
+
+
+def test_string_ids_and_small_tiles(spark, monkeypatch):
+    from textlake.operators import similarity as S
+    rng = np.random.default_rng(1)
+    vecs = rng.standard_normal((300, 8))
+    df = spark.createDataFrame([(f"v{i:03d}", [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id string, embedding array<float>")
+    q = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    rows = {r.vec_id: r.embedding for r in df.collect()}
+    want = brute(rows, rows, 4, True)
+    for strategy, params in (("broadcast", Params()), ("blocks", Params(query_block_bytes=1000, block_group_bytes=8000))):
+        got = {}
+        for r in S.top_k_similar(q, df, 4, exclude_same_id=True, strategy=strategy, params=params).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == want, strategy
+
+
+def test_kernel_memory_is_tiled(monkeypatch):
+    import tracemalloc
+
+    from textlake.operators import similarity as S
+    rng = np.random.default_rng(2)
+    v, q = rng.standard_normal((60_000, 4)), rng.standard_normal((3000, 4))
+    monkeypatch.setattr(S, "TILE_BYTES", 4 << 20)
+    ids = np.arange(60_000)
+    tracemalloc.start()
+    out = S._score_block(ids, v, ids[:3000], q, 2, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # the whole score matrix would take 1.4 GB
+    sim = v @ q[7]
+    sim[7] = -np.inf
+    assert out[out.query_id == 7].vec_id.tolist()[:2] == np.argsort(-sim)[:2].tolist()
+
+
+def test_signature_bits_grow_with_the_store():
+    from textlake.operators.similarity import signature_bits
+    assert [signature_bits(n) for n in (0, 256, 512, 1 << 18, 1 << 40)] == [1, 1, 1, 10, 24]
+
+
+def test_approx_default_bits_recall(spark):
+    from textlake.operators.similarity import approx_top_k
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((2000, 16))
+    store = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    qs = spark.createDataFrame([(5000 + i, [float(x) for x in base[i] + 0.05 * rng.standard_normal(16)]) for i in range(0, 2000, 20)],
+                               "query_id long, embedding array<float>")
+    got = {r.query_id: r.vec_id for r in approx_top_k(qs, store, 1).collect()}
+    assert sum(got.get(5000 + i) == i for i in range(0, 2000, 20)) >= 95
+
+
+def test_retrieve_refuses_other_encoders(spark):
+    import pytest
+
+    from textlake.plans.retrieval import retrieve
+    v = spark.createDataFrame([(1, [1.0, 0.0], "m1")], "vec_id long, embedding array<float>, model_id string")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding", F.lit("m2").alias("model_id"))
+    with pytest.raises(ValueError):
+        retrieve(q, v)
+    assert retrieve(q.withColumn("model_id", F.lit("m1")), v).count() == 1

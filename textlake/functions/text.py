@@ -86,8 +86,8 @@ def title_prefix(title: Column, text: Column) -> Column:
 
 
 def strip_newline_suffix(c: Column) -> Column:
-    """Remove one trailing newline."""
-    return F.regexp_replace(c, r"\n$", "")
+    """Remove one trailing newline (``$`` would also match before the last of two)."""
+    return F.regexp_replace(c, r"\n\z", "")
 
 
 def char_count(c: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.params import HIST_BINS
-from textlake.session import materialize
 
 
 def stage_counts(df: DataFrame, **conds: Column) -> DataFrame:
@@ -19,19 +18,17 @@ def stage_counts(df: DataFrame, **conds: Column) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins between min and max, the last bin closed.
 
-    One pass over the data: rows are first counted per distinct value
-    (partial aggregation; the result is no larger than the value range) and
-    that small table is checkpointed once; min / max are scalar subqueries
-    over it and the binning sums its counts (no join, no row-level second
-    pass). ``hi == lo`` puts every row into bin 0.
+    One pass for min and max (a scalar subquery), one binned count; each
+    shuffles at most a row per bin and task, whatever the number of distinct
+    values. ``hi == lo`` puts every row into bin 0.
     """
-    counts = materialize(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
-    lo = counts.select(F.min(col)).scalar()
-    hi = counts.select(F.max(col)).scalar()
-    width = hi - lo
+    v = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
+    span = v.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
+    v = v.withColumn("_s", span)
+    lo, width = F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo")
     b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((F.col(col) - lo) * F.lit(bins) / width), F.lit(bins - 1)))
-    return counts.groupBy(b.cast("long").alias("bin")).agg(F.sum("_n").alias("n"))
+        F.least(F.floor((F.col("v") - lo) * F.lit(bins) / width), F.lit(bins - 1)))
+    return v.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def percent_done(df: DataFrame, group: list[str], done: Column) -> DataFrame:
@@ -41,9 +38,9 @@ def percent_done(df: DataFrame, group: list[str], done: Column) -> DataFrame:
         (F.lit(100.0) * F.count_if(done) / F.count(F.lit(1))).alias("pct"))
 
 
-def high_water_marks(df: DataFrame, group: list[str], value: str) -> DataFrame:
+def high_water_marks(df: DataFrame, group: list[str], value: str, name: str = "hwm") -> DataFrame:
     """The mark is the maximum, not the last row seen."""
-    return df.groupBy(*group).agg(F.max(value).alias("hwm"))
+    return df.groupBy(*group).agg(F.max(value).alias(name))
 
 
 def outcome_counts(df: DataFrame, group: list[str], ok: Column) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions.text import keyword_match, object_bytes
+from textlake.operators.aggregates import high_water_marks
 from textlake.params import BYTES_OVERHEAD, MAX_BYTES
 
 
-def after_mark(df: DataFrame, key: str, mark: str | None, inclusive_first: bool = True) -> DataFrame:
+def after_mark(df: DataFrame, key: str, mark: str | None) -> DataFrame:
     """Rows after a high-water mark (string compare).
 
     With no mark yet (first run) the start is included; the reference skipped
@@ -38,7 +39,7 @@ def per_group_pending(items: DataFrame, done: DataFrame, group: list[str], numbe
     The mark table has one row per group (years x classes), so the join is
     small on one side and never ships the item table to every task.
     """
-    marks = done.groupBy(*group).agg(F.max(number).alias("_hwm"))
+    marks = high_water_marks(done, group, number, "_hwm")
     return (items.join(marks, group, "left")
                  .where(F.col(number) > F.coalesce(F.col("_hwm"), F.lit(0)))
                  .drop("_hwm"))

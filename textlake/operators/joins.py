@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows we accept to ship to every task when the bound is *proven* by the
-# caller (e.g. queries x k hits). Above it the optimizer's own size-checked
-# choice (AQE broadcast threshold, else sort-merge) applies.
-BROADCAST_ROW_BOUND = 2_000_000
+# Bytes we accept to ship to every executor when the number of rows is
+# *proven* by the caller (e.g. queries x k hits) and their columns are of
+# bounded width. Above it the optimizer's own size-checked choice (AQE
+# broadcast threshold, else sort-merge) applies.
+BROADCAST_BYTE_BOUND = 64 * 1024 * 1024
+_VARIABLE = ("string", "binary", "array", "map", "struct")
 
 
-def bounded_broadcast(df: DataFrame, rows_bound: int | None) -> DataFrame:
-    """Broadcast hint only behind a proven row bound."""
-    if rows_bound is not None and rows_bound <= BROADCAST_ROW_BOUND:
+def bounded_broadcast(df: DataFrame, rows_bound: int | None, text_bytes: int = 64) -> DataFrame:
+    """Broadcast hint only behind a proven bound in bytes.
+
+    A row counts 16 bytes a fixed-width column and ``text_bytes`` a column of
+    variable width (ids and terms; long texts need their own bound).
+    """
+    width = sum(text_bytes if t.startswith(_VARIABLE) else 16 for _, t in df.dtypes)
+    if rows_bound is not None and rows_bound * width <= BROADCAST_BYTE_BOUND:
         return F.broadcast(df)
     return df
 

@@ -15,7 +15,9 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     """
     if df.isStreaming:  # micro-batches are partitioned by the source
         return df
+    # the optimizer's size estimate: nothing is executed to decide
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if size >= target * df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)

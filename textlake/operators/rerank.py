@@ -1,15 +1,16 @@
 """Pair scoring and rerank.
 
 The reference reranks retrieved hits with a neural cross-encoder. The
-default scorer here is BM25 over lower-cased ``[a-z0-9]+`` terms with
+default scorer here is BM25 over folded ``[a-z0-9]+`` terms with
 corpus statistics from the whole document table, computed term-at-a-time:
 
 * postings ``(doc, term, tf, dl)`` come from one explode + partial/final
   aggregation;
 * query terms (bounded by the number of queries) are broadcast, so the
   postings are never shuffled for the match;
-* per-(query, doc) partial sums are combined map-side before the shuffle,
-  which keeps hot terms ("the") from concentrating in one task.
+* the postings of the query vocabulary are dealt out by document, so a hot
+  term ("the") is spread over all tasks and a document's scores are summed
+  where they are; only each task's best candidates are shuffled.
 
 A neural scorer plugs in through :func:`score_pairs_with` (Arrow batches).
 """
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textlake.functions.text import fold
 from textlake.operators.joins import bounded_broadcast
 from textlake.operators.partitioning import spread_small
 from textlake.session import materialize
@@ -30,12 +32,13 @@ TERM_PATTERN = "[a-z0-9]+"
 
 
 def terms(c: Column) -> Column:
-    """Runs of ``[a-z0-9]`` in the lower-cased text.
+    """Runs of ``[a-z0-9]`` in the folded text (accents dropped, lower case),
+    so accented words stay whole.
 
     Written as a split on the complement (empty pieces removed): the same
     terms as extracting every match, at about half the cost.
     """
-    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
+    return F.array_remove(F.split(fold(c), "[^a-z0-9]+"), "")
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -94,13 +97,16 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     if candidates is None:
         # term-at-a-time over the whole corpus: postings x query terms
-        m = post.join(bounded_broadcast(qt, bound), "term")
+        m = post.repartition("doc_id").join(bounded_broadcast(qt, bound), "term")
     else:
         # rerank: start from the retrieved pairs (queries x k), so a term
         # shared by many queries never multiplies the postings of all docs
         pairs = bounded_broadcast(candidates.select("query_id", "doc_id"), candidates_bound)
         m = post.join(pairs, "doc_id") \
                 .join(bounded_broadcast(qt, bound), ["query_id", "term"], "left_semi")
+    # a document's postings meet in one partition (they are few: query terms
+    # only), so its scores are summed there and top_n cuts them before the
+    # one exchange of candidates; the (query, document) pairs never move
     m = m.join(df, "term")
     part = idf * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))

@@ -25,20 +25,28 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from textlake.params import Params
 
-CANDIDATES = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("vec_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
+# One score tile (vectors x queries, double) and its partition copy.
+TILE_BYTES = 32 * 1024 * 1024
+_QUERY_TILE = 1024
 
-_QUERY_SLICE = 2048  # query columns scored at once inside a batch
+
+def _candidates(queries: DataFrame, query_id: str, vectors: DataFrame, vec_id: str) -> T.StructType:
+    """Schema of candidate rows; ids keep their own type (numbers or strings)."""
+    return T.StructType([T.StructField("query_id", _id_type(queries, query_id)),
+                         T.StructField("vec_id", _id_type(vectors, vec_id)),
+                         T.StructField("score", T.DoubleType())])
+
+
+def _id_type(df: DataFrame, name: str) -> T.DataType:
+    return T.StringType() if isinstance(df.schema[name].dataType, T.StringType) else T.LongType()
 
 
 def _unit_rows(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -62,29 +70,39 @@ def _compact(cand: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def _score_block(vids: np.ndarray, vmat: np.ndarray, qids: np.ndarray, qmat: np.ndarray,
                  k: int, exclude_same_id: bool) -> pd.DataFrame:
-    """Candidates (ties at the k-th score kept) of one vector block."""
-    out = []
-    nv = len(vids)
-    if nv == 0 or len(qids) == 0:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-    for s in range(0, len(qids), _QUERY_SLICE):
-        q_ids = qids[s:s + _QUERY_SLICE]
-        sim = vmat @ qmat[s:s + _QUERY_SLICE].T  # (nv, nq)
-        if exclude_same_id:
-            sim[vids[:, None] == q_ids[None, :]] = -np.inf
-        if nv > k:
-            kth = np.partition(sim, nv - k, axis=0)[nv - k]
-            rows, cols = np.nonzero(sim >= kth[None, :])
-        else:
-            rows, cols = np.nonzero(np.ones_like(sim, dtype=bool))
-        sc = sim[rows, cols]
-        keep = np.isfinite(sc)
-        out.append(pd.DataFrame({"query_id": q_ids[cols[keep]], "vec_id": vids[rows[keep]],
-                                 "score": sc[keep]}))
+    """Top-k candidates of one vector block, scored in tiles of both sides.
+
+    A tile holds ``TILE_BYTES`` of scores at most, however many vectors and
+    queries the block has; each query tile keeps its running top-k only.
+    """
+    out = [pd.DataFrame({"query_id": qids[:0], "vec_id": vids[:0], "score": np.zeros(0)})]
+    rows = max(1, TILE_BYTES // (8 * _QUERY_TILE))
+    for s in range(0, len(qids), _QUERY_TILE):
+        q_ids, q_tile, best = qids[s:s + _QUERY_TILE], qmat[s:s + _QUERY_TILE].T, None
+        for r in range(0, len(vids), rows):
+            v_ids = vids[r:r + rows]
+            sim = vmat[r:r + rows] @ q_tile  # (vectors, queries)
+            if exclude_same_id:
+                sim[v_ids[:, None] == q_ids[None, :]] = -np.inf
+            if len(v_ids) > k:  # ties at the k-th score are kept
+                kth = np.partition(sim, len(v_ids) - k, axis=0)[len(v_ids) - k]
+                i, j = np.nonzero((sim >= kth[None, :]) & np.isfinite(sim))
+            else:
+                i, j = np.nonzero(np.isfinite(sim))
+            tile = pd.DataFrame({"query_id": q_ids[j], "vec_id": v_ids[i], "score": sim[i, j]})
+            best = tile if best is None else _compact(pd.concat([best, tile], ignore_index=True), k)
+        if best is not None:
+            out.append(best)
     return pd.concat(out, ignore_index=True)
 
 
-def _broadcast_scorer(bq, k: int, dim: int, exclude_same_id: bool):
+def _ids(col) -> np.ndarray:
+    """Ids of an Arrow column: 64-bit numbers, or Python strings."""
+    x = col.to_numpy(zero_copy_only=False) if hasattr(col, "to_numpy") and not hasattr(col, "combine_chunks") else col.to_numpy()
+    return x if x.dtype == object else x.astype(np.int64)
+
+
+def _broadcast_scorer(bq, k: int, dim: int, exclude_same_id: bool, schema):
     """``mapInArrow`` kernel: each Arrow batch's flat float buffer is reshaped
     to an (n, dim) matrix without per-row Python objects."""
     import pyarrow as pa
@@ -95,7 +113,7 @@ def _broadcast_scorer(bq, k: int, dim: int, exclude_same_id: bool):
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            vids = rb.column("vid").to_numpy(zero_copy_only=False).astype(np.int64)
+            vids = _ids(rb.column("vid"))
             flat = rb.column("vec").flatten().to_numpy(zero_copy_only=False)
             vmat = flat.astype(np.float64).reshape(rb.num_rows, dim)
             n = np.linalg.norm(vmat, axis=1)
@@ -109,9 +127,7 @@ def _broadcast_scorer(bq, k: int, dim: int, exclude_same_id: bool):
                 acc = _compact(acc, k)
         if acc is not None and len(acc):
             out = _compact(acc, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["query_id"].to_numpy(np.int64)), pa.array(out["vec_id"].to_numpy(np.int64)),
-                 pa.array(out["score"].to_numpy(np.float64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_pandas(out[["query_id", "vec_id", "score"]], schema=schema, preserve_index=False)
     return run
 
 
@@ -127,23 +143,18 @@ def _arrow_matrix(col, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return mat, ok
 
 
-def _block_scorer(k: int, dim: int, exclude_same_id: bool):
+def _block_scorer(k: int, dim: int, exclude_same_id: bool, schema):
     """``cogroup().applyInArrow`` kernel: one (query block, vector block) pair."""
     import pyarrow as pa
 
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
     def run(q, v):
         qmat, qok = _arrow_matrix(q.column("qvec"), q.num_rows, dim)
         vmat, vok = _arrow_matrix(v.column("vec"), v.num_rows, dim)
         if not qok.any() or not vok.any():
             return schema.empty_table()
-        qids = q.column("qid").to_numpy().astype(np.int64)[qok]
-        vids = v.column("vid").to_numpy().astype(np.int64)[vok]
+        qids, vids = _ids(q.column("qid"))[qok], _ids(v.column("vid"))[vok]
         out = _compact(_score_block(vids, vmat[vok], qids, qmat[qok], k, exclude_same_id), k)
-        return pa.table([pa.array(out["query_id"].to_numpy(np.int64)),
-                         pa.array(out["vec_id"].to_numpy(np.int64)),
-                         pa.array(out["score"].to_numpy(np.float64))], schema=schema)
+        return pa.Table.from_pandas(out[["query_id", "vec_id", "score"]], schema=schema, preserve_index=False)
     return run
 
 
@@ -158,13 +169,15 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
     query dimension, and zero vectors, are never returned.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("qvec"))
+    kinds = _candidates(queries, query_id, vectors, vec_id)
+    arrow = to_arrow_schema(kinds)
+    q = queries.select(F.col(query_id).cast(kinds["query_id"].dataType).alias("qid"), F.col(query_vec).alias("qvec"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim"),
                   F.min(F.size("qvec")).alias("dmin")).first()
     n_q, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
     if n_q and stats["dmin"] != dim:
         raise ValueError("query vectors have mixed dimensions")
-    v = vectors.select(F.col(vec_id).cast("long").alias("vid"), F.col(vec).alias("vec")) \
+    v = vectors.select(F.col(vec_id).cast(kinds["vec_id"].dataType).alias("vid"), F.col(vec).alias("vec")) \
         .where(F.size("vec") == F.lit(dim))
     q_bytes = n_q * dim * 8
     if strategy is None:
@@ -173,9 +186,9 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
     if strategy == "broadcast":
         pdf = q.toPandas()
         qmat, ok = _unit_rows(pdf["qvec"].tolist())
-        qids = pdf["qid"].to_numpy(dtype=np.int64)
+        qids = pdf["qid"].to_numpy()
         bq = spark.sparkContext.broadcast((qids[ok], qmat[ok]) if len(qids) else (qids, qmat))
-        cand = v.mapInArrow(_broadcast_scorer(bq, k, dim, exclude_same_id), CANDIDATES)
+        cand = v.mapInArrow(_broadcast_scorer(bq, k, dim, exclude_same_id, arrow), kinds)
     else:
         n_v = v.count()
         half = max(1, params.block_group_bytes // 2)
@@ -189,7 +202,7 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
         vb = v.withColumn("vb", F.pmod(F.xxhash64("vid"), F.lit(nv_blocks)).cast("int")) \
               .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq_blocks - 1))))
         cand = qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")) \
-                 .applyInArrow(_block_scorer(k, dim, exclude_same_id), CANDIDATES)
+                 .applyInArrow(_block_scorer(k, dim, exclude_same_id, arrow), kinds)
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (cand.withColumn("rank", F.row_number().over(w).cast("long"))
@@ -202,20 +215,6 @@ def threshold(hits: DataFrame, min_score: float, score: str = "score") -> DataFr
     return hits.where(F.col(score) >= F.lit(min_score))
 
 
-def cosine_pairs(left: DataFrame, right: DataFrame, on: Column | str,
-                 a: str, b: str) -> DataFrame:
-    """Score rows already paired by an equi-join key (no pair generation)."""
-    from textlake.functions.vectors import cosine
-    return left.join(right, on).withColumn("score", cosine(F.col(a), F.col(b)))
-
-
-SIGNED = T.StructType([
-    T.StructField("id", T.LongType()),
-    T.StructField("vec", T.ArrayType(T.FloatType())),
-    T.StructField("buckets", T.ArrayType(T.IntegerType())),
-])
-
-
 def _signer(bplanes, n_tables: int, n_bits: int, dim: int):
     """Random-hyperplane signature per table, from each Arrow batch at once."""
     import pyarrow as pa
@@ -236,59 +235,61 @@ def _signer(bplanes, n_tables: int, n_bits: int, dim: int):
     return run
 
 
-def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: int = 8,
-                 n_bits: int = 4, seed: int = 17, query_id: str = "query_id",
+def signature_bits(n_vectors: int, bucket_rows: int = 256, most: int = 24) -> int:
+    """Hyperplanes per table: buckets of about ``bucket_rows`` vectors, so that
+    the work for a query does not grow with the store."""
+    return int(min(most, max(1, round(math.log2(max(n_vectors, 1) / bucket_rows) if n_vectors > bucket_rows else 1))))
+
+
+def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: int = 16,
+                 n_bits: int | None = None, seed: int = 17, query_id: str = "query_id",
                  query_vec: str = "embedding", vec_id: str = "vec_id", vec: str = "embedding",
                  exclude_same_id: bool = False, params: Params = Params()) -> DataFrame:
     """Approximate top-k (locality-sensitive hashing on cosine).
 
     A vector is a candidate for a query when their signatures agree in at
-    least one of ``n_tables`` tables of ``n_bits`` random hyperplanes. Each
-    (table, bucket) group is split into hash sub-blocks sized to
-    ``params.vector_block_bytes`` (a hot bucket is spread over many tasks;
-    its queries are replicated to the sub-blocks), scored with the exact
-    kernel, and only local top-k rows leave a group -- no pair table. The
-    number of sub-blocks is decided per bucket from sampled bucket sizes. Scores
-    are exact cosines; only the candidate set is approximate, as with the
-    reference's hosted index. ``n_bits=0`` degenerates to the exact result.
+    least one of ``n_tables`` tables of ``n_bits`` random hyperplanes (by
+    default from the number of vectors). Each (table, bucket) is cut into a
+    grid of query parts x vector parts, from the counted bucket sizes, so
+    that neither side of a hot bucket is copied whole into one task; cells
+    are scored with the exact kernel, and only local top-k rows leave them --
+    no pair table. Scores are exact cosines; only the candidate set is
+    approximate, as with the reference's hosted index. ``n_bits=0``
+    degenerates to the exact result.
     """
     spark = queries.sparkSession
-    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).alias("vec"))
-    stats = q.agg(F.max(F.size("vec")).alias("dim")).first()
-    dim = int(stats["dim"] or 0)
-    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).alias("vec")) \
+    kinds = _candidates(queries, query_id, vectors, vec_id)
+    arrow = to_arrow_schema(kinds)
+    q = queries.select(F.col(query_id).cast(kinds["query_id"].dataType).alias("id"), F.col(query_vec).alias("vec"))
+    dim = int(q.agg(F.max(F.size("vec"))).first()[0] or 0)
+    v = vectors.select(F.col(vec_id).cast(kinds["vec_id"].dataType).alias("id"), F.col(vec).alias("vec")) \
         .where(F.size("vec") == F.lit(dim))
     q = q.where(F.size("vec") == F.lit(dim))
+    if n_bits is None:
+        n_bits = signature_bits(v.count())
     rng = np.random.default_rng(seed)
-    planes = rng.standard_normal((n_tables * n_bits, dim))
-    bp = spark.sparkContext.broadcast(planes)
-    sign = _signer(bp, n_tables, n_bits, dim)
-    n_v = v.count()
-    # Sub-blocks per bucket, sized from a sample of the signed vectors: a hot
-    # bucket gets proportionally many sub-blocks. The size table has at most
-    # n_tables x 2^n_bits rows (a proven bound for the broadcast); the sample
-    # only decides the split, never the result.
-    frac = min(1.0, 200_000 / max(n_v, 1))
-    rows_per_block = max(1, params.vector_block_bytes // max(dim * 8, 1))
-    sample = v.sample(fraction=frac, seed=seed) if frac < 1.0 else v
-    sizes = sample.mapInArrow(sign, SIGNED).select(F.posexplode("buckets").alias("tbl", "bucket")) \
-        .groupBy("tbl", "bucket").agg((F.count(F.lit(1)) / F.lit(frac)).alias("est")) \
-        .select("tbl", "bucket",
-                F.greatest(F.lit(1), F.ceil(F.col("est") / rows_per_block)).cast("int").alias("n_sub"))
-    sizes = F.broadcast(sizes)
-    vs = v.mapInArrow(sign, SIGNED).select(
-        F.col("id").alias("vid"), "vec", F.posexplode("buckets").alias("tbl", "bucket")) \
-        .join(sizes, ["tbl", "bucket"], "left") \
-        .withColumn("sub", F.pmod(F.xxhash64("vid"), F.coalesce("n_sub", F.lit(1))).cast("int")) \
-        .drop("n_sub")
-    qs = q.mapInArrow(sign, SIGNED).select(
-        F.col("id").alias("qid"), F.col("vec").alias("qvec"), F.posexplode("buckets").alias("tbl", "bucket")) \
-        .join(sizes, ["tbl", "bucket"], "left") \
-        .withColumn("sub", F.explode(F.sequence(F.lit(0), F.coalesce("n_sub", F.lit(1)) - 1))) \
-        .drop("n_sub")
-    keys = ["tbl", "bucket", "sub"]
-    cand = qs.groupBy(*keys).cogroup(vs.groupBy(*keys)) \
-        .applyInArrow(_block_scorer(k, dim, exclude_same_id), CANDIDATES)
+    bp = spark.sparkContext.broadcast(rng.standard_normal((n_tables * n_bits, dim)))
+    rows_per_cell = max(1, params.vector_block_bytes // max(dim * 8, 1))
+
+    def signed(side: DataFrame, name: str, values: str) -> DataFrame:
+        schema = T.StructType([side.schema["id"], side.schema["vec"], T.StructField("buckets", T.ArrayType(T.IntegerType()))])
+        return side.mapInArrow(_signer(bp, n_tables, n_bits, dim), schema).select(
+            F.col("id").alias(name), F.col("vec").alias(values), F.posexplode("buckets").alias("tbl", "bucket"))
+
+    def parts(side: DataFrame, name: str) -> DataFrame:
+        n = F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell)).cast("int")
+        return side.groupBy("tbl", "bucket").agg(n.alias(name))
+
+    vs, qs = signed(v, "vid", "vec"), signed(q, "qid", "qvec")
+    # a bucket without queries or without vectors gives no candidates
+    grid = parts(vs, "n_v").join(parts(qs, "n_q"), ["tbl", "bucket"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    vs = vs.join(grid, ["tbl", "bucket"]).withColumn("v_part", own("vid", "n_v")).withColumn("q_part", every("n_q"))
+    qs = qs.join(grid, ["tbl", "bucket"]).withColumn("q_part", own("qid", "n_q")).withColumn("v_part", every("n_v"))
+    keys = ["tbl", "bucket", "q_part", "v_part"]
+    cand = qs.select("qid", "qvec", *keys).groupBy(*keys).cogroup(vs.select("vid", "vec", *keys).groupBy(*keys)) \
+        .applyInArrow(_block_scorer(k, dim, exclude_same_id, arrow), kinds)
     # a pair found in several tables carries the same exact score
     cand = cand.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))

@@ -13,23 +13,19 @@ through :func:`summarize_with` (Arrow batches).
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textlake.operators.partitioning import spread_small
 from textlake.operators.rerank import terms
 
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, pos (1-based), sentence`` -- trimmed, empty ones dropped."""
-    s = spread_small(docs).select(F.col(key).alias("_k"),
-                    F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(SENTENCE_PATTERN), 0))
-                    .alias("_p", "sentence"))
-    s = s.withColumn("sentence", F.trim("sentence")).where(F.length("sentence") > 0)
-    return s.select(F.col("_k").alias(key), (F.col("_p") + 1).alias("pos"), "sentence")
+def sentences(text) -> Column:
+    """Array of the trimmed, non-empty sentences of a text."""
+    found = F.regexp_extract_all(text, F.lit(SENTENCE_PATTERN), 0)
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def extractive_summary(docs: DataFrame, n: int = 3, key: str = "doc_id", text: str = "text",
@@ -39,26 +35,25 @@ def extractive_summary(docs: DataFrame, n: int = 3, key: str = "doc_id", text: s
     score(sentence) = mean over its term occurrences of ln(n_sent / df)
                     = ln(n_sent) - mean(ln df),
     with df the number of sentences of the same document containing the
-    term. Token rows are shuffled once, by (document, term): the document
-    frequency and the join back to the tokens reuse that partitioning, the
-    per-sentence mean is combined map-side, and the sentence count joins at
-    sentence level.
+    term. Documents are dealt out by key once; tokens are exploded, counted,
+    scored and ranked inside the partition of their document (every grouping
+    starts with the key), so no token is shuffled.
     """
-    s = sentences(docs, key, text)
-    tok = s.select(key, "pos", F.explode(terms(F.col("sentence"))).alias("term")) \
-        .repartition(key, "term")
-    df = tok.groupBy(key, "term").agg(F.count_distinct("pos").alias("df"))
-    mean_ln_df = tok.join(df, [key, "term"]).groupBy(key, "pos") \
-        .agg(F.avg(F.log(F.col("df"))).alias("_m"))
-    n_sent = s.groupBy(key).agg(F.count(F.lit(1)).alias("n_sent"))
-    scored = mean_ln_df.join(n_sent, key) \
-        .select(key, "pos", F.round(F.log(F.col("n_sent")) - F.col("_m"), 6).alias("score"))
-    rk = Window.partitionBy(key).orderBy(F.desc("score"), F.asc("pos"))
+    d = docs.select(F.col(key).alias("_k"), sentences(F.col(text)).alias("_s")).repartition("_k")
+    tok = d.select("_k", F.size("_s").alias("n_sent"), F.posexplode("_s").alias("pos", "sentence")) \
+        .select("_k", "n_sent", "pos", F.explode(terms(F.col("sentence"))).alias("term"))
+    # the sentences of a document with a term, with how often each has it
+    per = tok.groupBy("_k", "n_sent", "term", "pos").agg(F.count(F.lit(1)).alias("_c"))
+    per = per.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("_k", "term")))
+    scored = per.groupBy("_k", "n_sent", "pos").agg(
+        (F.sum(F.col("_c") * F.log(F.col("df"))) / F.sum("_c")).alias("_m"))
+    scored = scored.select("_k", "pos", F.round(F.log(F.col("n_sent")) - F.col("_m"), 6).alias("score"))
+    rk = Window.partitionBy("_k").orderBy(F.desc("score"), F.asc("pos"))
     best = scored.withColumn("_r", F.row_number().over(rk)).where(F.col("_r") <= n)
-    chosen = best.join(s, [key, "pos"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
-    return chosen.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["sentence"]), " ")
-                                   .alias(out))
+    best = best.groupBy("_k").agg(F.sort_array(F.collect_list("pos")).alias("_p"))
+    chosen = best.join(d, "_k")
+    return chosen.select(F.col("_k").alias(key), F.array_join(
+        F.transform("_p", lambda i: F.get(F.col("_s"), i)), " ").alias(out))
 
 
 def summarize_with(df: DataFrame, summarizer, text: str = "text",

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textlake.session import materialize
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -24,63 +26,51 @@ def budget_cut(df: DataFrame, group: str, order: list, tokens: str, limit: int)
               .where(F.col("cum_tokens") < F.lit(limit)))
 
 
-def rank_position(df: DataFrame, group: str, order: list, name: str = "rank_pos",
-                  base: int = 0) -> DataFrame:
-    """``row_number`` over an explicit total order, starting at ``base``."""
-    w = Window.partitionBy(group).orderBy(*_cols(order))
-    return df.withColumn(name, F.row_number().over(w) - F.lit(1 - base))
-
-
 def last_n(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """last ``n`` rows of each group (conversation memory)."""
     w = Window.partitionBy(group).orderBy(F.desc(order))
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def latest_per_key(df: DataFrame, key: list, order: list) -> DataFrame:
-    """The newest row per key under an explicit total order."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) if isinstance(c, str) else c for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
 def dense_row_number(df: DataFrame, partition_cols: list[str], order_cols: list[str],
-                     name: str = "row_no", num_partitions: int | None = None,
-                     max_groups: int = 100_000) -> DataFrame:
+                     name: str = "row_no", num_partitions: int | None = None) -> DataFrame:
     """1-based row number within ``partition_cols`` ordered by ``order_cols``.
 
     A plain ``Window.partitionBy(year)`` sends a whole year to one task; when
     one year holds a third of the rows that task holds a third of the data.
     Here rows are range-partitioned on (partition, order) keys -- sampling
-    splits a hot year over many tasks -- numbered locally with
-    ``monotonically_increasing_id`` (partition index in the high bits), and
-    shifted by the row counts of earlier tasks of the same group. The offset
-    table has at most (groups + tasks) rows; the number of groups is
-    estimated first and above ``max_groups`` the plain window is used.
+    splits a hot group over many tasks, whatever the number of groups --
+    numbered inside each task, and shifted by the counts of earlier tasks of
+    the same group (at most groups + tasks rows).
+
+    Both branches must see the same ranges, and each exchange would sample
+    its own, so the numbered rows are stored once in the checkpoint folder.
+    NULL is a group like any other; columns outside the keys are carried.
     """
     keys = partition_cols + order_cols
-    # The offset table is broadcast: check its bound first. Many groups mean
-    # small groups, where the plain window is the right tool.
-    n_groups = df.select(F.approx_count_distinct(F.struct(*partition_cols))).first()[0]
-    if n_groups > max_groups:
-        w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
     n = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ranged = df.repartitionByRange(int(n), *keys).sortWithinPartitions(*keys) \
         .withColumn("_mid", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
-        .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    # Each task covers a contiguous key range, so the offset table has at
-    # most (#groups + #tasks) rows, and #groups was checked above: the
-    # broadcast below has a bound.
-    starts = ranged.groupBy(*partition_cols, "_pid").agg(
-        F.min("_loc").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ranged = materialize(ranged.withColumn("_pid", F.shiftright("_mid", 33)))
+    starts = ranged.groupBy(*partition_cols, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*partition_cols).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = starts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = ranged.join(F.broadcast(offsets.select(*partition_cols, "_pid", "_first", "_off")),
-                      partition_cols + ["_pid"])
-    return out.withColumn(name, (F.col("_loc") - F.col("_first") + F.col("_off") + 1)) \
-        .drop("_mid", "_pid", "_loc", "_first", "_off")
+    offsets = starts.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o_{c}") for c in partition_cols],
+                            (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = F.col("_pid") == F.col("_opid")
+    for c in partition_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    out = ranged.join(offsets, same)
+    return out.withColumn(name, F.col("_mid") + F.col("_shift") + 1).select(*df.columns, name)
+
+
+def first_rows(df: DataFrame, order_cols: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows under a total order, however large ``n`` is.
+
+    ``orderBy().limit(n)`` lets every partition send up to ``n`` rows to one
+    task; here rows are numbered across range partitions and cut.
+    """
+    return dense_row_number(df, [], order_cols, "_row_no").where(F.col("_row_no") <= n).drop("_row_no")
 
 
 def batch_label(row_no: Column, size: int) -> Column:

@@ -18,9 +18,7 @@ MAX_BYTES = 40_000
 BYTES_OVERHEAD = 33  # interpreter object header counted with the payload
 UPSERT_BATCH = 50
 ENCODE_BATCH = 32
-FETCH_BATCH = 1_000
 TOP_K = 10
-TOP_K_APP = 50
 RERANK_TOP_N = 10
 SCORE_THRESHOLD = 0.5
 TOKEN_BUDGET = 5_120
@@ -57,7 +55,8 @@ class Params:
     chunk_size: int = CHUNK_SIZE
     chunk_overlap: int = CHUNK_OVERLAP
     separators: tuple[str, ...] = CHUNK_SEPARATORS
-    max_chunks: int = MAX_CHUNKS
+    # None: no cap; MAX_CHUNKS is the value to pass where the cap is wanted
+    max_chunks: int | None = None
     max_bytes: int = MAX_BYTES
     upsert_batch: int = UPSERT_BATCH
     top_k: int = TOP_K

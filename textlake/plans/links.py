@@ -15,6 +15,7 @@ from textlake.functions.markup import all_hrefs, drop_amp
 from textlake.operators.filters import non_empty_link
 from textlake.operators.joins import not_yet_stored
 from textlake.params import COURT_ROOT
+from textlake.sinks.tables import append_new, path_exists
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -29,6 +30,15 @@ def harvest_links(links: DataFrame, stored: DataFrame | None, root: str = COURT_
     return ok.select("base_url", F.concat(F.lit(root), drop_amp(F.col("base_url"))).alias("final_url"))
 
 
+def append_links(links: DataFrame, path: str, root: str = COURT_ROOT) -> DataFrame:
+    """One harvest run (B9, D1): new ``base_url, final_url`` pairs are appended
+    to the link table at ``path``; the run's E9 counts are returned."""
+    spark = links.sparkSession
+    stored = spark.read.parquet(path) if path_exists(spark, path) else None
+    append_new(harvest_links(links, stored, root), path, ["base_url"])
+    return harvest_counts(links)
+
+
 def harvest_counts(links: DataFrame) -> DataFrame:
     """Resolved vs empty links."""
     good = F.col("base_url").isNotNull() & (F.col("base_url") != "") & (F.col("base_url") != "/")

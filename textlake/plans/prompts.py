@@ -26,6 +26,19 @@ def conversation_prompts(turns: DataFrame, model: Column, memory: int = MEMORY_T
                     fill_by_model(model, context=F.col("context"), query=F.col("query")).alias("prompt"))
 
 
+def context_prompts(contexts: DataFrame, queries: DataFrame, model: Column, query_text: str = "text",
+                    sep: str = "\n\n") -> DataFrame:
+    """One prompt per query from its ranked contexts (``query_id, rank,
+    context, tokens``); a query without contexts gets an empty context."""
+    ctx = contexts.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("tokens_used"),
+        ordered_join(F.col("rank"), F.col("context"), sep).alias("context"))
+    q = queries.select("query_id", F.col(query_text).alias("query")).join(ctx, "query_id", "left")
+    return q.select("query_id", model.alias("model"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
+                    F.coalesce("tokens_used", F.lit(0)).cast("long").alias("tokens_used"),
+                    fill_by_model(model, context=F.col("context"), query=F.col("query")).alias("prompt"))
+
+
 def context_report(hits: DataFrame, stamp: str, shown: int = CONTEXTS_SHOWN) -> DataFrame:
     """Summary lines, then the first ``shown``
     hits as label/value blocks. ``hits``: query_id, rank, date, title, url,

@@ -6,11 +6,13 @@ running-sum budget -> ordered assembly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions.tokens import token_count
+from textlake.operators.embedding import same_model
 from textlake.operators.joins import bounded_broadcast, pair_with
+from textlake.operators.rerank import bm25, rerank
 from textlake.operators.similarity import threshold, top_k_similar
 from textlake.operators.windows import budget_cut
 from textlake.params import Params
@@ -29,6 +31,8 @@ def retrieve(queries: DataFrame, store: DataFrame, params: Params = Params(), *,
     it also cuts the lineage back to the vector scan.
     """
     k = params.top_k if k is None else k
+    if "model_id" in queries.columns and "model_id" in store.columns:
+        same_model(queries, store)  # vectors of different encoders are never compared
     hits = top_k_similar(queries, store, k, query_id=query_id, query_vec=query_vec,
                          vec_id=vec_id, vec=vec, exclude_same_id=exclude_same_id,
                          params=params)
@@ -37,8 +41,9 @@ def retrieve(queries: DataFrame, store: DataFrame, params: Params = Params(), *,
 
 
 def with_context(hits: DataFrame, docs: DataFrame, doc_key: str, text: str,
-                 n_queries: int | None, k: int) -> DataFrame:
-    """Attach each hit's text and its token count.
+                 n_queries: int | None, k: int, keep: dict[str, Column] | None = None) -> DataFrame:
+    """Attach each hit's text, its token count and the ``keep`` columns of the
+    document, all in one scan.
 
     Token counts are computed once per *distinct* hit document: the
     documents are first reduced to the hit ids (semi join against the
@@ -47,7 +52,8 @@ def with_context(hits: DataFrame, docs: DataFrame, doc_key: str, text: str,
     """
     bound = None if n_queries is None else n_queries * k
     ids = bounded_broadcast(hits.select(F.col("vec_id").alias("_doc")).distinct(), bound)
-    texts = docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("context")) \
+    kept = [c.alias(name) for name, c in (keep or {}).items()]
+    texts = docs.select(F.col(doc_key).alias("_doc"), F.col(text).alias("context"), *kept) \
         .join(ids, "_doc", "left_semi")
     if bound is not None:
         # The hit documents are few (at most queries x k) but often sit in a
@@ -78,3 +84,22 @@ def answer_contexts(queries: DataFrame, store: DataFrame, docs: DataFrame,
                     materialize=True)
     ctx = with_context(hits, docs, doc_key, text, n_q, params.top_k)
     return assemble(ctx, params.token_budget)
+
+
+def reranked_contexts(queries: DataFrame, store: DataFrame, docs: DataFrame, params: Params = Params(), *,
+                      min_score: float | None = None, exclude_same_id: bool = False, query_text: str = "text",
+                      doc_key: str = "doc_id", text: str = "text") -> DataFrame:
+    """P7 + P8: top-k, threshold, BM25 rerank of the query's text against the
+    hits, the best ``params.rerank_top_n`` of them, cut to the token budget in
+    the order of the rerank.
+
+    ``query_id, vec_id, rank (0-based), context, tokens, cum_tokens``.
+    """
+    n_q = queries.count()
+    hits = retrieve(queries, store, params, min_score=min_score, exclude_same_id=exclude_same_id, materialize=True)
+    pairs = hits.select("query_id", F.col("vec_id").alias("doc_id"))
+    scores = bm25(queries, docs, query_text=query_text, doc_id=doc_key, doc_text=text, candidates=pairs,
+                  n_queries=n_q, candidates_bound=n_q * params.top_k).withColumn("score", F.round("score", 6))
+    best = rerank(hits, scores, params.rerank_top_n).select("query_id", "vec_id", F.col("rank_pos").cast("long").alias("rank"))
+    ctx = with_context(best, docs, doc_key, text, n_q, params.rerank_top_n)
+    return budget_cut(ctx, "query_id", ["rank"], "tokens", params.token_budget)

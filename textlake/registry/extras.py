@@ -5,22 +5,21 @@ from pyspark.sql import functions as F
 from textlake.operators.rerank import expand_queries
 from textlake.operators.summary import SENTENCE_PATTERN, extractive_summary
 from textlake.params import COURT_ROOT
-from textlake.plans.links import harvest_counts, harvest_links, page_links
+from textlake.plans.links import append_links, harvest_counts, harvest_links, page_links
 from textlake.plans.report import progress_report
 from textlake.registry.base import register
 from textlake.registry.ranking import bm25_sql
-from textlake.registry.sqlparts import GAZETTE_INDEX
+from textlake.registry.sqlparts import GAZETTE_INDEX, terms_sql
+from textlake.session import scratch_path
 from textlake.sources.landed import page_lang
 
-TERMS = "regexp_extract_all(lower({c}), '[a-z0-9]+')"
-
 
 @register("fn_extractive_summary", f"""
 WITH s0 AS (SELECT doc_id, unnest(generate_series(1, len(x))) AS pos, trim(unnest(x)) AS sentence
             FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE_PATTERN}') AS x FROM documents)),
 s AS (SELECT * FROM s0 WHERE length(sentence) > 0),
 ns AS (SELECT doc_id, count(*) AS n_sent FROM s GROUP BY doc_id),
-tok AS (SELECT doc_id, pos, unnest({TERMS.format(c='sentence')}) AS term FROM s),
+tok AS (SELECT doc_id, pos, unnest({terms_sql('sentence')}) AS term FROM s),
 dfs AS (SELECT doc_id, term, count(DISTINCT pos) AS df FROM tok GROUP BY doc_id, term),
 m AS (SELECT t.doc_id, t.pos, avg(ln(dfs.df)) AS m FROM tok t JOIN dfs USING (doc_id, term)
       GROUP BY t.doc_id, t.pos),
@@ -40,7 +39,7 @@ WITH {bm25_sql("SELECT item_id AS query_id, text FROM benchmark")},
 top AS (SELECT query_id, doc_id FROM (
           SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id
                  ORDER BY round(score, 6) DESC, doc_id) AS r FROM scores) WHERE r <= 3),
-tok AS (SELECT t.query_id, unnest({TERMS.format(c='d.text')}) AS term
+tok AS (SELECT t.query_id, unnest({terms_sql('d.text')}) AS term
         FROM top t JOIN documents d ON d.doc_id = t.doc_id),
 cnt AS (SELECT query_id, term, count(*) AS n FROM tok GROUP BY 1, 2),
 fresh AS (SELECT * FROM cnt WHERE (query_id, term) NOT IN (SELECT query_id, term FROM qt)),
@@ -75,6 +74,21 @@ def links_harvest(t):
     return harvest_links(links, stored)
 
 
+@register("links_append_runs", f"""
+WITH l AS (SELECT DISTINCT unnest({HREFS}) AS base_url FROM pages)
+SELECT base_url, '{COURT_ROOT}' || replace(base_url, 'amp;', '') AS final_url FROM l
+WHERE base_url IS NOT NULL AND base_url <> '' AND base_url <> '/'
+""")
+def links_append_runs(t):
+    """Two harvest runs (Spanish pages, then all) append their
+    new links to one table, the second twice; every link lands once."""
+    path = scratch_path(t.spark, "harvest")
+    append_links(page_links(t.pages.where(page_lang(F.col("html")) == "es")), path)
+    append_links(page_links(t.pages), path)
+    append_links(page_links(t.pages), path)
+    return t.spark.read.parquet(path)
+
+
 @register("links_harvest_counts", f"""
 WITH l AS (SELECT DISTINCT unnest({HREFS}) AS base_url FROM pages)
 SELECT CAST(count_if(base_url IS NOT NULL AND base_url <> '' AND base_url <> '/') AS BIGINT) AS n_success,

@@ -18,7 +18,7 @@ from textlake.session import scratch_path
 from textlake.sinks.tables import UpsertTable, append_new, read_marks, write_marks
 from textlake.sources import files as FS
 from textlake.sources.landed import page_lang
-from textlake.streaming.incremental import assemble_deltas, deltas, next_cursor
+from textlake.streaming.incremental import assemble_deltas, deltas, next_cursor, next_window, rounds_left
 
 FEED_MARK = "2024-01-15 00:00:00"
 
@@ -69,7 +69,7 @@ def src_year_folders(t):
     spark = t.spark
     path = scratch_path(spark, "years")
     t.documents.withColumn("year", _year(F.col("doc_id"))) \
-        .repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
+        .repartitionByRange("year", "doc_id").write.mode("overwrite").partitionBy("year").parquet(path)
     back = FS.read_year_folders(spark, path, prefix="year=")
     return back.groupBy(F.col("year").cast("int").alias("year")).agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").cast("long").alias("n_chars"))
@@ -104,6 +104,7 @@ def src_table_exists(t):
     col = FS.table_column(spark, name, "base_url")
     if col is None:
         raise RuntimeError("table missing")
+    spark.sql(f"DROP TABLE {name}")  # external: its files stay for this result
     return col
 
 
@@ -124,15 +125,15 @@ def src_link_set(t):
 SELECT event_id, event_type FROM events
 """)
 def sink_append_once(t):
-    """B1 / J1 (batch): the feed appended in two overlapping batches and one
-    replay; every key lands exactly once."""
+    """B1 / J1 (batch): the feed appended by day in two overlapping batches
+    (the first with every row twice) and one replay; every key lands once."""
     spark = t.spark
     path = scratch_path(spark, "append")
-    e = t.events.select("event_id", "event_type", "ts")
+    e = t.events.select("event_id", "event_type", "ts", F.to_date("ts").cast("string").alias("day"))
     first = e.where(F.col("ts") <= F.lit(FEED_MARK).cast("timestamp_ntz"))
-    append_new(first, path, ["event_id"])
-    append_new(e, path, ["event_id"])
-    append_new(e, path, ["event_id"])  # replay: no-op
+    append_new(first.unionAll(first), path, ["event_id"], ["day"])
+    append_new(e, path, ["event_id"], ["day"])
+    append_new(e, path, ["event_id"], ["day"])  # replay: no-op
     return spark.read.parquet(path).select("event_id", "event_type")
 
 
@@ -142,18 +143,17 @@ SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type,
 FROM events GROUP BY user_id
 """)
 def sink_upsert_replay(t):
-    """Upserts by key in two batches, one replayed, then a
-    compaction; the table holds the newest row of every key."""
+    """Upserts by key, the newer batch first and replayed after
+    the older one; the table holds the newest row of every key."""
     spark = t.spark
     path = scratch_path(spark, "upsert")
     e = t.events.select("user_id", "event_type", "value", "ts", "event_id")
     mark = F.lit(FEED_MARK).cast("timestamp_ntz")
     tab = UpsertTable(spark, path, ["user_id"], order="order_key")
     keyed = e.withColumn("order_key", F.struct("ts", "event_id"))
-    tab.write_batch(keyed.where(F.col("ts") <= mark), 1)
-    tab.write_batch(keyed.where(F.col("ts") > mark), 2)
-    tab.write_batch(keyed.where(F.col("ts") > mark), 2)  # replay
-    tab.compact()
+    tab.write_batch(keyed.where(F.col("ts") > mark))
+    tab.write_batch(keyed.where(F.col("ts") <= mark))
+    tab.write_batch(keyed.where(F.col("ts") > mark))  # replay
     return tab.read().select("user_id", "event_type", "value")
 
 
@@ -177,12 +177,15 @@ WITH first AS (SELECT event_type, ts FROM events WHERE ts > TIMESTAMP '2024-01-2
 m1 AS (SELECT event_type, count(DISTINCT CAST(ts AS DATE)) - 1 AS round FROM first GROUP BY 1),
 second AS (SELECT event_type, ts FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00')
 SELECT s.event_type, strftime(min(CAST(s.ts AS DATE)), '%d/%m/%Y') AS date,
-       CAST(coalesce(any_value(m1.round), -1) + count(DISTINCT CAST(s.ts AS DATE)) AS BIGINT) AS round
+       CAST(coalesce(any_value(m1.round), -1) + count(DISTINCT CAST(s.ts AS DATE)) AS BIGINT) AS round,
+       greatest(40 - (CAST(coalesce(any_value(m1.round), -1) + count(DISTINCT CAST(s.ts AS DATE)) AS BIGINT) + 1), 0) AS rounds_left,
+       strftime(min(CAST(s.ts AS DATE)), '01/01/%Y') AS window_start, strftime(min(CAST(s.ts AS DATE)), '%d/%m/%Y') AS window_end
 FROM second s LEFT JOIN m1 USING (event_type) GROUP BY s.event_type
 """)
 def inc_backward_cursor(t):
     """Two backward runs; the mark of the first run (written
-    as a versioned table) is continued by the second."""
+    as a versioned table) is continued by the second; rounds left of 40 and
+    the next search window."""
     spark = t.spark
     path = scratch_path(spark, "marks")
     e = t.events.select("event_type", F.to_date("ts").alias("d"), "ts")
@@ -190,7 +193,8 @@ def inc_backward_cursor(t):
     first = next_cursor(e.where(F.col("ts") > split), "event_type", F.col("d"))
     write_marks(first, path, 1)
     marks = read_marks(spark, path)
-    return next_cursor(e.where(F.col("ts") <= split), "event_type", F.col("d"), marks)
+    second = next_cursor(e.where(F.col("ts") <= split), "event_type", F.col("d"), marks)
+    return next_window(rounds_left(second, 40))
 
 
 @register("inc_stream_deltas", """

@@ -6,12 +6,12 @@ from textlake.functions import templates as TPL
 from textlake.functions import text as X
 from textlake.operators import rerank as R
 from textlake.params import Params
-from textlake.plans.prompts import context_report, conversation_prompts
-from textlake.plans.qa import answer_spans, examples_from_turns, split_label
-from textlake.plans.retrieval import retrieve, with_context
+from textlake.plans.prompts import context_prompts, context_report, conversation_prompts
+from textlake.plans.qa import answer_spans, examples_from_turns, model_inputs, split_label
+from textlake.plans.retrieval import reranked_contexts, retrieve, with_context
 from textlake.registry.base import register
 from textlake.registry.retrieval import PAIRS_SQL, TEST_THRESHOLD
-from textlake.registry.sqlparts import tokens
+from textlake.registry.sqlparts import terms_sql, tokens
 
 MODELS = ("mistral-7b-instruct", "google-gemma-7b-it", "open-chat-model")
 STAMP = "2024/01/01, 00:00:00"  # report time is a parameter, not the clock
@@ -23,11 +23,11 @@ def bm25_sql(queries_sql: str, candidates_sql: str | None = None) -> str:
     if candidates_sql:
         cand = f" AND (q.query_id, p.doc_id) IN (SELECT query_id, doc_id FROM ({candidates_sql}))"
     return f"""
-dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
+dt AS (SELECT doc_id, {terms_sql('text')} AS t FROM documents),
 post AS (SELECT doc_id, term, dl, count(*) AS tf
          FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt) GROUP BY doc_id, term, dl),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(t))::DOUBLE AS avgdl FROM dt),
-qt AS (SELECT DISTINCT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term
+qt AS (SELECT DISTINCT query_id, unnest(list_distinct({terms_sql('text')})) AS term
        FROM ({queries_sql})),
 dfs AS (SELECT term, count(*) AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY term),
 scores AS (
@@ -53,6 +53,7 @@ def rank_bm25_top10(t):
     return R.top_n(s, 10).select("query_id", "doc_id", "score", "rank")
 
 
+RERANK_KEPT = 4  # of ten hits, so that the cut bites
 RERANK_CANDIDATES = f"""
 WITH {PAIRS_SQL}
 SELECT query_id, vec_id AS doc_id, rank FROM ranked WHERE rank <= 10"""
@@ -60,28 +61,28 @@ SELECT query_id, vec_id AS doc_id, rank FROM ranked WHERE rank <= 10"""
 
 @register("rank_rerank_hits", f"""
 WITH hits AS ({RERANK_CANDIDATES}),
-{bm25_sql("SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS text FROM documents "
-          "WHERE doc_id IN (SELECT query_id FROM hits)", "SELECT query_id, doc_id FROM hits")},
+{bm25_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id IN (SELECT query_id FROM hits)",
+          "SELECT query_id, doc_id FROM hits")},
 j AS (SELECT h.query_id, h.doc_id AS vec_id, h.rank, coalesce(round(s.score, 6), 0.0) AS rerank_score
       FROM hits h LEFT JOIN scores s ON s.query_id = h.query_id AND s.doc_id = h.doc_id)
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) - 1 AS rank_pos
-  FROM j) WHERE rank_pos < 10
+  FROM j) WHERE rank_pos < {RERANK_KEPT}
 """)
 def rank_rerank_hits(t):
     """Vector hits reranked by BM25 of the query document's
-    title line against each hit's text; position 0 is best."""
+    text against each hit's text; position 0 is best, the first four stay."""
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     hits = retrieve(q, t.embeddings, Params(), min_score=-2.0, exclude_same_id=True, materialize=True)
     qtext = t.documents.join(hits.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id",
                              "left_semi") \
-        .select(F.col("doc_id").alias("query_id"), X.first_line(F.col("text")).alias("text"))
+        .select(F.col("doc_id").alias("query_id"), "text")
     cand = hits.select("query_id", F.col("vec_id").alias("doc_id"))
     n_q = q.count()
     s = R.bm25(qtext, t.documents, candidates=cand, n_queries=n_q,
                candidates_bound=n_q * Params().top_k) \
         .withColumn("score", F.round("score", 6))
-    out = R.rerank(hits.select("query_id", "vec_id", "rank"), s, Params().rerank_top_n)
+    out = R.rerank(hits.select("query_id", "vec_id", "rank"), s, RERANK_KEPT)
     return out.select("query_id", "vec_id", "rank", "rerank_score",
                       F.col("rank_pos").cast("long").alias("rank_pos"))
 
@@ -112,12 +113,9 @@ def rag_context_report(t):
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     hits = retrieve(q, t.embeddings, Params(), min_score=TEST_THRESHOLD, exclude_same_id=True,
                     materialize=True)
-    ctx = with_context(hits, t.documents, "doc_id", "text", q.count(), Params().top_k)
-    meta = t.documents.select(F.col("doc_id").alias("vec_id"), X.first_line(F.col("text")).alias("title"),
-                              F.col("source").alias("url"))
-    h = ctx.join(meta.join(F.broadcast(hits.select("vec_id").distinct()), "vec_id", "left_semi"), "vec_id") \
-        .withColumn("date", F.lit(None).cast("string"))
-    return context_report(h, STAMP)
+    ctx = with_context(hits, t.documents, "doc_id", "text", q.count(), Params().top_k,
+                       keep={"title": X.first_line(F.col("text")), "url": F.col("source")})
+    return context_report(ctx.withColumn("date", F.lit(None).cast("string")), STAMP)
 
 
 def _sql_fill(template: str, **cols: str) -> str:
@@ -156,6 +154,67 @@ def prompt_by_model(t):
     return conversation_prompts(t.conversations, model)
 
 
+CHAIN = Params(rerank_top_n=RERANK_KEPT, token_budget=2_000)
+BENCH_MODEL_SQL = "[" + ", ".join(f"'{m}'" for m in MODELS) + "][(query_id % 3) + 1]"
+CHAIN_SQL = f"""
+WITH {PAIRS_SQL},
+hits AS (SELECT query_id, vec_id AS doc_id, rank FROM ranked
+         WHERE rank <= 10 AND query_id IN (SELECT item_id FROM benchmark)),
+{bm25_sql("SELECT item_id AS query_id, text FROM benchmark", "SELECT query_id, doc_id FROM hits")},
+j AS (SELECT h.query_id, h.doc_id, h.rank, coalesce(round(s.score, 6), 0.0) AS rerank_score
+      FROM hits h LEFT JOIN scores s ON s.query_id = h.query_id AND s.doc_id = h.doc_id),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) - 1 AS pos
+                        FROM j) WHERE pos < {RERANK_KEPT}),
+cut AS (SELECT k.query_id, k.pos, d.text AS context, {tokens('d.text')} AS tokens,
+               sum({tokens('d.text')}) OVER (PARTITION BY k.query_id ORDER BY k.pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+        FROM kept k JOIN documents d ON d.doc_id = k.doc_id),
+ctx AS (SELECT query_id, count(*) AS n_docs, CAST(sum(tokens) AS BIGINT) AS tokens_used,
+               string_agg(context, chr(10) || chr(10) ORDER BY pos) AS context
+        FROM cut WHERE cum < 2000 GROUP BY query_id),
+q AS (SELECT b.item_id AS query_id, b.text AS query, n_docs, tokens_used, context
+      FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id LEFT JOIN ctx ON ctx.query_id = b.item_id),
+m AS (SELECT *, {BENCH_MODEL_SQL} AS model FROM q)
+SELECT query_id, model, coalesce(n_docs, 0) AS n_docs, coalesce(tokens_used, 0) AS tokens_used,
+  CASE WHEN contains(model, 'mistral') THEN {_sql_fill(TPL.MISTRAL_TEMPLATE, context='context', query='query')}
+       WHEN contains(model, 'google') THEN {_sql_fill(TPL.GOOGLE_TEMPLATE, context='context', query='query')}
+       ELSE {_sql_fill(TPL.DEFAULT_TEMPLATE, context='context', query='query')} END AS prompt
+FROM m
+"""
+
+
+@register("rag_rerank_prompts", CHAIN_SQL)
+def rag_rerank_prompts(t):
+    """Benchmark questions -> top 10 -> BM25 rerank -> first 4 ->
+    token budget -> prompt from the ranked contexts. The stored vector of the
+    same id stands for the question's own."""
+    q = t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(
+        t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
+    ctx = reranked_contexts(q, t.embeddings, t.documents, CHAIN, min_score=-2.0, exclude_same_id=True)
+    model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.pmod("query_id", F.lit(3)) + 1).cast("int"))
+    return context_prompts(ctx, q, model)
+
+
+INPUTS_SQL = """
+WITH u AS (SELECT conv_id, turn, string_split(text, ' ') AS q FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn - 1 AS turn, string_split(text, ' ') AS c FROM conversations WHERE role = 'assistant'),
+t AS (SELECT conv_id, turn, list_concat(['[CLS]'], q, ['[SEP]'], c[1:greatest(64 - len(q) - 3, 0)], ['[SEP]'])[1:64] AS t
+      FROM u JOIN a USING (conv_id, turn))
+SELECT conv_id, turn, array_to_string(list_concat(t, list_transform(range(64 - len(t)), lambda i: '[PAD]')), ' ') AS input_tokens,
+       CAST(len(t) AS BIGINT) AS n_mask, CAST(64 AS BIGINT) AS n_all
+FROM t
+"""
+
+
+@register("qa_model_inputs", INPUTS_SQL)
+def qa_model_inputs(t):
+    """Truncated and padded token arrays with their mask (length 64, so that both occur)."""
+    x = model_inputs(examples_from_turns(t.conversations), 64)
+    return x.select("conv_id", "turn", F.array_join("input_tokens", " ").alias("input_tokens"),
+                    F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, b: a + b).alias("n_mask"),
+                    F.size("attention_mask").cast("long").alias("n_all"))
+
+
 QA_SQL = """
 WITH u AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'),
 a AS (SELECT conv_id, turn - 1 AS turn, text AS context FROM conversations WHERE role = 'assistant'),

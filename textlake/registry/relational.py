@@ -1,5 +1,6 @@
 """Filters, joins, aggregates, windows, sorts and set queries (C, D, E, F, G, H)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textlake.functions import dates as D
@@ -46,7 +47,7 @@ def _index(t):
               .withColumn("year", G.year_of_day(F.col("day_id")))
 
 
-def _doc_chunks(t):
+def doc_chunks(t):
     d = with_word_windows(t.documents, "text", WINDOW_WORDS)
     return explode_chunks(d, F.col("windows"), "doc_id", ["doc_id", "lang", "source"])
 
@@ -132,20 +133,30 @@ WHERE contains(lower(regexp_replace(strip_accents(split_part(text, chr(10), 1)),
 """)
 def flt_extraction_switch(t):
     """Full extraction vs keyword extraction."""
-    d = t.documents.withColumn("title", X.first_line(F.col("text")))
-    full = C.select_titles(d, KEYWORDS, True).agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("full").alias("mode"), "n")
-    part = C.select_titles(d, KEYWORDS, False).agg(F.count(F.lit(1)).alias("n")) \
-        .select(F.lit("partial").alias("mode"), "n")
-    return H.union_all(full, part)
+    hit = X.keyword_match(X.first_line(F.col("text")), KEYWORDS)
+    n = t.documents.agg(F.count(F.lit(1)).alias("full"), F.count_if(hit).alias("partial"))  # one scan
+    return n.unpivot([], ["full", "partial"], "mode", "n")
 
 
 @register("flt_text_checks", f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, CAST(strlen(line) + 33 AS BIGINT) AS num_bytes FROM l
+WHERE nullif(line, 'x') IS NOT NULL AND length(line) > 0 AND strlen(line) + 33 < 400
+""")
+def flt_text_checks(t):
+    """Non-NULL, non-empty, and under a byte cap -- on the lines of all
+    documents, which are of all three kinds (empty, long, short)."""
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("text"))
+    d = C.non_empty_text(C.drop_null(lines.withColumn("text", F.nullif("text", F.lit("x"))), "text"))
+    return C.under_bytes(d, 400).select("doc_id", "num_bytes")
+
+
+@register("flt_text_checks_docs", f"""
 SELECT doc_id, CAST(strlen(text) + 33 AS BIGINT) AS num_bytes FROM documents
 WHERE text IS NOT NULL AND length(text) > 0 AND strlen(text) + 33 < {MAX_BYTES}
 """)
-def flt_text_checks(t):
-    """Non-NULL, non-empty, and under the byte cap."""
+def flt_text_checks_docs(t):
+    """Non-NULL, non-empty documents under the reference's byte cap."""
     d = C.non_empty_text(C.drop_null(t.documents, "text"))
     return C.under_bytes(d, MAX_BYTES).select("doc_id", "num_bytes")
 
@@ -184,12 +195,13 @@ def src_response_gate(t):
 
 
 @register("flt_nonempty_links", f"""
-SELECT page_id, h AS href FROM (SELECT page_id, unnest({HREFS}) AS h FROM pages)
+SELECT page_id, h AS href FROM (SELECT page_id, nullif(replace(unnest({HREFS}), '/the', ''), '/of') AS h FROM pages)
 WHERE h IS NOT NULL AND h <> '' AND h <> '/'
 """)
 def flt_nonempty_links(t):
-    """Links that resolved to nothing are dropped."""
-    links = t.pages.select("page_id", F.explode(M.all_hrefs(F.col("html"))).alias("href"))
+    """Links that resolved to nothing are dropped (``/the`` stands for an empty link, ``/of`` for a missing one)."""
+    href = F.nullif(F.replace(F.col("href"), F.lit("/the"), F.lit("")), F.lit("/of"))
+    links = t.pages.select("page_id", F.explode(M.all_hrefs(F.col("html"))).alias("href")).withColumn("href", href)
     return C.non_empty_link(links, "href").where(F.col("href") != "/")
 
 
@@ -197,7 +209,7 @@ def flt_nonempty_links(t):
 
 @register("join_anti_links", f"""
 WITH l AS (SELECT DISTINCT {PAGE_LANG} AS lang, unnest({HREFS}) AS href FROM pages)
-SELECT DISTINCT href FROM l WHERE lang <> 'en' AND href IS NOT NULL
+SELECT DISTINCT href FROM l WHERE lang IS DISTINCT FROM 'en' AND href IS NOT NULL
   AND href NOT IN (SELECT href FROM l WHERE lang = 'en' AND href IS NOT NULL)
 """)
 def join_anti_links(t):
@@ -205,7 +217,7 @@ def join_anti_links(t):
     links = t.pages.select(page_lang(F.col("html")).alias("lang"),
                            F.explode(M.all_hrefs(F.col("html"))).alias("href"))
     stored = links.where(F.col("lang") == "en").select("href")
-    cand = links.where(F.col("lang") != "en").select("href").distinct()
+    cand = links.where(~F.col("lang").eqNullSafe("en")).select("href").distinct()
     return J.not_yet_stored(cand, stored, "href")
 
 
@@ -232,9 +244,9 @@ SELECT doc_id, lang, source, chunk_no, CAST(doc_id AS VARCHAR) || '_chunk' || ch
        printf('%s_%04d', CAST(doc_id AS VARCHAR), chunk_no) AS chunk_file, chunk
 FROM {DOC_CHUNKS}
 """)
-def join_doc_chunks(t):
+def joindoc_chunks(t):
     """Word-window chunks with copied metadata."""
-    c = _doc_chunks(t)
+    c = doc_chunks(t)
     return c.select("doc_id", "lang", "source", "chunk_no", "text_id",
                     chunk_file(F.col("doc_id").cast("string"), F.col("chunk_no")).alias("chunk_file"),
                     "chunk")
@@ -317,9 +329,11 @@ def agg_progress(t):
     """Percent processed per year and overall."""
     idx = G.day_index_from_orders(t.orders).withColumn("year", G.year_of_day(F.col("day_id")))
     done = F.col("day_id") <= DONE_UNTIL
-    per_year = A.percent_done(idx, ["year"], done)
-    overall = A.percent_done(idx.withColumn("year", F.lit("all")), ["year"], done)
-    return H.union_all(per_year, overall)
+    # counts per year in one scan; the total sums those few rows
+    years = A.percent_done(idx, ["year"], done)
+    both = years.select(F.explode(F.array("year", F.lit("all"))).alias("year"), "done", "total")
+    return both.groupBy("year").agg(F.sum("done").alias("done"), F.sum("total").alias("total")) \
+        .withColumn("pct", F.lit(100.0) * F.col("done") / F.col("total"))
 
 
 @register("agg_high_water_marks", """
@@ -327,9 +341,10 @@ SELECT event_type, max(event_id) AS hwm, CAST(max(ts) AS VARCHAR) AS last_ts FRO
 """)
 def agg_high_water_marks(t):
     """One mark per source (the maximum, not the last row read)."""
-    e = t.events
-    return e.groupBy("event_type").agg(F.max("event_id").alias("hwm"),
-                                       F.max("ts").cast("string").alias("last_ts"))
+    e = t.events.select("event_type", F.struct("event_id").alias("_id"), "event_id", "ts")
+    last = A.high_water_marks(e, ["event_type"], "ts", "last_ts")
+    return A.high_water_marks(e, ["event_type"], "event_id").join(last, "event_type") \
+        .select("event_type", "hwm", F.col("last_ts").cast("string").alias("last_ts"))
 
 
 @register("agg_outcomes", """
@@ -361,10 +376,10 @@ FROM {IDX} GROUP BY 1
 def agg_batch_counts(t):
     """Folder (year) count and write batches per year."""
     idx = G.day_index_from_orders(t.orders).withColumn("year", G.year_of_day(F.col("day_id")))
-    n_years = idx.select(F.count_distinct("year")).scalar()
-    return idx.groupBy("year").agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("n_batches", F.ceil(F.col("n") / UPSERT_BATCH).cast("long")) \
-        .withColumn("n_years", n_years)
+    years = idx.groupBy("year").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("n_batches", F.ceil(F.col("n") / UPSERT_BATCH).cast("long"))
+    # one row per year is left: counting those rows needs no second scan
+    return years.withColumn("n_years", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
 
 
 @register("agg_rate_runtime", """
@@ -424,14 +439,15 @@ def win_memory_last5(t):
 
 
 @register("win_batch_numbers", f"""
-SELECT url_xml, year, row_no, CAST(floor((row_no - 1) / {UPSERT_BATCH}) AS BIGINT) AS batch
-FROM (SELECT url_xml, year, row_number() OVER (PARTITION BY year ORDER BY n, url_xml) AS row_no FROM {IDX_N})
+SELECT url_xml, title, year, row_no, CAST(floor((row_no - 1) / {UPSERT_BATCH}) AS BIGINT) AS batch
+FROM (SELECT url_xml, title, nullif(year, '1995') AS year, row_number() OVER (PARTITION BY nullif(year, '1995') ORDER BY n, url_xml) AS row_no FROM {IDX_N})
 """)
 def win_batch_numbers(t):
-    """Row number per year (skew-proof) and its write batch."""
-    idx = _index(t).select("url_xml", "year", "n")
+    """Row number per year (skew-proof) and its write batch; a column is
+    carried and one group is NULL (the year 1995 stands for unknown)."""
+    idx = _index(t).select("url_xml", "title", F.nullif("year", F.lit("1995")).alias("year"), "n")
     r = W.dense_row_number(idx, ["year"], ["n", "url_xml"], "row_no")
-    return r.select("url_xml", "year", "row_no", W.batch_label(F.col("row_no"), UPSERT_BATCH).alias("batch"))
+    return r.select("url_xml", "title", "year", "row_no", W.batch_label(F.col("row_no"), UPSERT_BATCH).alias("batch"))
 
 
 @register("win_latest_per_key", """
@@ -460,42 +476,49 @@ def win_last_turn(t):
 # ---------------------------------------------------------------- sorts / limits
 
 @register("top_sorted_by_date", f"""
+SELECT *, row_number() OVER (ORDER BY date, doc_key) AS pos FROM (
 SELECT CAST(try_strptime(day_id, '%Y%m%d')::DATE AS VARCHAR) AS date,
        concat_ws('-', substr(url_xml, 28, 1), substr(day_id, 1, 4), string_split(url_xml, '-')[-1]) AS doc_key
-FROM {IDX}
+FROM {IDX})
 """)
 def top_sorted_by_date(t):
-    """Corpus sorted by date, ties by the unique key."""
+    """G1: corpus sorted by date, ties by the unique key, with each row's place."""
     idx = G.day_index_from_orders(t.orders)
     out = idx.select(D.parse_day_id(F.col("day_id")).cast("string").alias("date"),
                      G.doc_key(F.col("url_xml")).alias("doc_key"))
-    return out.orderBy("date", "doc_key")
+    return W.dense_row_number(out, [], ["date", "doc_key"], "pos")
 
 
-@register("top_year_sorted_numbers", f"SELECT year, n FROM {IDX_N}")
+@register("top_year_sorted_numbers", f"""
+SELECT year, n, title, row_number() OVER (PARTITION BY year ORDER BY n) AS pos FROM {IDX_N}
+""")
 def top_year_sorted_numbers(t):
-    """Each year's documents in number order, within their partition."""
-    idx = _index(t).select("year", "n")
-    return idx.repartition("year").sortWithinPartitions("year", "n")
+    """Each year's documents in number order, with their place in it; a year is cut over many tasks."""
+    return W.dense_row_number(_index(t).select("year", "n", "title"), ["year"], ["n"], "pos")
 
 
 @register("top_by_tokens", f"""
-SELECT doc_id, {tokens('text')} AS token_count FROM documents
+SELECT doc_id, token_count, row_number() OVER (ORDER BY token_count DESC, doc_id) AS pos
+FROM (SELECT doc_id, {tokens('text')} AS token_count FROM documents)
 """)
 def top_by_tokens(t):
-    """Documents by token count descending (ties by id)."""
-    d = t.documents.select("doc_id", token_count(F.col("text")).alias("token_count"))
-    return d.orderBy(F.desc("token_count"), "doc_id")
+    """Documents by token count descending (ties by id), with their place."""
+    d = t.documents.select("doc_id", (-token_count(F.col("text"))).alias("_less"))
+    return W.dense_row_number(d, [], ["_less", "doc_id"], "pos") \
+        .select("doc_id", (-F.col("_less")).alias("token_count"), "pos")
+
+
+CHUNK_CAP = 1_500  # binds on every test table but the smallest
 
 
 @register("top_chunk_cap", f"""
-SELECT text_id FROM (SELECT CAST(doc_id AS VARCHAR) || '_chunk' || chunk_no AS text_id FROM {DOC_CHUNKS})
-ORDER BY text_id LIMIT 100000
+SELECT CAST(doc_id AS VARCHAR) || '_chunk' || chunk_no AS text_id
+FROM {DOC_CHUNKS} ORDER BY doc_id, chunk_no LIMIT {CHUNK_CAP}
 """)
 def top_chunk_cap(t):
-    """Cap at 100,000 chunks by key (the cap is the feature)."""
-    from textlake.params import MAX_CHUNKS
-    return _doc_chunks(t).select("text_id").orderBy("text_id").limit(MAX_CHUNKS)
+    """Cap on the number of chunks, in order of document and number (the cap is the feature)."""
+    c = doc_chunks(t).select("doc_id", "chunk_no", "text_id")
+    return W.first_rows(c, ["doc_id", "chunk_no"], CHUNK_CAP).select("text_id")
 
 
 # ---------------------------------------------------------------- set operations
@@ -523,12 +546,9 @@ def set_except(t):
 
 
 @register("set_union_distinct", f"""
-SELECT unnest({HREFS}) AS href FROM pages WHERE {PAGE_LANG} = 'fr'
-UNION SELECT unnest({HREFS}) FROM pages WHERE {PAGE_LANG} = 'es'
+SELECT unnest({HREFS}) AS href FROM pages UNION SELECT url FROM pages
 """)
 def set_union_distinct(t):
-    """Accumulated distinct link set."""
-    links = t.pages.select(page_lang(F.col("html")).alias("lang"),
-                           F.explode(M.all_hrefs(F.col("html"))).alias("href"))
-    return H.union_distinct(links.where(F.col("lang") == "fr").select("href"),
-                            links.where(F.col("lang") == "es").select("href"))
+    """Accumulated distinct link set: links of all pages and the pages' own urls."""
+    links = t.pages.select(F.explode(M.all_hrefs(F.col("html"))).alias("href"))
+    return H.union_distinct(links, t.pages.select(F.col("url").alias("href")))

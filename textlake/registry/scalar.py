@@ -54,9 +54,8 @@ FROM ({GAZETTE_INDEX})
 def fn_zero_pad(t):
     """``{year}_{n:06}`` file names."""
     idx = G.day_index_from_orders(t.orders)
-    return idx.select("url_xml", F.format_string(
-        "%s_%06d", X.split_last(F.col("url_xml"), "-", 2),
-        X.split_last(F.col("url_xml"), "-").cast("long")).alias("file_name"))
+    return idx.select("url_xml", F.concat(X.split_last(F.col("url_xml"), "-", 2), F.lit("_"),
+                                          X.zero_pad(X.split_last(F.col("url_xml"), "-"), 6)).alias("file_name"))
 
 
 @register("fn_starts_ends", """
@@ -107,13 +106,14 @@ def fn_drop_amp(t):
 
 
 @register("fn_strip_newline", r"""
-SELECT conv_id, turn, trim(regexp_replace(text, '\n\z', '')) AS stripped FROM conversations
+SELECT conv_id, turn, trim(regexp_replace(text || CASE turn % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(10) || chr(10) ELSE '' END,
+                                          '\n\z', '')) AS stripped FROM conversations
 """)
 def fn_strip_newline(t):
-    """One trailing newline removed, then spaces trimmed."""
+    """One trailing newline removed, then spaces trimmed (texts with none, one and two)."""
     c = t.conversations
-    return c.select("conv_id", "turn",
-                    F.trim(X.strip_newline_suffix(F.col("text"))).alias("stripped"))
+    ends = F.concat("text", F.repeat(F.lit("\n"), F.element_at(F.array(F.lit(1), F.lit(2), F.lit(0)), (F.col("turn") % 3 + 1).cast("int"))))
+    return c.select("conv_id", "turn", F.trim(X.strip_newline_suffix(ends)).alias("stripped"))
 
 
 @register("fn_char_byte_len", """

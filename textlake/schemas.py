@@ -71,29 +71,6 @@ TABLES = {
     "orders": ORDERS,
 }
 
-# Gazette shapes (index rows, documents, chunks, vector records).
-DAY_INDEX = T.StructType([
-    T.StructField("day_id", T.StringType(), False),
-    T.StructField("url", T.StringType(), False),
-    T.StructField("title", T.StringType()),
-])
-
-RAW_DOCUMENT = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("url", T.StringType(), False),
-    T.StructField("title", T.StringType()),
-    T.StructField("legislative_origin", T.StringType()),
-    T.StructField("department", T.StringType()),
-    T.StructField("rang", T.StringType()),
-    T.StructField("text", T.StringType()),
-])
-
-VECTOR_RECORD = T.StructType([
-    T.StructField("text_id", T.StringType(), False),
-    T.StructField("embedding", T.ArrayType(T.FloatType())),
-    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-])
-
 QA_EXAMPLE = T.StructType([
     T.StructField("question", T.StringType()),
     T.StructField("context", T.StringType()),

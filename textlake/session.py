@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,8 +54,9 @@ def build_session(master: str | None = None, app: str = "textlake",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; a scratch folder is
-    only created when nothing is configured (local runs and tests).
+    ``spark.checkpoint.dir`` is read from the session. Only a local master
+    may go without: it gets a scratch folder (local runs and tests). On a
+    cluster a machine-local folder would lose data, so that is an error.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -61,6 +64,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
+    if not conf and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="textlake-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
@@ -68,9 +73,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh sub-folder of the shared checkpoint folder for written tables.
+
+    The application's scratch tables are dropped by :func:`drop_scratch`, at
+    the latest when the driver's Python ends.
+    """
+    base = os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        atexit.register(drop_scratch, spark)
+    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SCRATCH: set[str] = set()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application (none may be in use any more)."""
+    sc = spark.sparkContext
+    if sc._jsc is None:  # the session has ended
+        return
+    base = os.path.join(sc.getCheckpointDir() or "", "tables", sc.applicationId)
+    if base in _SCRATCH:
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.discard(base)
 
 
 def materialize(df):

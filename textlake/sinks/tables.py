@@ -1,24 +1,25 @@
-"""Sinks (B1-B10): idempotent appends, batch-log upserts, mark tables.
+"""Sinks (B1-B10): idempotent appends, upserts, mark tables.
 
 No transactional table format is assumed. Idempotence comes from layout:
 
-* :func:`append_new` -- exactly-once append: rows whose key is already
-  stored are removed by an anti join before the append, so a replayed batch
-  adds nothing.
-* :class:`UpsertTable` -- every write batch lands in its own
-  ``batch_seq=N`` directory (overwriting that directory on replay), and
-  readers resolve "last write wins" per key with a ``max_by`` aggregate.
-  :meth:`UpsertTable.compact` folds the log into a new base snapshot.
+* :func:`append_new` -- exactly-once append: repeats inside the batch and
+  rows whose key is already stored are removed before the append, so a
+  replayed batch adds nothing.
+* :class:`UpsertTable` -- a Parquet table partitioned by a hash of the key;
+  a batch is merged with the partitions it touches and replaces those.
 * :func:`write_marks` -- high-water marks as a small versioned table.
 """
 
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlake.session import materialize
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -38,19 +39,43 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p) if s.isDirectory())
 
 
+def _touched(df: DataFrame, cols: list[str]) -> Column:
+    """Filter for the partitions a batch touches: one value list per column.
+
+    The values are partition folders of one batch, collected to the driver
+    (as the file index itself is); NULL is a folder like any other.
+    """
+    cond = F.lit(True)
+    for c in cols:
+        values = [r[0] for r in df.select(c).distinct().collect()]
+        known = [v for v in values if v is not None]
+        one = F.col(c).isin(known) if known else F.lit(False)
+        cond = cond & (one | F.col(c).isNull() if len(known) < len(values) else one)
+    return cond
+
+
 def append_new(df: DataFrame, path: str, key: list[str], partition_by: list[str] | None = None,
-               fmt: str = "parquet") -> int | None:
-    """Append only keys not yet stored (replay-safe)."""
+               fmt: str = "parquet") -> None:
+    """Append only keys not yet stored (replay-safe).
+
+    One row per key: repeats inside the batch are dropped too, and NULL is a
+    key value like any other. With ``partition_by`` -- columns that depend on
+    the key, such as its day -- only the partitions that the batch touches
+    are read; without it the stored keys are.
+    """
     spark = df.sparkSession
-    new = df
+    new = df.dropDuplicates(key)
     if path_exists(spark, path):
-        stored = spark.read.format(fmt).load(path).select(*key).distinct()
-        new = df.join(stored, key, "left_anti")
+        stored = spark.read.format(fmt).load(path)
+        if partition_by:
+            stored = stored.where(_touched(df, partition_by))
+        stored = stored.select(*[F.col(k).alias(f"_s_{k}") for k in key])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in key])
+        new = new.join(stored, same, "left_anti")
     w = new.write.mode("append").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
-    return None
 
 
 def overwrite_checked(df: DataFrame, path: str, vec: str, dim: int,
@@ -70,81 +95,38 @@ def overwrite_checked(df: DataFrame, path: str, vec: str, dim: int,
 
 
 class UpsertTable:
-    """Key-unique table with last-write-wins upserts."""
-
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str | None = None):
-        self.spark = spark
-        self.path = path
-        self.key = key
-        self.order = order  # optional order of repeated keys inside one batch
-
-    @property
-    def log_path(self) -> str:
-        return os.path.join(self.path, "log")
+    """Parquet table, one row per key, partitioned by a hash of the key.
 
-    def write_batch(self, df: DataFrame, batch_seq: int) -> None:
-        """Land one batch; writing the same ``batch_seq`` again replaces it."""
-        df.write.mode("overwrite").parquet(os.path.join(self.log_path, f"batch_seq={int(batch_seq)}"))
-
-    def _bases(self) -> list[str]:
-        return [d for d in list_dirs(self.spark, self.path) if d.startswith("base_")
-                and path_exists(self.spark, os.path.join(self.path, d, "_SUCCESS"))]
-
-    def _base(self) -> DataFrame | None:
-        bases = self._bases()
-        return self.spark.read.parquet(os.path.join(self.path, bases[-1])) if bases else None
-
-    def _log(self) -> DataFrame | None:
-        if any(d.startswith("batch_seq=") for d in list_dirs(self.spark, self.log_path)):
-            return self.spark.read.option("basePath", self.log_path).parquet(self.log_path)
-        return None
+    A batch reads, merges and overwrites only the partitions that its keys
+    fall in (dynamic partition overwrite), so writing it again changes
+    nothing. With ``order`` (a stored column, such as an event time) the row
+    of the largest order wins, whatever order the batches come in; without
+    it, and between equal orders, the batch wins over what is stored.
+    """
 
-    def _latest(self, rows: DataFrame) -> DataFrame:
-        order_parts = [F.col("batch_seq")]
-        if self.order:
-            order_parts.append(F.col(self.order))
-        value_cols = [c for c in rows.columns if c not in self.key]
-        latest = rows.groupBy(*self.key).agg(
-            F.max_by(F.struct(*value_cols), F.struct(*order_parts)).alias("_v"))
-        return latest.select(*self.key, "_v.*")
+    PART = "key_part"
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str | None = None, parts: int = 16):
+        self.spark, self.path, self.key, self.order, self.parts = spark, path, key, order, parts
+
+    def write_batch(self, df: DataFrame) -> None:
+        """Merge one batch into the table; of a key's rows in the batch the last by ``order`` counts."""
+        part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
+        rows = df.withColumn(self.PART, part).withColumn("_new", F.lit(1))
+        if path_exists(self.spark, self.path):
+            stored = self.spark.read.parquet(self.path).where(_touched(rows, [self.PART]))
+            rows = rows.unionByName(stored.withColumn("_new", F.lit(0)), allowMissingColumns=True)
+        by = [F.col(self.order), F.col("_new")] if self.order else [F.col("_new")]
+        values = [c for c in rows.columns if c not in (*self.key, self.PART)]
+        rows = rows.groupBy(*self.key, self.PART).agg(F.max_by(F.struct(*values), F.struct(*by)).alias("_v"))
+        # stored before the table's own partitions are replaced
+        rows = materialize(rows.select(*self.key, "_v.*", self.PART).drop("_new"))
+        rows.repartitionByRange(self.PART, *self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(self.PART).parquet(self.path)
 
     def read(self) -> DataFrame:
-        """Latest row per key: ``max_by`` over (batch_seq, in-batch order).
-
-        The compacted base is already key-unique, so only keys that occur in
-        the log are merged: untouched base rows pass through an anti join
-        against the log's keys (broadcast when the log is small, by the
-        optimizer's size check) and the big base is never aggregated.
-        """
-        base, log = self._base(), self._log()
-        if base is None and log is None:
-            raise FileNotFoundError(self.path)
-        if log is None:
-            return base
-        if base is None:
-            return self._latest(log)
-        keys = log.select(*self.key).distinct()
-        untouched = base.join(keys, self.key, "left_anti")
-        touched = base.join(keys, self.key, "left_semi").unionByName(log, allowMissingColumns=True)
-        merged = self._latest(touched)
-        return untouched.unionByName(merged.select(*untouched.columns))
-
-    def compact(self) -> str:
-        """Fold base + log into a new base, then drop the folded log batches.
-
-        The base is only used once its ``_SUCCESS`` marker exists, and a
-        batch directory is removed only after that, so a failure at any
-        point leaves a readable table with the same content.
-        """
-        folded = [d for d in list_dirs(self.spark, self.log_path) if d.startswith("batch_seq=")]
-        merged = self.read()
-        n = len(self._bases())
-        target = os.path.join(self.path, f"base_{n + 1:06d}")
-        merged.write.mode("overwrite").parquet(target)
-        for d in folded:
-            fs, p = _fs(self.spark, os.path.join(self.log_path, d))
-            fs.delete(p, True)
-        return target
+        """The newest row of every key."""
+        return self.spark.read.parquet(self.path).drop(self.PART)
 
 
 def write_marks(df: DataFrame, path: str, version: int) -> None:
@@ -152,6 +134,12 @@ def write_marks(df: DataFrame, path: str, version: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(path, f"v={int(version):012d}"))
 
 
+def next_version(spark: SparkSession, path: str) -> int:
+    """The version after the last complete or broken one."""
+    found = [int(d[2:]) for d in list_dirs(spark, path) if d.startswith("v=")]
+    return max(found, default=0) + 1
+
+
 def read_marks(spark: SparkSession, path: str) -> DataFrame | None:
     """Latest complete version of the mark table."""
     versions = [d for d in list_dirs(spark, path) if d.startswith("v=")
@@ -159,8 +147,3 @@ def read_marks(spark: SparkSession, path: str) -> DataFrame | None:
     if not versions:
         return None
     return spark.read.parquet(os.path.join(path, versions[-1]))
-
-
-def batch_of(row_no: Column, size: int) -> Column:
-    """Batch label of a 1-based row number."""
-    return F.floor((row_no - 1) / F.lit(size)).cast("long")

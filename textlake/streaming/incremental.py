@@ -4,8 +4,9 @@
   micro-batch is appended exactly once (key anti join in ``foreachBatch``).
   ``trigger(availableNow=True)`` drains the backlog and stops (backfill).
 * J2 -- per-group resume / skip-if-done: ``foreachBatch`` into an
-  :class:`UpsertTable`, keyed by the micro-batch id, so a replayed batch
-  rewrites the same log directory (no duplicates, no loss).
+  :class:`UpsertTable`; a merged batch merges again without effect, so
+  neither a replayed batch nor a new checkpoint makes duplicates, and with
+  the table's order column late batches never undo newer rows.
 * J3 -- backward cursor: the next window ends at the earliest date seen
   per source; marks are a small versioned table.
 * J4 -- token deltas: empty deltas dropped, ordered assembly per message.
@@ -59,7 +60,7 @@ def resume_feed(spark: SparkSession, source_dir: str, schema: T.StructType, sink
             s = s.drop(wm)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        append_new(batch.dropDuplicates(key), sink_path, key, partition_by)
+        append_new(batch, sink_path, key, partition_by)
 
     return (s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
@@ -71,7 +72,7 @@ def upsert_feed(spark: SparkSession, source_dir: str, schema: T.StructType, tabl
     s = feed_stream(spark, source_dir, schema, max_files)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        table.write_batch(batch, batch_id)
+        table.write_batch(batch)
 
     return (s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
@@ -91,6 +92,18 @@ def next_cursor(seen: DataFrame, source: str, date: Column, marks: DataFrame | N
                       (prev + F.col("rounds")).cast("long").alias("round"))
 
 
+def rounds_left(marks: DataFrame, num_searches: int) -> DataFrame:
+    """Rounds still to run per source, ``num_searches - (last round + 1)``, never below 0."""
+    return marks.withColumn("rounds_left", F.greatest(F.lit(num_searches) - (F.col("round") + 1), F.lit(0)).cast("long"))
+
+
+def next_window(marks: DataFrame) -> DataFrame:
+    """Bounds of each source's next search (dd/MM/yyyy): from the first
+    day of the mark's year to the mark, both included."""
+    return marks.withColumn("window_start", F.concat(F.lit("01/01/"), F.substring("date", 7, 4))) \
+        .withColumn("window_end", F.col("date"))
+
+
 def deltas(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Split messages into streamed pieces: each word with its trailing space."""
     return df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(DELTA_PATTERN), 0))
