@@ -7,8 +7,8 @@ V1 = (b"filedesc://a.arc 0.0.0.0 19970101000000 text/plain 76\n1 0 Alexa Interne
       b"\ndns:x.org 1.2.3.4 19970203 text/dns 5\n1.2.3\n"
       b"garbage line\n"
       b"http://cut.org/ 1.2.3.4 19970203040506 text/plain 99\nshort")
-V2 = (b"filedesc://b.arc 0.0.0.0 19980101000000 text/plain 200 - - 0 b.arc 122\n2 0 Someone\n"
-      b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n\n"
+V2_HEAD = b"2 0 Someone\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n\n"
+V2 = (b"filedesc://b.arc 0.0.0.0 19980101000000 text/plain 200 - - 0 b.arc %d\n" % len(V2_HEAD) + V2_HEAD +
       b"\nhttp://y.org/ 1.2.3.4 199702030405 text/html 200 abc - 209 b.arc 3\nhey\n")
 
 
