@@ -43,7 +43,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``saved`` table that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions_for(spark: SparkSession) -> int:
@@ -110,15 +119,20 @@ def slices(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def word_hashes(buf: np.ndarray, offsets: np.ndarray, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offsets: np.ndarray, letters: bool = False,
+                prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased) and the words of each document.
 
     ``letters``: words are runs of ASCII letters, digits and all other
-    non-ASCII characters, so punctuation does not stick to them.
+    non-ASCII characters, so punctuation does not stick to them. With
+    ``prefixes`` each word gives a row of 1 + len(prefixes) hashes: its own
+    and those of its first bytes (of the whole word, where it is shorter).
     """
     n_docs = len(offsets) - 1
+    width = 1 + len(prefixes)
+    none = np.zeros((0, width) if prefixes else 0, np.uint64), np.zeros(n_docs, np.int64)
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
+        return none
     inside = ~(_NO_LETTER if letters else _IS_SPACE)[buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -126,15 +140,19 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, letters: bool = False) ->
     begins[firsts] = inside[firsts]
     kept = np.flatnonzero(inside)
     if not len(kept):
-        return np.zeros(0, np.uint64), np.zeros(n_docs, np.int64)
+        return none
     at = np.flatnonzero(begins)
-    starts = np.searchsorted(kept, at) if len(at) * 20 < len(kept) else np.flatnonzero(begins[kept])
+    starts = np.flatnonzero(begins[kept])
     lens = np.diff(np.append(starts, len(kept)))
     pos = np.arange(len(kept), dtype=np.int64) - np.repeat(starts, lens)
     value = _BYTE_KEY[_LOWER[buf[kept]]] * _pos_key(pos)
-    h = mix64(np.add.reduceat(value, starts) + lens.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-    cuts = np.searchsorted(at, offsets)
-    return h, np.diff(cuts)
+    key = _U(0x9E3779B97F4A7C15)
+    h = mix64(np.add.reduceat(value, starts) + lens.astype(np.uint64) * key)
+    if prefixes:
+        # the length of a prefix is part of its hash; a short word is its own prefix of the same name
+        cut = [mix64(np.add.reduceat(np.where(pos < k, value, _U(0)), starts) + mix64(np.full(1, k, np.uint64))) for k in prefixes]
+        h = np.stack([h, *cut], axis=1)
+    return h, np.diff(np.searchsorted(at, offsets))
 
 
 def shingle_hashes(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its terms (runs of letters and digits, A-Z
-lower-cased) hashed into 2^BITS places. The machine scores
+A document is the set of its terms -- words (runs of letters and digits, A-Z
+lower-cased) and their first PREFIXES bytes, so that inflected forms share a
+term -- hashed into 2^BITS places. The machine scores
 ``b + sum w_i + sum_{i<j} <v_i, v_j>`` over the present terms, so pairs such as
 an insult and the mention of a group weigh beyond their sum. It is trained
 with AdaGrad on the logistic loss over a bounded sample of labelled rows;
@@ -28,12 +29,15 @@ from pyspark.sql import types as T
 
 from .common import distinct_per_doc, mix64, slices, text_buffers, word_hashes
 
-BITS = 18
+BITS = 20
+PREFIXES = (4, 5, 6, 7)
 SAMPLE_DOCS = 20_000
 MAX_TERMS = 4096
 MIN_DOCS = 3
+#: Terms whose share of toxic documents deviates by fewer standard units are left out.
+MIN_Z = 3.0
 FACTORS = 8
-EPOCHS = 12
+EPOCHS = 20
 THRESHOLD = 0.3
 
 
@@ -41,8 +45,9 @@ def term_places(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[int, np.nda
     """(first document, distinct places of a slice of documents, how many each has)."""
     buf, off = text_buffers(texts)
     for i, j in slices(off):
-        h, c = word_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i], letters=True)
-        v, m = distinct_per_doc((h >> np.uint64(64 - bits)).astype(np.int64), np.repeat(np.arange(j - i), c), j - i)
+        h, c = word_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i], letters=True, prefixes=PREFIXES)
+        places = (h.ravel() >> np.uint64(64 - bits)).astype(np.int64)
+        v, m = distinct_per_doc(places, np.repeat(np.arange(j - i), c * (1 + len(PREFIXES))), j - i)
         yield i, v, m
 
 
@@ -76,7 +81,8 @@ def _raw(bias: float, weights: np.ndarray, rows: np.ndarray, doc: np.ndarray, n:
 
 
 def fit(places: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, bits: int = BITS, max_terms: int = MAX_TERMS,
-        factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
+        factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, seed: int = 7,
+        min_z: float = MIN_Z) -> Model:
     """Train on documents given as distinct places, their numbers, and 0/1 labels."""
     n, p = len(sizes), float(toxic.mean()) if len(toxic) else 0.0
     index = np.zeros(1 << bits, np.int32)
@@ -87,7 +93,7 @@ def fit(places: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, bits: int = BI
     df = np.bincount(places, minlength=1 << bits)
     hit = np.bincount(places, weights=toxic[doc].astype(float), minlength=1 << bits)
     z = np.abs(hit - df * p) / np.sqrt(df * p * (1 - p) + 1.0)
-    z[df < MIN_DOCS] = 0
+    z[(df < MIN_DOCS) | (z < min_z)] = 0
     chosen = np.argsort(-z, kind="stable")[:max_terms]
     chosen = chosen[z[chosen] > 0]
     index[chosen] = np.arange(1, len(chosen) + 1)
