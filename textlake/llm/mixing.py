@@ -52,7 +52,8 @@ def passes(tokens: dict[str, int], weights: dict[str, float], budget: float | No
 
 def solve_exponent(tokens: dict[str, int], max_repeat: float | None = MAX_REPEAT, target_entropy: float | None = None,
                    budget: float | None = None) -> float:
-    """Exponent in [0, 1] that meets the target entropy, or else the least that keeps the repetition limit.
+    """Exponent in [0, 1] that meets the target entropy, or else the least that keeps the repetition limit
+    (0, equal weights, without either).
 
     Both measures are monotone in the exponent: a smaller one flattens the
     weights, raising their entropy and the repeats of small sources.
@@ -63,7 +64,7 @@ def solve_exponent(tokens: dict[str, int], max_repeat: float | None = MAX_REPEAT
             return entropy(w) > target_entropy
         return max(passes(tokens, w, budget).values()) > max_repeat
 
-    if not too_flat(0.0):
+    if target_entropy is None and max_repeat is None or not too_flat(0.0):
         return 0.0
     low, high = 0.0, 1.0
     for _ in range(60):
