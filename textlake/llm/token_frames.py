@@ -22,14 +22,13 @@ tokens in a text become what the tokenizer file makes of them.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -38,65 +37,107 @@ from pyspark.sql.window import Window
 
 from textlake.session import scratch_path
 
-from .common import saved
+from .common import _BYTE_KEY, _pos_key, mix64, saved, slices, text_buffers
 
 END_ID = 2
 FRAME_IDS = 1 << 18
 FILE_BYTES = 32 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 3_000_000
 _SKIP = struct.pack("<II", 0x184D2A50, 1)
 _TABLE_MAGIC = 0x184D2A5E
 _ENTRY = struct.Struct("<QIIIIQqB")
 _FOOT = struct.Struct("<IQ3s")
 _FOOT_MAGIC = b"TKF"
-# a cut before a single space between two characters that are no white space: ids on both sides do not depend on each other
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: The words that the tokenizer merges alone (its public split pattern), in pieces of characters below U+0250
-#: without ``<|``, where all Unicode versions agree and no special token hides.
-_UNIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_PLAIN = re.compile(r"(?:(?!<\|)[\x21-\x7e \n\u00a1-\u024f])+")
+#: Text bytes whose pieces are counted together.
+BLOCK_BYTES = 3 << 20
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
 
 
 class Encoder:
-    """Ids of texts as little-endian u32 bytes, with a bounded memory of pieces and words already seen."""
+    """Ids of texts, each distinct piece encoded once as long as it is remembered.
+
+    A text is cut into pieces whose ids do not depend on each other: before
+    each single space between two characters that are certainly no white
+    space. Pieces are known by 64-bit hashes in a sorted array with their ids
+    in one flat array, so ``limit`` pieces take some 30 bytes each; beyond it
+    the memory starts anew with the block at hand.
+    """
 
     def __init__(self, path: str, limit: int = CACHE_PIECES):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.pieces: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        split = {p: _UNIT.findall(p) if _PLAIN.fullmatch(p) else [p] for p in pieces}
-        missing = {u for x in split.values() for u in x if u not in self.units}
-        if len(self.units) + len(missing) > self.limit:
-            self.units.clear()
-            missing = {u for x in split.values() for u in x}
-        missing = list(missing)
-        for u, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            ids = e.ids
-            self.units[u] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.units.__getitem__
-        self.pieces.update((p, b"".join(map(get, x))) for p, x in split.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 64):
-            group = []
-            for t in texts[at:at + 64]:
-                first, *rest = _CUT.split(t)
-                group.append([first, *[" " + p for p in rest]])
-            missing = {p for x in group for p in x if p not in self.pieces}
-            if len(self.pieces) + len(missing) > self.limit:
-                self.pieces.clear()
-                missing = {p for x in group for p in x}
-            if missing:
-                self._learn(missing)
-            get = self.pieces.__getitem__
-            out += [b"".join(map(get, x)) for x in group]
-        return out
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.at, self.size = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+        self.ids = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Add new pieces (ascending hashes)."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.size = (np.insert(old, place, new) for old, new in
+                                          ((self.known, hashes), (self.at, at), (self.size, size)))
+
+    def encode_block(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (u32) of all documents of a block of text bytes, and where each begins."""
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        # single spaces after a visible ASCII character or a letter of U+00C0 to U+00FF, and before one
+        prev, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+        prev[1:] = _VISIBLE[buf[:-1]]
+        prev[2:] |= (buf[:-2] == 0xC3) & (buf[1:-1] >= 0x80)
+        after[:-1] = _VISIBLE[buf[1:]] | (buf[1:] == 0xC3)
+        begins = (buf == 0x20) & prev & after
+        firsts = off[:-1][off[:-1] < off[1:]]
+        begins[firsts - 1] = False  # the last byte of the document before
+        begins[firsts] = True
+        starts = np.flatnonzero(begins)
+        lens = np.diff(np.append(starts, len(buf)))
+        pos = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, lens)
+        h = mix64(np.add.reduceat(_BYTE_KEY[buf] * _pos_key(pos), starts) + lens.astype(np.uint64))
+        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        new = self._unknown(unique)
+        if len(self.known) + new.sum() > self.limit:
+            self._clear()
+            new[:] = True
+        if new.any():
+            raw = buf.tobytes()
+            cuts = [(starts[i], starts[i] + lens[i]) for i in first[new]]
+            self._learn(unique[new], [raw[x:y].decode("utf-8") for x, y in cuts])
+        place = np.searchsorted(self.known, unique)[inverse]
+        size = self.size[place]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.at[place] - ends + size, size) + np.arange(ends[-1])]
+        per = np.concatenate([[0], ends])[np.searchsorted(starts, off)]
+        return ids, per
+
+    def _unknown(self, hashes: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.known, hashes)
+        same = np.zeros(len(hashes), bool)
+        inside = place < len(self.known)
+        same[inside] = self.known[place[inside]] == hashes[inside]
+        return ~same
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of an Arrow column."""
+        buf, off = text_buffers(texts)
+        for i, j in slices(off, BLOCK_BYTES):
+            ids, per = self.encode_block(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+            for a, b in zip(per[:-1], per[1:]):
+                yield ids[a:b]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path)
 
 
 def frame(docs: list[tuple[int | None, bytes]]) -> bytes:
@@ -145,7 +186,7 @@ def _write(path: str, end_id: int | None, frame_ids: int):
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
-        encoder, packer = Encoder(path), zstandard.ZstdCompressor(level=3)
+        encoder, packer = _encoder(path), zstandard.ZstdCompressor(level=3)
         held, size, place, entries = [], 0, 0, []
 
         def flush():
@@ -158,13 +199,11 @@ def _write(path: str, end_id: int | None, frame_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([packed + _SKIP], pa.binary())], ["frame"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for d, x in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").fill_null("").to_pylist())):
-                    held.append((d, x + tail))
-                    size += len(held[-1][1]) // 4
-                    if size >= frame_ids:
-                        yield flush()
+            for d, ids in zip(b.column("doc_id").to_pylist(), encoder.encode_column(b.column("text"))):
+                held.append((d, ids.tobytes() + tail))
+                size += len(held[-1][1]) // 4
+                if size >= frame_ids:
+                    yield flush()
         if held:
             yield flush()
         if entries:
