@@ -49,8 +49,8 @@ def test_held_out_accuracy_on_the_table(spark):
 
 
 def test_inflected_forms_share_a_term(spark):
-    rows = [(i, f"plain words vilest{'abcdefghij'[i % 10]}" if i % 2 else "plain words only") for i in range(60)]
-    model = X.train(docs_of(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    rows = [(i, f"plain words vilest{'abcdefghij'[i // 10 % 10]}" if i % 10 == 0 else "plain words only") for i in range(300)]
+    model = X.train(docs_of(spark, rows), spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int"))
     out = {r["doc_id"]: r["toxic_predicted"] for r in X.score(docs_of(spark, [(1, "a vilestxyz thing"), (2, "a plain thing")]), model).collect()}
     assert out == {1: 1, 2: 0}
 
