@@ -18,8 +18,10 @@ Documents are sets of word shingles, known by 64-bit hashes. Two link when
 4. After the rounds, all remaining pairs of sets in different components that
    share a prefix shingle are compared, one side always outside the shingle's
    largest component. No pair that could join two components is left out.
-5. Verification reads both texts, applies the suffix filter (counts of shingles
-   by hash class bound the intersection) and then counts the intersection.
+   Between rounds components are known as far as two steps along the links.
+5. The last comparison also asks the sets' bitmaps, and verification the counts
+   of shingles by hash class (suffix filters: both bound the intersection from
+   above); then the intersection itself is counted from both texts.
 
 Defined cases: NULL and wordless texts have an empty set, link with nothing
 and are their own component; a text of fewer words than the shingle has its
@@ -34,16 +36,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import distinct_per_doc, mix64, saved, shingle_hashes, slices, text_buffers, word_hashes
+from .common import distinct_per_doc, forget, mix64, saved, shingle_hashes, slices, text_buffers, word_hashes
 from .components import components
 
-RANK_BITS = 20
-ROUNDS = 3
+RANK_BITS = 22
+#: Bits of the filter that keeps unneeded texts out of the shuffle of candidates' texts.
+KEY_BITS = 24
+ROUNDS = 2
+FIRST_PASS = "doc_id long, key long, s long, n int, bits array<long>, at int, counts binary"
 #: Counters of the rank table that travel in one row.
 _RANK_ROW = 1 << 14
+#: Longs of a set's bitmap: a bit is set where at least one shingle hashes to it.
+_BITS = 16
 _CLASSES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60))
 
 
@@ -69,37 +79,49 @@ def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
     return (mix64(values) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def set_bitmaps(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bitmaps of sets; bits set in one and not in the other bound the shingles that two sets do not share."""
+    at = (mix64(values + np.uint64(1)) >> np.uint64(64 - 10)).astype(np.int64)
+    flags = np.zeros((len(sizes), 64 * _BITS), bool)
+    flags[np.repeat(np.arange(len(sizes)), sizes), at] = True
+    words = np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), _BITS).cast(pa.list_(pa.int64()))
+
+
 def _first_pass(size: int, bits: int):
+    schema = to_arrow_schema(T.StructType.fromDDL(FIRST_PASS))
+
     def run(batches):
         counts = np.zeros(1 << bits, np.uint32)
         for b in batches:
-            ids, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            at = 0
             for _, v, m in shingle_sets(b.column("text"), size):
-                counts += np.bincount(_bucket(v, bits), minlength=len(counts)).astype(np.uint32)
-                ids.append(set_ids(v, m))
-                ns.append(m)
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("key"), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns).astype(np.int32)),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "key", "s", "n", "at", "counts"])
+                np.add.at(counts, _bucket(v, bits), np.uint32(1))
+                n = len(m)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, n), b.column("key").slice(at, n), pa.array(set_ids(v, m)), pa.array(m.astype(np.int32)),
+                     set_bitmaps(v, m), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                at += n
         at = [k for k in range(0, len(counts), _RANK_ROW) if counts[k:k + _RANK_ROW].any()]
         if at:
-            n = len(at)
+            nulls = [pa.nulls(len(at), f.type) for f in schema][:-2]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
-                 pa.array(at, pa.int32()), pa.array([counts[k:k + _RANK_ROW].tobytes() for k in at], pa.binary())],
-                ["doc_id", "key", "s", "n", "at", "counts"])
+                [*nulls, pa.array(at, pa.int32()), pa.array([_packed(counts[k:k + _RANK_ROW]) for k in at], pa.binary())], schema=schema)
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
 def _sum_counts(kind):
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for at, blob in zip(b.column("at").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(blob, kind).astype(np.uint64)
+                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind).astype(np.uint64)
                 sums[at] = sums[at] + x if at in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())],
                                          ["at", "counts"])
     return run
 
@@ -115,7 +137,7 @@ def shingle_ranks(parts: DataFrame, bits: int) -> np.ndarray:
     parts = parts.repartition(64, "at").mapInArrow(_sum_counts(np.uint64), schema)
     counts = np.zeros(1 << bits, np.uint64)
     for r in parts.collect():
-        x = np.frombuffer(r["counts"], np.uint64)
+        x = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.uint64)
         counts[r["at"]:r["at"] + len(x)] = x
     ranks = np.empty(1 << bits, np.uint32)
     ranks[np.argsort(counts, kind="stable")] = np.arange(1 << bits, dtype=np.uint32)
@@ -178,6 +200,22 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _with_keys(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """``df`` without most rows whose key ``name`` is not in ``keys``: a bitmap of fixed size, 2^KEY_BITS bits."""
+    slot = F.pmod(F.col(name), F.lit(1 << KEY_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    words = keys.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (KEY_BITS - 6), np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def run(batches):
+        for b in batches:
+            at = b.column(name).to_numpy() & ((1 << KEY_BITS) - 1)
+            yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
+    return df.mapInArrow(run, df.schema)
+
+
 class _Join:
     """State of one join: the stored sets, prefixes of shared shingles, texts of candidates."""
 
@@ -185,82 +223,98 @@ class _Join:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
         both = saved(docs.select("doc_id", "key", "text").mapInArrow(
-            _first_pass(size, bits), "doc_id long, key long, s long, n int, at int, counts binary"), "shingle-sets")
-        self.sets = both.where("at IS NULL").select("doc_id", "key", "s", "n")
+            _first_pass(size, bits), FIRST_PASS), "shingle-sets")
+        self.sets = both.where("at IS NULL").select("doc_id", "key", "s", "n", "bits")
         ranks = self.spark.sparkContext.broadcast(shingle_ranks(both.where("at IS NOT NULL").select("at", "counts"), bits))
         rows = docs.select("text").mapInArrow(_prefixes(size, bits, percent, ranks), "h long, s long, n int, pos int")
-        rows = saved(rows, "prefixes")
+        all_rows = rows = saved(rows, "prefixes")
         # a row for each shingle and set; the shingles of one set only are most of all
         shared = rows.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select("h")
         rows = rows.join(shared, "h").groupBy("h", "s", "n", "pos").agg(F.count("*").alias("copies")).drop("copies")
         self.rows = saved(rows, "shared-prefixes")
+        forget(all_rows)
         nodes = self.rows.select("s").distinct()
-        keys = self.sets.join(nodes, "s", "left_semi").groupBy("s").agg(F.min("key").alias("key"))
-        texts = docs.select("key", "text").join(keys, "key").groupBy("s").agg(F.first("text").alias("text"))
+        keys = saved(self.sets.join(nodes, "s", "left_semi").groupBy("s").agg(F.min("key").alias("key")), "candidate-keys")
+        texts = _with_keys(docs.select("key", "text"), "key", keys)
+        texts = texts.join(keys, "key").groupBy("s").agg(F.first("text").alias("text"))
         self.texts = saved(texts, "candidate-texts")
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (x, y) of rows (x, nx, px, y, ny, py) that pass the length and positional filters."""
+        """Distinct pairs (a, b, x, y), a < b, of rows (x, nx, px, y, ny, py): length and positional filters.
+
+        x is one of a and b, and y the other: y the pivot where only one is.
+        """
         p = self.percent
-        pairs = pairs.where((100 * F.least("nx", "ny") >= p * F.greatest("nx", "ny")))
-        pairs = pairs.groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"),
-                                            F.min("px").alias("px"), F.min("py").alias("py"))
-        # nothing before the first shared prefix shingle is shared
+        # at the first shingle that two linking sets share, both have enough left; later ones may fail this
         most = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-        return pairs.where((100 + p) * most >= p * (F.col("nx") + F.col("ny"))).select("x", "y")
+        pairs = pairs.where((100 * F.least("nx", "ny") >= p * F.greatest("nx", "ny"))
+                            & ((100 + p) * most >= p * (F.col("nx") + F.col("ny"))))
+        pairs = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+            F.max(F.col("x") > F.col("y")).alias("flip"))
+        return pairs.select("a", "b", F.when(F.col("flip"), F.col("b")).otherwise(F.col("a")).alias("x"),
+                            F.when(F.col("flip"), F.col("a")).otherwise(F.col("b")).alias("y"))
+
+    def enough_bits(self):
+        """Suffix filter on the bitmaps: the shingles that x and y can share at most are enough to link."""
+        alone = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(_BITS)), F.lit(0))
+        most = F.least(F.col("nx") - alone("bx", "by"), F.col("ny") - alone("by", "bx"))
+        return (100 + self.percent) * most >= self.percent * (F.col("nx") + F.col("ny"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that link, as (u, v). The texts of x travel; y may be a busy pivot."""
-        pairs = pairs.join(self.texts.select(F.col("s").alias("x"), F.col("text").alias("tx")), "x")
-        pairs = pairs.join(self.texts.select(F.col("s").alias("y"), F.col("text").alias("ty")), "y")
+        texts = _with_keys(self.texts, "s", pairs.select(F.explode(F.array("x", "y")).alias("s")))
+        pairs = pairs.join(texts.select(F.col("s").alias("x"), F.col("text").alias("tx")), "x")
+        pairs = pairs.join(texts.select(F.col("s").alias("y"), F.col("text").alias("ty")), "y")
         return saved(pairs.select("x", "tx", "y", "ty").mapInArrow(_verify(self.size, self.percent), "u long, v long"), "verified")
 
-    def labelled(self, links: DataFrame | None) -> DataFrame:
-        """The shared prefix rows of shingles that still have two components, with ``comp``."""
-        if links is None:
-            return self.rows.withColumn("comp", F.col("s"))
-        roots = components(links)
-        rows = self.rows.join(roots, self.rows.s == roots.node, "left").withColumn("comp", F.coalesce("root", "s"))
-        rows = saved(rows.select("h", "s", "n", "pos", "comp"), "labelled-prefixes")
-        open_ = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-        return rows.join(open_, "h")
-
-    @staticmethod
-    def largest(rows: DataFrame) -> DataFrame:
-        """(h, main): the component with most rows of each shingle."""
+    def open_rows(self, links: DataFrame) -> DataFrame:
+        """The prefix rows of shingles that still have two components, with ``comp`` and the largest, ``main``.
+
+        Components are those that two steps along the links show; sets that
+        more steps would join merely stay candidates.
+        """
+        near = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        one = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        # the smallest that a neighbour sees: all sets around one pivot agree
+        step = near.join(one, "v").groupBy("u").agg(F.min("m").alias("root"))
+        step = saved(step.select("u", F.least("u", "root").alias("root")), "labels")
+        rows = self.rows.join(step, self.rows.s == step.u, "left").withColumn("comp", F.coalesce("root", "s"))
+        rows = rows.select("h", "s", "n", "pos", "comp")
         by = rows.groupBy("h", "comp").agg(F.count("*").alias("c"))
-        return by.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+        main = by.groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("parts"))
+        return saved(rows.join(main.where("parts > 1").select("h", "main"), "h"), "open-prefixes")
 
     def solve(self, rounds: int) -> DataFrame:
         """(node, root) of all linked nodes."""
         links = done = None
         for turn in range(rounds + 1):
-            rows = saved(self.labelled(links), "open-prefixes")
-            if rows.isEmpty():
-                break
-            side = rows.select("h", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
-            other = rows.select("h", F.col("s").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"))
-            main = self.largest(rows)
+            if turn:
+                rows = self.open_rows(links)
+                if rows.isEmpty():
+                    break
+            else:
+                rows = self.rows.withColumn("comp", F.col("s")).withColumn("main", F.lit(None).cast("long"))
+            side = rows.select("h", F.col("s").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), "main")
+            other = rows.select("h", F.col("s").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("comp").alias("cy"), "main")
             if turn < rounds:
                 if turn:  # outside the largest component, so that the pivot is new to the group
-                    other = other.join(main, "h").where("cy != main").drop("main")
-                order = F.xxhash64("y", F.lit(turn))
+                    other = other.where("cy != main")
+                order = F.struct("py", F.xxhash64("y", F.lit(turn)))  # few rarer shingles: the middle of a group
                 pivots = other.groupBy("h").agg(F.min_by(F.struct("y", "ny", "py", "cy"), order).alias("p")).select("h", "p.*")
                 pairs = side.join(pivots, "h").where("cx != cy")
             else:
-                side = side.join(main, "h").where("cx != main")
-                pairs = side.join(other, "h").where("cx != cy AND (cy = main OR x < y)")
+                bits = self.sets.groupBy("s").agg(F.first("bits").alias("bits"))
+                side = side.where("main IS NULL OR cx != main").join(bits.select(F.col("s").alias("x"), F.col("bits").alias("bx")), "x")
+                other = other.drop("main").join(bits.select(F.col("s").alias("y"), F.col("bits").alias("by")), "y")
+                pairs = side.join(other, "h").where("cx != cy AND (cy <=> main OR x < y)").where(self.enough_bits())
             pairs = self.candidates(pairs)
             if done is not None:
-                pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-                pairs = pairs.select("x", "y", *pair).join(done, ["a", "b"], "left_anti").select("x", "y")
-            # a pair may come up both ways in a round: one way is kept
-            pairs = saved(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
-                F.min(F.struct("y", "x")).alias("p")).select("a", "b", "p.x", "p.y"), "pairs")
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            pairs = saved(pairs, "pairs")
             new = self.links(pairs.select("x", "y"))
             done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
             links = new if links is None else links.unionByName(new)
-        return components(links) if links is not None else self.rows.select(F.col("s").alias("node"), F.col("s").alias("root")).limit(0)
+        return components(links)
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90,
