@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct_per_doc, mix64, slices, text_buffers, word_hashes
+from .common import distinct_per_doc, saved, slices, text_buffers, word_hashes
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
@@ -80,38 +80,27 @@ def _raw(bias: float, weights: np.ndarray, rows: np.ndarray, doc: np.ndarray, n:
     return out, sums
 
 
-def fit(places: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, bits: int = BITS, max_terms: int = MAX_TERMS,
-        factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 1e-4, seed: int = 7,
-        min_z: float = MIN_Z) -> Model:
-    """Train on documents given as distinct places, their numbers, and 0/1 labels."""
-    n, p = len(sizes), float(toxic.mean()) if len(toxic) else 0.0
-    index = np.zeros(1 << bits, np.int32)
+def fit(rows: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, index: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS,
+        rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Train on documents given as rows of the model (1, 2, ...), how many each has, and 0/1 labels.
+
+    ``index`` gives the row of each place, 0 for places without one.
+    """
+    n, p, terms = len(sizes), float(toxic.mean()) if len(toxic) else 0.0, int(index.max(initial=0))
     if not 0 < p < 1:
-        return Model(-30.0 if p == 0 else 30.0, index, np.zeros((1, 1 + factors)))
-    doc = np.repeat(np.arange(n), sizes)
-    # places that tell the classes apart: deviation of toxic documents from the expected, in standard units
-    df = np.bincount(places, minlength=1 << bits)
-    hit = np.bincount(places, weights=toxic[doc].astype(float), minlength=1 << bits)
-    z = np.abs(hit - df * p) / np.sqrt(df * p * (1 - p) + 1.0)
-    z[(df < MIN_DOCS) | (z < min_z)] = 0
-    chosen = np.argsort(-z, kind="stable")[:max_terms]
-    chosen = chosen[z[chosen] > 0]
-    index[chosen] = np.arange(1, len(chosen) + 1)
-    rows = index[places]
-    rows, doc = rows[rows > 0], doc[rows > 0]
-    starts = np.searchsorted(doc, np.arange(n + 1))
+        return Model(-30.0 if p == 0 else 30.0, np.zeros_like(index), np.zeros((1, 1 + factors)))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
     rng = np.random.default_rng(seed)
-    weights = np.zeros((len(chosen) + 1, 1 + factors))
-    weights[1:, 1:] = rng.normal(0, 0.01, (len(chosen), factors))
+    weights = np.zeros((terms + 1, 1 + factors))
+    weights[1:, 1:] = rng.normal(0, 0.01, (terms, factors))
     bias, sq_bias, sq = float(np.log(p / (1 - p))), 1e-6, np.full_like(weights, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, 256):
             pick = np.sort(order[at:at + 256])
-            lens = starts[pick + 1] - starts[pick]
+            lens = sizes[pick]
             local = np.repeat(np.arange(len(pick)), lens)
-            take = np.repeat(starts[pick] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
-            r = rows[take]
+            r = rows[np.repeat(starts[pick] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())]
             raw, sums = _raw(bias, weights, r, local, len(pick))
             err = (_sigmoid(raw) - toxic[pick]) / len(pick)
             sq_bias += err.sum() ** 2
@@ -130,33 +119,63 @@ def fit(places: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, bits: int = BI
     return Model(bias, index, weights)
 
 
-def _sample_features(bits: int):
+def _sample_places(bits: int):
     def run(batches):
         for b in batches:
-            toxic = b.column("toxic").to_numpy(zero_copy_only=False)
             out = []
             for _, v, m in term_places(b.column("text"), bits):
                 ends = np.cumsum(m)
-                out += [v[e - k:e].astype(np.int32).tobytes() for k, e in zip(m, ends)]
+                out += [v[e - k:e].astype(np.int32) for k, e in zip(m, ends)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(toxic.astype(np.int32)), b.column("order"), pa.array(out, pa.binary())],
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("order"), pa.array(out, pa.list_(pa.int32()))],
                                                  ["toxic", "order", "places"])
     return run
 
 
+def _chosen_rows(index):
+    """Batches of the sample with the places replaced by the model's rows, those without one left out."""
+    def run(batches):
+        for b in batches:
+            places = b.column("places")
+            rows = [index.value[x.values.to_numpy()] for x in places]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("order"), pa.array([x[x > 0].tobytes() for x in rows], pa.binary())],
+                                             ["toxic", "order", "rows"])
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample_docs: int = SAMPLE_DOCS, bits: int = BITS, **how) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents; only their hashed places reach the driver."""
+          sample_docs: int = SAMPLE_DOCS, bits: int = BITS, max_terms: int = MAX_TERMS, min_z: float = MIN_Z, **how) -> Model:
+    """Fit on at most ``sample_docs`` labelled documents.
+
+    Terms are counted and chosen by Spark: those whose share of toxic
+    documents deviates most from the mean, in standard units, and one for
+    every 20 documents of those that matter in pairs only. The driver gets
+    at most ``max_terms`` terms and, of each sampled document, only those.
+    """
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     picked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).dropna()
-    picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", order)
+    picked = picked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("order", order)
     picked = picked.orderBy("order", "doc_id").limit(sample_docs)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = rows.select("toxic", "order", "text").mapInArrow(_sample_features(bits), "toxic int, order long, places binary")
-    rows = sorted((r["order"], r["places"], r["toxic"]) for r in rows.collect())[:sample_docs]
-    places = [np.frombuffer(x, np.int32) for _, x, _ in rows]
-    return fit(np.concatenate([np.zeros(0, np.int32), *places]).astype(np.int64), np.array(list(map(len, places)), np.int64),
-               (np.array([t for *_, t in rows]) > 0).astype(float), bits=bits, **how)
+    sample = saved(rows.select("toxic", "order", "text").mapInArrow(_sample_places(bits), "toxic int, order long, places array<int>"), "toxic-sample")
+    p = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
+    counts = sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(
+        F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+    z = F.abs(F.col("hit") - F.col("df") * p) / F.sqrt(F.col("df") * (p * (1 - p)) + 1.0)
+    counts = counts.select("place", "df", z.alias("z")).where(F.col("df") >= MIN_DOCS)
+    best = counts.where(F.col("z") >= min_z).orderBy(F.desc("z"), "place").limit(max_terms).collect()
+    # terms that tell nothing alone may do so in pairs: of the rest those that split the sample most evenly
+    n = sample.count()
+    evenly = F.col("df") * (n - F.col("df"))
+    best += counts.where(F.col("z") < min_z).orderBy(F.desc(evenly), "place").limit(min(n // 20, max_terms - len(best))).collect()
+    index = np.zeros(1 << bits, np.int32)
+    index[[r["place"] for r in best]] = np.arange(1, len(best) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    got = sample.mapInArrow(_chosen_rows(shared), "toxic int, order long, rows binary").collect()
+    got = sorted((r["order"], bytes(r["rows"]), r["toxic"]) for r in got)
+    parts = [np.frombuffer(x, np.int32) for _, x, _ in got]
+    return fit(np.concatenate([np.zeros(0, np.int32), *parts]), np.array(list(map(len, parts)), np.int64),
+               np.array([float(t) for *_, t in got]), index, **how)
 
 
 def _scorer(model, at: int, bits: int):
