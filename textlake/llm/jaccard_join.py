@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import distinct_per_doc, forget, mix64, saved, shingle_hashes, slices, text_buffers, word_hashes
 from .components import components
 
-RANK_BITS = 22
+RANK_BITS = 24
 #: Bits of the filter that keeps unneeded texts out of the shuffle of candidates' texts.
 KEY_BITS = 24
 ROUNDS = 2
@@ -114,33 +114,32 @@ def _packed(counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
 
 
-def _sum_counts(kind):
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for at, blob in zip(b.column("at").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind).astype(np.uint64)
-                sums[at] = sums[at] + x if at in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())],
-                                         ["at", "counts"])
-    return run
+def _counted(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
+
+
+def _sum_counts(batches):
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for at, blob in zip(b.column("at").to_pylist(), b.column("counts").to_pylist()):
+            x = _counted(blob)
+            sums[at] = sums[at] + x if at in sums else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())],
+                                     ["at", "counts"])
 
 
 def shingle_ranks(parts: DataFrame, bits: int) -> np.ndarray:
-    """Rank of each counter, rare first, from the partial counter rows (at, counts).
+    """Rank of each counter, rare first, from the partial counter rows (at, counts): ten ranks for each doubling.
 
     Partial sums per task, then one sum per group of counters; the driver gets
-    8 bytes a counter, whatever the input.
+    4 bytes a counter at most and keeps one, whatever the input.
     """
     schema = "at int, counts binary"
-    parts = parts.mapInArrow(_sum_counts(np.uint32), schema)
-    parts = parts.repartition(64, "at").mapInArrow(_sum_counts(np.uint64), schema)
-    counts = np.zeros(1 << bits, np.uint64)
+    parts = parts.mapInArrow(_sum_counts, schema).repartition(64, "at").mapInArrow(_sum_counts, schema)
+    ranks = np.zeros(1 << bits, np.uint8)
     for r in parts.collect():
-        x = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.uint64)
-        counts[r["at"]:r["at"] + len(x)] = x
-    ranks = np.empty(1 << bits, np.uint32)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(1 << bits, dtype=np.uint32)
+        x = _counted(r["counts"])
+        ranks[r["at"]:r["at"] + len(x)] = np.minimum(255, 10 * np.log2(1.0 + x))
     return ranks
 
 
