@@ -43,14 +43,14 @@ END_ID = 2
 FRAME_IDS = 1 << 18
 FILE_BYTES = 32 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 2_000_000
 _SKIP = struct.pack("<II", 0x184D2A50, 1)
 _TABLE_MAGIC = 0x184D2A5E
 _ENTRY = struct.Struct("<QIIIIQqB")
 _FOOT = struct.Struct("<IQ3s")
 _FOOT_MAGIC = b"TKF"
 #: Text bytes whose pieces are counted together.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 
