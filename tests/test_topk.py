@@ -179,6 +179,54 @@ def test_approx_default_bits_recall(spark):
     assert sum(got.get(5000 + i) == i for i in range(0, 2000, 20)) >= 95
 
 
+def test_planned_recall_holds_at_every_size():
+    from textlake.operators.similarity import expected_recall, plan_signatures
+    one = np.ones(1)
+    for cosine in (0.1, 0.35, 0.6, 0.8, 0.99):
+        for n in (1, 2000, 1 << 18, 1 << 20, 1 << 30):
+            for bits in (None, 3, 10):
+                got = plan_signatures(np.array([cosine]), one, n, n, n_bits=bits)
+                assert got == (0, 1) or expected_recall(np.array([cosine]), one, *got) >= 0.9
+    assert plan_signatures(np.array([0.8]), one, 1 << 20, 1 << 20)[0] > 4  # still worth it
+    assert plan_signatures(np.array([0.8]), one, 1 << 20, 1 << 20, n_tables=1) == (0, 1)
+    assert plan_signatures(np.zeros(0), np.zeros(0), 0, 0) == (0, 1)
+
+
+def recall_by_default(spark, vecs, n_queries, k=10):
+    """Recall@k of the default settings against numpy brute force."""
+    import pandas as pd
+
+    from textlake.operators.similarity import approx_top_k
+    vecs = (vecs / np.linalg.norm(vecs, axis=1, keepdims=True)).astype(np.float32)
+    store = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(vecs)), "embedding": list(vecs)}),
+                                  "vec_id long, embedding array<float>")
+    q = store.where(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {(r.query_id, r.vec_id) for r in approx_top_k(q, store, k, exclude_same_id=True).collect()}
+    hit = 0
+    for i in range(0, n_queries, 500):
+        sim = vecs[i:min(i + 500, n_queries)] @ vecs.T
+        sim[np.arange(len(sim)), np.arange(i, i + len(sim))] = -2
+        hit += sum((i + a, int(b)) in got for a, row in enumerate(np.argpartition(-sim, k, axis=1)[:, :k]) for b in row)
+    return hit / (n_queries * k)
+
+
+def test_default_recall_on_a_larger_store_of_low_cosines(spark):
+    vecs = np.random.default_rng(6).standard_normal((20_000, 64))
+    assert recall_by_default(spark, vecs, 200) >= 0.9
+
+
+def test_default_recall_by_signatures(spark, monkeypatch):
+    from textlake.operators import similarity as S
+    plans = []
+    plan = S.plan_signatures
+    monkeypatch.setattr(S, "plan_signatures", lambda *a: plans.append(plan(*a)) or plans[-1])
+    monkeypatch.setattr(S, "COPY_COST", 1)
+    rng = np.random.default_rng(7)
+    vecs = np.repeat(rng.standard_normal((1200, 64)), 12, axis=0) + 0.5 * rng.standard_normal((14_400, 64))  # cosine 0.8
+    assert recall_by_default(spark, vecs, 1000) >= 0.9
+    assert plans[0][0] > 0
+
+
 def test_retrieve_refuses_other_encoders(spark):
     import pytest
 

@@ -235,21 +235,69 @@ def _signer(bplanes, n_tables: int, n_bits: int, dim: int):
     return run
 
 
+#: Recall that the default settings are planned for, above the 0.9 that they promise: the cosines are a sample's.
+RECALL = 0.95
+#: Queries whose exact neighbours show the cosines of the data.
+PROBES = 64
+#: Each table copies both sides once; a plan that needs more is answered exactly.
+MOST_TABLES = 64
+#: Dot products that cost about as much as one shuffled copy of a vector.
+COPY_COST = 200
+
+
 def signature_bits(n_vectors: int, bucket_rows: int = 256, most: int = 24) -> int:
-    """Hyperplanes per table: buckets of about ``bucket_rows`` vectors, so that
-    the work for a query does not grow with the store."""
+    """Most hyperplanes per table that are of use: buckets of about ``bucket_rows`` vectors."""
     return int(min(most, max(1, round(math.log2(max(n_vectors, 1) / bucket_rows) if n_vectors > bucket_rows else 1))))
 
 
-def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: int = 16,
+def expected_recall(cosines: np.ndarray, weights: np.ndarray, n_bits: int, n_tables: int) -> float:
+    """Share of pairs of these cosines that agree in a whole signature of at least one table."""
+    agree = 1 - np.arccos(np.clip(cosines, -1, 1)) / np.pi
+    return float(np.average(1 - (1 - agree ** n_bits) ** n_tables, weights=weights))
+
+
+def plan_signatures(cosines: np.ndarray, weights: np.ndarray, n_queries: int, n_vectors: int, n_bits: int | None = None,
+                    n_tables: int | None = None) -> tuple[int, int]:
+    """(bits, tables) of the least work a vector that reach ``RECALL``; (0, 1), the exact answer, if none saves work.
+
+    A given number of bits or tables is kept; if it cannot reach the recall, the answer is exact.
+    """
+    best = (0, 1)
+    given = n_bits is not None or n_tables is not None
+    least = math.inf if given else n_queries
+    if not len(cosines):
+        return best
+    for bits in [n_bits] if n_bits is not None else range(1, signature_bits(n_vectors) + 1):
+        for tables in [n_tables] if n_tables is not None else range(1, MOST_TABLES + 1):
+            if expected_recall(cosines, weights, bits, tables) >= RECALL:
+                work = tables * ((bits + COPY_COST) * (1 + n_queries / n_vectors) + n_queries / 2 ** bits)
+                if work < least:
+                    best, least = (bits, tables), work
+                break
+    return best
+
+
+def _neighbour_cosines(q: DataFrame, v: DataFrame, k: int, exclude_same_id: bool, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of the exact top-k of ``PROBES`` queries, rounded down to 1/100, and how often each occurs."""
+    some = q.orderBy(F.xxhash64("id"), "id").limit(PROBES)
+    found = top_k_similar(some, v, k, query_id="id", query_vec="vec", vec_id="id", vec="vec",
+                          exclude_same_id=exclude_same_id, params=params, strategy="broadcast")
+    rows = found.groupBy(F.floor(F.col("score") * 100).alias("c")).count().collect()
+    return np.array([r["c"] / 100 for r in rows], float), np.array([r["count"] for r in rows], float)
+
+
+def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: int | None = None,
                  n_bits: int | None = None, seed: int = 17, query_id: str = "query_id",
                  query_vec: str = "embedding", vec_id: str = "vec_id", vec: str = "embedding",
                  exclude_same_id: bool = False, params: Params = Params()) -> DataFrame:
     """Approximate top-k (locality-sensitive hashing on cosine).
 
     A vector is a candidate for a query when their signatures agree in at
-    least one of ``n_tables`` tables of ``n_bits`` random hyperplanes (by
-    default from the number of vectors). Each (table, bucket) is cut into a
+    least one of ``n_tables`` tables of ``n_bits`` random hyperplanes. What is
+    not given is planned from the cosines that the exact neighbours of a few
+    queries have, so that the expected recall is ``RECALL`` at any size of the
+    store; where no plan is less work than scoring all pairs (neighbours of
+    low cosine, few queries) the exact operator answers. Each (table, bucket) is cut into a
     grid of query parts x vector parts, from the counted bucket sizes, so
     that neither side of a hot bucket is copied whole into one task; cells
     are scored with the exact kernel, and only local top-k rows leave them --
@@ -265,8 +313,12 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: in
     v = vectors.select(F.col(vec_id).cast(kinds["vec_id"].dataType).alias("id"), F.col(vec).alias("vec")) \
         .where(F.size("vec") == F.lit(dim))
     q = q.where(F.size("vec") == F.lit(dim))
-    if n_bits is None:
-        n_bits = signature_bits(v.count())
+    if n_bits is None or n_tables is None:
+        seen = _neighbour_cosines(q, v, k, exclude_same_id, params)
+        n_bits, n_tables = plan_signatures(*seen, q.count(), v.count(), n_bits, n_tables)
+        if n_bits == 0:
+            return top_k_similar(q, v, k, query_id="id", query_vec="vec", vec_id="id", vec="vec",
+                                 exclude_same_id=exclude_same_id, params=params)
     rng = np.random.default_rng(seed)
     bp = spark.sparkContext.broadcast(rng.standard_normal((n_tables * n_bits, dim)))
     rows_per_cell = max(1, params.vector_block_bytes // max(dim * 8, 1))
