@@ -88,6 +88,14 @@ def test_nulls_repeats_long_texts_and_empty_table(spark):
     assert jaccard_components(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_short_documents_each_alone_in_its_partition(spark):
+    rows = [(1, "a b"), (2, "c d e"), (3, "A b")]
+    df = docs_of(spark, rows).repartitionByRange(3, "doc_id")
+    assert sorted(len(p) for p in df.rdd.glom().collect()) == [1, 1, 1]
+    out = jaccard_components(df, size=5, percent=80)
+    assert sorted(map(tuple, out.select("doc_id", "n_shingles", "component_id").collect()), key=repr) == brute(rows, 5, 80)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(500, 500), (-5, 7), (7, -5)]
     out = components(spark.createDataFrame(edges, "u long, v long"))

@@ -36,6 +36,12 @@ def test_shingle_sets_mirror_plain_sets(texts, size):
             assert len(got[a] & got[b]) == len(want[a] & want[b])
 
 
+def test_long_shingles_of_a_short_text_alone_in_its_slice():
+    for n in range(5):
+        sets = hashed([" ".join("abcd"[:n]), " ".join("ABCD"[:n]), "x y z a b c"], size=5, limit=1)
+        assert list(map(len, sets)) == [min(n, 1), min(n, 1), 2] and sets[0] == sets[1]
+
+
 def test_words_longer_than_the_position_table():
     a, b = "x" * 10000, "x" * 9999 + "y"
     one, two, three = hashed([a, b, a + " " + b])

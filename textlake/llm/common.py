@@ -168,10 +168,11 @@ def shingle_hashes(h: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.nda
     out = h.copy()
     key = _U(0x9E3779B97F4A7C15)
     for k in range(1, size):
+        n = max(len(h) - k, 0)
         nxt = np.zeros_like(h)
-        nxt[:len(h) - k] = h[k:]
+        nxt[:n] = h[k:]
         same = np.zeros(len(h), bool)
-        same[:len(h) - k] = doc[k:] == doc[:len(h) - k]
+        same[:n] = doc[k:] == doc[:n]
         out = mix64(out * _U(3) + key) + np.where(same, nxt, _U(0)) * _U(0xC2B2AE3D27D4EB4F)
     out = mix64(out)
     index = np.arange(len(h)) - np.repeat(ends - counts, counts)
