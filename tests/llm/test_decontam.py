@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -93,3 +94,53 @@ def test_native_plan(spark):
     plan = find_overlaps(docs_of(spark, [(1, "a")]), spark.createDataFrame([(1, "b c d")], "item_id long, text string"))
     text = plan._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text and "NestedLoop" not in text
+
+
+def whole(docs, items, least=13, num=4, den=5):
+    """The longest stretch on any diagonal of any pair; knows neither seeds nor sides."""
+    out = {}
+    for d, t in docs:
+        w = re.findall(r"[^\W_]+", t.lower())
+        for it, x in items:
+            v = re.findall(r"[^\W_]+", x.lower())
+            for o in range(-len(v) + 1, len(w)):
+                eq = [k for k in range(len(v)) if 0 <= o + k < len(w) and w[o + k] == v[k]]
+                for a in range(len(eq)):
+                    for b in range(a, len(eq)):
+                        n, e = eq[b] - eq[a] + 1, b - a + 1
+                        if n >= min(least, len(v)) and e * den >= n * num:
+                            out[d, it] = max(out.get((d, it), (0, 0, 0)), (n, e, len(v)))
+    return sorted(((d, i, *x) for (d, i), x in out.items()), key=repr)
+
+
+def test_every_substitution_that_the_share_allows(spark):
+    items, docs = [], []
+    for n, most in ((10, 2), (11, 2), (13, 2), (14, 2), (15, 3)):
+        item = [f"n{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for e in range(most + 1):
+            for places in itertools.combinations(range(1, n - 1), e):
+                docs.append((len(docs), " ".join(["pre"] + ["no" if i in places else x for i, x in enumerate(item)] + ["post"])))
+    got = rows_of(find_overlaps(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")))
+    assert len(got) == len(docs)
+    assert got == whole(docs, items)
+
+
+def test_long_stretches_of_any_substitutions(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(n))) for i, n in enumerate([12, 16, 18, 19, 20, 24, 29, 40])]
+    docs = []
+    for d in range(240):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randrange(0, len(w) // 3)):
+            w[rng.randrange(len(w))] = "other"
+        docs.append((d, " ".join(["a"] * rng.randrange(3) + w[rng.randrange(3):] + [f"w{rng.randrange(60)}" for _ in range(20)])))
+    want = whole(docs, items)
+    assert 60 < len(want) < 235
+    assert rows_of(find_overlaps(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))) == want
+
+
+def test_masks_leave_no_stretch_without_a_seed():
+    for n, e in ((10, 2), (15, 3), (20, 4)):
+        for gone in itertools.combinations(range(1, n), e):
+            assert any(all(o + k not in gone for k, c in enumerate(m) if c == "1") for m in MASKS for o in range(n - len(m) + 1))
