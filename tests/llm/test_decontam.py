@@ -90,6 +90,18 @@ def test_defined_cases(spark):
     assert find_overlaps(docs.limit(0), items).count() == 0
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    bad, rows = "alpha beta gamma", [(None, "clean one"), (None, "clean two"), (None, None), (7, "clean"), (7, None), (8, "clean")]
+    docs = docs_of(spark, rows + [(None, bad), (None, "so " + bad), (7, bad), (7, bad)])
+    items = spark.createDataFrame([(3, bad)], "item_id long, text string")
+    kept = decontaminate(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=repr) == sorted(rows, key=repr)
+    # an id and a text of one value are not the same row
+    texts = spark.createDataFrame([(bad, None), (None, bad)], "doc_id string, text string")
+    assert decontaminate(texts, items).collect() == [(bad, None)]
+
+
 def test_native_plan(spark):
     plan = find_overlaps(docs_of(spark, [(1, "a")]), spark.createDataFrame([(1, "b c d")], "item_id long, text string"))
     text = plan._jdf.queryExecution().toString()

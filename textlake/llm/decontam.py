@@ -167,7 +167,10 @@ def contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
                                        F.max("n_words").alias("n_words"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows whose id is contaminated; rows without an id are kept only if clean."""
-    bad = contaminated(docs, items, doc_id=doc_id, **how).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated, whatever ids they share; rows without an id are judged alike."""
+    # a row is known by its id and text: 128 bits, and whether there is an id, as hashes pass over NULL
+    cols = [F.col(doc_id).isNull(), F.col(doc_id), F.col(text)]
+    keyed = docs.withColumn("__key", F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("second"), *reversed(cols)).alias("b")))
+    bad = contaminated(keyed, items, doc_id="__key", text=text, **how).select(F.col("doc_id").alias("__key"))
+    return keyed.join(bad, "__key", "left_anti").select(*docs.columns)
