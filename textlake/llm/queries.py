@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from textlake.session import ensure_checkpoint_dir, ship_package
 
-from . import (decontam, host_rules, jaccard_join, line_spread, lm_backoff, mixing, token_frames, toxicity_fm, url_filter,
-               warc_convert)
+from . import (decontam, host_rules, jaccard_join, line_spread, lm_backoff, mixing, ranked_search, token_frames,
+               toxicity_fm, url_filter, warc_convert)
 from .common import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +172,25 @@ def op10_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff score of every document by the counts of all documents."""
     out = lm_backoff.lm_scores(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"))
+
+
+@query("op11_ranked_search", r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+a AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM d),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), a),
+p AS (SELECT f.doc_id, f.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS s
+      FROM f JOIN d ON f.doc_id = d.doc_id JOIN w ON f.term = w.term, a),
+s AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM q JOIN p ON q.term = p.term GROUP BY item_id, doc_id HAVING sum(s) > 0),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item, shared term sets scored once."""
+    return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
