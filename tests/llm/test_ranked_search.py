@@ -92,4 +92,4 @@ def test_shared_sets_add_up_to_the_items():
     ends = np.cumsum(short)
     for s, a, b in zip(sets, ends - short, ends):
         assert sorted(y for x in rest[a:b] for y in unfold(x)) == s.tolist()
-    assert len(left) + len(rest) < 0.6 * len(nodes)
+    assert len(left) + len(rest) < 0.8 * len(nodes)
