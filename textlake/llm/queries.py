@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textlake.session import ensure_checkpoint_dir, ship_package
 
-from . import (decontam, host_rules, jaccard_join, line_spread, lm_backoff, mixing, ranked_search, token_frames,
+from . import (decontam, host_rules, jaccard_join, line_spread, lm_backoff, mixing, multiset_hash, ranked_search, token_frames,
                toxicity_fm, url_filter, warc_convert)
 from .common import saved
 
@@ -194,3 +194,11 @@ SELECT * FROM r WHERE rank <= 10""")
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each benchmark item, shared term sets scored once."""
     return ranked_search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op12_multiset_hash")
+def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and the likeness of both and of the next document."""
+    out = multiset_hash.edited_fingerprints(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.base64("vector").alias("fingerprint"),
+                      F.base64("edited_vector").alias("edited_fingerprint"), "near_edited", "near_next")
