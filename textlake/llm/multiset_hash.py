@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, saved, shingle_hashes, word_hashes
+from .common import mix64, saved, shingle_hashes, word_hashes
 
 IDENTITY = 32
 LIKENESS = 256

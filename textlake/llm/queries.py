@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from textlake.session import ensure_checkpoint_dir, ship_package
 
-from . import (decontam, host_rules, jaccard_join, line_spread, lm_backoff, mixing, multiset_hash, ranked_search, token_frames,
-               toxicity_fm, url_filter, warc_convert)
+from . import (decontam, host_rules, jaccard_join, line_spread, lm_backoff, mixing, multiset_hash, ranked_search, token_align,
+               token_frames, toxicity_fm, url_filter, warc_convert)
 from .common import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,7 @@ ORACLE: dict[str, str] = {}
 #: (host, path, action) of the query's URL rules.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -202,3 +203,11 @@ def op12_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = multiset_hash.edited_fingerprints(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_chars", "edited_sha256", F.base64("vector").alias("fingerprint"),
                       F.base64("edited_vector").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op13_token_align")
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' ids in every document, and how common the linked id pairs are."""
+    digest = {"groups_sha256": F.coalesce(F.sha2("groups", 256), F.lit(""))}
+    out = token_align.align_corpus(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES), digest)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

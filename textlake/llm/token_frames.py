@@ -55,6 +55,23 @@ _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 
 
+def cut_pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and hashes of the pieces of a block of text bytes whose documents begin at ``off``."""
+    # single spaces after a visible ASCII character or a letter of U+00C0 to U+00FF, and before one
+    prev, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+    prev[1:] = _VISIBLE[buf[:-1]]
+    prev[2:] |= (buf[:-2] == 0xC3) & (buf[1:-1] >= 0x80)
+    after[:-1] = _VISIBLE[buf[1:]] | (buf[1:] == 0xC3)
+    begins = (buf == 0x20) & prev & after
+    firsts = off[:-1][off[:-1] < off[1:]]
+    begins[firsts - 1] = False  # the last byte of the document before
+    begins[firsts] = True
+    starts = np.flatnonzero(begins)
+    lens = np.diff(np.append(starts, len(buf)))
+    pos = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, lens)
+    return starts, lens, mix64(np.add.reduceat(_BYTE_KEY[buf] * _pos_key(pos), starts) + lens.astype(np.uint64))
+
+
 class Encoder:
     """Ids of texts, each distinct piece encoded once as long as it is remembered.
 
@@ -89,19 +106,7 @@ class Encoder:
         """Ids (u32) of all documents of a block of text bytes, and where each begins."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        # single spaces after a visible ASCII character or a letter of U+00C0 to U+00FF, and before one
-        prev, after = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
-        prev[1:] = _VISIBLE[buf[:-1]]
-        prev[2:] |= (buf[:-2] == 0xC3) & (buf[1:-1] >= 0x80)
-        after[:-1] = _VISIBLE[buf[1:]] | (buf[1:] == 0xC3)
-        begins = (buf == 0x20) & prev & after
-        firsts = off[:-1][off[:-1] < off[1:]]
-        begins[firsts - 1] = False  # the last byte of the document before
-        begins[firsts] = True
-        starts = np.flatnonzero(begins)
-        lens = np.diff(np.append(starts, len(buf)))
-        pos = np.arange(len(buf), dtype=np.int64) - np.repeat(starts, lens)
-        h = mix64(np.add.reduceat(_BYTE_KEY[buf] * _pos_key(pos), starts) + lens.astype(np.uint64))
+        starts, lens, h = cut_pieces(buf, off)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         new = self._unknown(unique)
         if len(self.known) + new.sum() > self.limit:
