@@ -9,7 +9,7 @@ compared with the piece.
 An anchor is a byte offset at which a token of A and a token of B both begin
 and both begin with a space, so what stands before ends in both. Anchors cut a
 document into windows of (ids of A, ids of B); a window's alignment depends on
-its ids alone and is memoised by them. Inside a window, byte offsets where
+its ids alone and is memoised by them (by a 64-bit hash of both id tuples). Inside a window, byte offsets where
 tokens of both end cut groups; the two tokens that end there are a link.
 
 Defined cases: texts that are NULL or empty, or of which one tokenizer does not
@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from .common import mix64, saved, slices, text_buffers
 from .token_frames import BLOCK_BYTES, _pos_key, cut_pieces
 
 #: Pieces, and windows, that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Rows up to which the table of id pairs is broadcast (some 40 bytes each).
 BROADCAST_PAIRS = 1_000_000
 _SHIFT = 32
@@ -80,22 +81,26 @@ class PieceBPE:
         return self.model.encode([p[1:] for p in pieces], num_threads=1)
 
 
-def align_window(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[list[int], str]:
-    """(packed id pairs of the links, groups as text) of one window."""
-    links, groups, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-    end_a = end_b = 0
-    while i < len(a):
-        if end_a <= end_b:
-            end_a += size_a[a[i]]
-            i += 1
-        while end_b < end_a:
-            end_b += size_b[b[j]]
-            j += 1
-        if end_a == end_b:
-            links.append(a[i - 1] << _SHIFT | b[j - 1])
-            groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-            first_i, first_j = i, j
-    return links, ";".join(groups)
+def align_windows(ids: list[np.ndarray], owner: list[np.ndarray], sizes: list[np.ndarray],
+                  names: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Alignment of windows that stand one after the other.
+
+    ``ids`` of A and of B, the window of each (``owner``), the bytes of each
+    id (``sizes``) and ids as text (``names``). Returns the packed id pairs of
+    all links, the window of each, and the groups of each window as text.
+    """
+    ends = [np.cumsum(s[x]) for x, s in zip(ids, sizes)]
+    shared, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+    links = ids[0][at_a].astype(np.int64) << _SHIFT | ids[1][at_b]
+    # tokens of A, then those of B, by group; each is followed by the sign that separates it from the next
+    group = np.concatenate([np.searchsorted(shared, e) for e in ends])
+    order = np.argsort(group * 2 + np.repeat([0, 1], [len(x) for x in ids]), kind="stable")
+    signs = np.full(len(order), ",")
+    signs[at_a], signs[len(ids[0]) + at_b] = "|", ";"
+    flat = [names[i] + sign for i, sign in zip(np.concatenate(ids)[order].tolist(), signs[order].tolist())]
+    cuts = np.flatnonzero(np.diff(np.concatenate(owner)[order], prepend=-1, append=-1))
+    texts = ["".join(flat[i:j])[:-1] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return links, owner[0][at_a], texts
 
 
 class _Flat:
@@ -104,11 +109,11 @@ class _Flat:
     def __init__(self, kind):
         self.values, self.at, self.size = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, lists: list[list[int]]) -> None:
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
+    def add(self, values: np.ndarray, size: np.ndarray) -> None:
+        """Lists that stand one after the other, with their lengths."""
         self.at = np.append(self.at, len(self.values) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.values = np.append(self.values, np.fromiter((x for y in lists for x in y), self.values.dtype, int(size.sum())))
+        self.values = np.append(self.values, values)
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lists ``which`` one after the other, and their lengths."""
@@ -118,6 +123,13 @@ class _Flat:
         return self.values[np.repeat(self.at[which] - ends + size, size) + np.arange(total)], size
 
 
+def _missing(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are not in the sorted ``known``."""
+    if not len(known):
+        return np.ones(len(wanted), bool)
+    return known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] != wanted
+
+
 class Aligner:
     """Tokens and alignments of blocks of text."""
 
@@ -125,6 +137,7 @@ class Aligner:
         self.a, self.b, self.limit = ByteBPE(path_a), PieceBPE(path_b), limit
         self.sizes = [np.fromiter(map(len, t.tokens), np.int64, len(t.tokens)) for t in (self.a, self.b)]
         self.spaced = [np.fromiter((x[:1] == b" " for x in t.tokens), bool, len(t.tokens)) for t in (self.a, self.b)]
+        self.names = list(map(str, range(max(map(len, self.sizes)))))
         self._forget_pieces()
         self._forget_windows()
 
@@ -133,7 +146,8 @@ class Aligner:
         self.ids, self.whole = (_Flat(np.int32), _Flat(np.int32)), np.zeros(0, bool)
 
     def _forget_windows(self) -> None:
-        self.windows, self.texts, self.links = {}, [], _Flat(np.int64)
+        self.windows, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.texts, self.links = [], _Flat(np.int64)
 
     def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
         pieces = [x.decode("utf-8") for x in raw]
@@ -143,7 +157,8 @@ class Aligner:
             found = t.encode(pieces)
             tokens = t.tokens
             whole &= np.fromiter((b"".join([tokens[i] for i in ids]) == x for ids, x in zip(found, raw)), bool, len(raw))
-            held.add(found)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            held.add(np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size)
         self.whole = np.append(self.whole, whole)
         where = np.searchsorted(self.known, hashes)
         self.known, self.place = np.insert(self.known, where, hashes), np.insert(self.place, where, at)
@@ -152,10 +167,7 @@ class Aligner:
         """Number of each piece of a block, and the pieces of each document."""
         starts, lens, h = cut_pieces(buf, off)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        def unknown():
-            at = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
-            return self.known[at] != unique if len(self.known) else np.ones(len(unique), bool)
-        new = unknown()
+        new = _missing(self.known, unique)
         if len(self.known) + new.sum() > self.limit:
             self._forget_pieces()
             new[:] = True
@@ -186,23 +198,22 @@ class Aligner:
         for side, (x, c, n) in enumerate(zip(ids, cuts, lens)):
             pos = np.arange(len(x), dtype=np.int64) - np.repeat(c, n)
             h = mix64(h + np.add.reduceat(mix64(x.astype(np.uint64) + np.uint64(side + 1 << 40)) * _pos_key(pos), c) + n.astype(np.uint64))
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.windows) + len(first) > self.limit:
+        unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        new = _missing(self.windows, unique)
+        if len(self.windows) + new.sum() > self.limit:
             self._forget_windows()
-        raw = [x.astype("<i4").tobytes() for x in ids]
-        numbers, fresh = np.zeros(len(first), np.int64), []
-        for k, w in enumerate(first.tolist()):
-            (x, nx), (y, ny) = ((int(c[w]), int(n[w])) for c, n in zip(cuts, lens))
-            key = nx.to_bytes(4, "little") + raw[0][4 * x:4 * (x + nx)] + raw[1][4 * y:4 * (y + ny)]
-            at = self.windows.get(key)
-            if at is None:
-                at = self.windows[key] = len(self.texts)
-                links, text = align_window(ids[0][x:x + nx].tolist(), ids[1][y:y + ny].tolist(), *self.sizes)
-                self.texts.append(text)
-                fresh.append(links)
-            numbers[k] = at
-        self.links.add(fresh)
-        return numbers[inverse]
+            new[:] = True
+        if new.any():
+            fresh = first[new]
+            where = [np.repeat(np.arange(len(fresh)), n[fresh]) for n in lens]
+            at = [np.arange(len(w)) + np.repeat(c[fresh] - np.cumsum(n[fresh]) + n[fresh], n[fresh]) for w, c, n in zip(where, cuts, lens)]
+            links, owner, texts = align_windows([x[i] for x, i in zip(ids, at)], where, self.sizes, self.names)
+            place = np.searchsorted(self.windows, unique[new])
+            self.windows = np.insert(self.windows, place, unique[new])
+            self.numbers = np.insert(self.numbers, place, len(self.texts) + np.arange(len(fresh)))
+            self.texts += texts
+            self.links.add(links, np.bincount(owner, minlength=len(fresh)))
+        return self.numbers[np.searchsorted(self.windows, unique)][inverse]
 
     def align(self, buf: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
         """(n_a, n_b, groups, id pairs, links of each pair) of each document of a block."""
