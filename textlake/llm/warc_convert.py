@@ -13,7 +13,9 @@ feed after an ARC record, two CR LF after a WARC record). Files hold about
 ``FILE_BYTES`` each, so a reader's task holds one file.
 
 Equal payloads of at least ``MIN_REVISIT`` bytes: the record of the largest
-(key, record id) is the response, the others become revisits of it.
+(key, record id) is the response, the others become revisits of it. They are
+found on a narrow index of the records (digest, size, key, identifier); only
+the list of a file's revisits meets the file, so no payload is exchanged.
 
 Defined cases: NULL payloads are empty; NULL URLs are written as ``unknown:``;
 bytes of a URL that would break a header line are percent-encoded; a date that
@@ -38,11 +40,15 @@ from pyspark.sql import functions as F
 
 from textlake.session import scratch_path
 
+from .common import saved
+
 FILE_BYTES = 32 << 20
 MIN_REVISIT = 1000
 V1 = "URL IP-address Archive-date Content-type Archive-length"
 V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 WARC_END = "\r\n\r\n"
+#: Records are written once and read twice: speed matters more than size.
+GZIP_LEVEL = "BEST_SPEED"
 KEY_HEADER = "X-Record-Key"
 RECORDS = ("record_id string, type string, url string, date string, ip string, content_type string, head binary, "
            "payload binary, payload_bytes long, sha1 string, key long, truncated boolean")
@@ -190,12 +196,12 @@ def write_arc(rows: DataFrame, path: str, version: int = 1) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     records = rows.select("key", "url", "ip", "date", "payload").mapInArrow(run, "record binary")
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").text(path, compression="gzip")
+    records.select(F.col("record").cast("string")).write.option("lineSep", "\n").option("zlib.compress.level", GZIP_LEVEL).text(path, compression="gzip")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files of a folder, a row each."""
-    return spark.read.format("binaryFile").load(path).select("content")
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def convert_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -228,12 +234,21 @@ def with_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame
     last = big.groupBy("sha1", "payload_bytes").agg(F.max(F.struct("key", "record_id")).alias("last"), F.count("*").alias("n"))
     last = last.where("n > 1").select(F.col("sha1").alias("l_sha1"), F.col("payload_bytes").alias("l_bytes"),
                                       F.col("last.key").alias("l_key"), F.col("last.record_id").alias("l_id"))
-    same = (F.col("sha1") == F.col("l_sha1")) & (F.col("payload_bytes") == F.col("l_bytes")) & (F.col("type") == "response")
-    out = records.join(last, same, "left")
+    # the extra hash key makes both sides exchange, so that a payload of many records can be split by the skew join
+    same = (F.xxhash64("sha1") == F.col("l_hash")) & (F.col("sha1") == F.col("l_sha1")) & (F.col("payload_bytes") == F.col("l_bytes"))
+    out = records.join(last.withColumn("l_hash", F.xxhash64("l_sha1")), same & (F.col("type") == "response"), "left")
     other = F.col("record_id") != F.col("l_id")
     return out.select(*records.columns, F.when(other, F.col("l_id")).alias("refers_to_id"), F.when(other, F.col("l_key")).alias("refers_to"))
 
 
+def _warcinfo(name: str) -> bytes:
+    """The record that a WARC file starts with."""
+    body = b"software: textlake\r\nformat: WARC File Format 1.1\r\n"
+    return warc_record({"record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "type": "warcinfo", "url": name,
+                        "date": "1970-01-01T00:00:00Z", "ip": "0.0.0.0", "content_type": "application/warc-fields", "head": b"",
+                        "payload": body, "sha1": hashlib.sha1(body).hexdigest(), "refers_to_id": None, "truncated": False})
+
+
 def write_warc(records: DataFrame, path: str) -> None:
     """WARC files of records with refers_to_id and refers_to; each file starts with a warcinfo record."""
     def run(batches):
@@ -242,17 +257,64 @@ def write_warc(records: DataFrame, path: str) -> None:
             for at in range(0, b.num_rows, 1000):
                 out = []
                 if not begun:
-                    body = b"software: textlake\r\nformat: WARC File Format 1.1\r\n"
-                    info = {"record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "type": "warcinfo", "url": name,
-                            "date": "1970-01-01T00:00:00Z", "ip": "0.0.0.0", "content_type": "application/warc-fields", "head": b"",
-                            "payload": body, "sha1": hashlib.sha1(body).hexdigest(), "refers_to_id": None, "truncated": False}
-                    out.append(warc_record(info))
+                    out.append(_warcinfo(name))
                     begun = True
                 out += [warc_record(r) for r in b.slice(at, 1000).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    rows = records.mapInArrow(run, "record binary")
-    rows.select(F.col("record").cast("string")).write.option("lineSep", WARC_END).text(path, compression="gzip")
+    _write_warc_rows(records.mapInArrow(run, "record binary"), path)
+
+
+def _write_warc_rows(rows: DataFrame, path: str) -> None:
+    text = rows.select(F.col("record").cast("string"))
+    text.write.option("lineSep", WARC_END).option("zlib.compress.level", GZIP_LEVEL).text(path, compression="gzip")
+
+
+def arc_index(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, record_id, type, payload_bytes, sha1, key): the records of a folder of ARC files without their contents."""
+    def run(batches):
+        for b in batches:
+            for file, data in zip(b.column("path").to_pylist(), _content(b)):
+                name, out = "unnamed", []
+                for rec in parse_arc(data):
+                    name = rec["url"] if rec["first"] else name
+                    r = convert_record(rec, name)
+                    out.append((file, r["record_id"], r["type"], r["payload_bytes"], r["sha1"], r["key"]))
+                if out:
+                    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)],
+                                                     ["path", "record_id", "type", "payload_bytes", "sha1", "key"])
+
+    return read_files(spark, path).mapInArrow(run, "path string, record_id string, type string, payload_bytes long, sha1 string, key long")
+
+
+def convert_files(spark: SparkSession, arc: str, warc: str, min_bytes: int = MIN_REVISIT) -> None:
+    """A folder of ARC files to a folder of WARC files with revisits.
+
+    A file's list of revisits is as long as the file has records at most.
+    """
+    again = with_revisits(saved(arc_index(spark, arc), "arc-index"), min_bytes).where(F.col("refers_to_id").isNotNull())
+    again = again.groupBy("path").agg(F.collect_list(F.struct("record_id", "refers_to_id", "refers_to")).alias("again"))
+
+    def run(batches):
+        name, begun = f"part-{TaskContext.get().partitionId():05d}.warc", False
+        for b in batches:
+            for data, listed in zip(_content(b), b.column("again").to_pylist()):
+                revisits = {r["record_id"]: r for r in listed or []}
+                source, out, held = "unnamed", [] if begun else [_warcinfo(name)], 0
+                begun = True
+                for rec in parse_arc(data):
+                    source = rec["url"] if rec["first"] else source
+                    r = convert_record(rec, source)
+                    out.append(warc_record(r | revisits.get(r["record_id"], {"refers_to_id": None, "refers_to": None})))
+                    held += len(out[-1])
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+
+    _write_warc_rows(read_files(spark, arc).join(again, "path", "left").mapInArrow(run, "record binary"), warc)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -298,5 +360,5 @@ def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     # dealt out row by row: neither a hot page nor a hot host fills one file
     files = max(int(total) // FILE_BYTES + 1, spark.sparkContext.defaultParallelism)
     write_arc(rows.repartition(files), arc, version)
-    write_warc(with_revisits(convert_arc(spark, arc), min_bytes), warc)
+    convert_files(spark, arc, warc, min_bytes)
     return read_warc(spark, warc)
