@@ -8,7 +8,8 @@ per word of the batch slice it is given.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,39 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# -- worker memory ------------------------------------------------------------
+
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """The one large object that a worker keeps between its tasks; asking for another drops it."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def lean(run: Callable, keeps: bool = False) -> Callable:
+    """A kernel whose worker gives freed memory back at its end.
+
+    Spark reuses Python workers, so what Arrow's pool and the C library hold
+    would stay with the executor through all later stages. Kernels that do not
+    use the resident object (``keeps``) drop it first.
+    """
+    def kernel(batches):
+        if not keeps:
+            _RESIDENT.clear()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+    return kernel
+
+
 # -- word kernel --------------------------------------------------------------
 
 _U = np.uint64

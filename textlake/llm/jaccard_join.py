@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import distinct_per_doc, forget, mix64, saved, shingle_hashes, slices, text_buffers, word_hashes
+from .common import distinct_per_doc, forget, lean, mix64, saved, shingle_hashes, slices, text_buffers, word_hashes
 from .components import components
 
 RANK_BITS = 24
@@ -52,6 +52,7 @@ ROUNDS = 2
 FIRST_PASS = "doc_id long, key long, s long, n int, bits array<long>, at int, counts binary"
 #: Counters of the rank table that travel in one row.
 _RANK_ROW = 1 << 14
+_MOST = (1 << 16) - 1
 #: Longs of a set's bitmap: a bit is set where at least one shingle hashes to it.
 _BITS = 16
 _CLASSES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60))
@@ -92,11 +93,12 @@ def _first_pass(size: int, bits: int):
     schema = to_arrow_schema(T.StructType.fromDDL(FIRST_PASS))
 
     def run(batches):
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)  # a task's counts stop at 65,535: frequent enough to come last
         for b in batches:
             at = 0
             for _, v, m in shingle_sets(b.column("text"), size):
-                np.add.at(counts, _bucket(v, bits), np.uint32(1))
+                bucket, times = np.unique(_bucket(v, bits), return_counts=True)
+                counts[bucket] = np.minimum(counts[bucket] + times, _MOST)
                 n = len(m)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(at, n), b.column("key").slice(at, n), pa.array(set_ids(v, m)), pa.array(m.astype(np.int32)),
@@ -115,31 +117,30 @@ def _packed(counts: np.ndarray) -> bytes:
 
 
 def _counted(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint16)
 
 
 def _sum_counts(batches):
+    """Rank rows of a task's groups of counters; the counts of all tasks stream through."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for at, blob in zip(b.column("at").to_pylist(), b.column("counts").to_pylist()):
-            x = _counted(blob)
-            sums[at] = sums[at] + x if at in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())],
-                                     ["at", "counts"])
+            sums[at] = sums.get(at, 0.0) + _counted(blob)
+    ranks = [_packed(np.minimum(255, 10 * np.log2(1.0 + x)).astype(np.uint8)) for x in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], ["at", "ranks"])
 
 
 def shingle_ranks(parts: DataFrame, bits: int) -> np.ndarray:
     """Rank of each counter, rare first, from the partial counter rows (at, counts): ten ranks for each doubling.
 
-    Partial sums per task, then one sum per group of counters; the driver gets
-    4 bytes a counter at most and keeps one, whatever the input.
+    Groups of counters are summed apart; the driver gets one byte a counter,
+    whatever the input.
     """
-    schema = "at int, counts binary"
-    parts = parts.mapInArrow(_sum_counts, schema).repartition(64, "at").mapInArrow(_sum_counts, schema)
+    rows = parts.repartition(64, "at").mapInArrow(lean(_sum_counts), "at int, ranks binary")
     ranks = np.zeros(1 << bits, np.uint8)
-    for r in parts.collect():
-        x = _counted(r["counts"])
-        ranks[r["at"]:r["at"] + len(x)] = np.minimum(255, 10 * np.log2(1.0 + x))
+    for r in rows.collect():
+        x = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["ranks"]), np.uint8)
+        ranks[r["at"]:r["at"] + len(x)] = x
     return ranks
 
 
@@ -212,7 +213,7 @@ def _with_keys(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
         for b in batches:
             at = b.column(name).to_numpy() & ((1 << KEY_BITS) - 1)
             yield b.filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 class _Join:
@@ -222,10 +223,10 @@ class _Join:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
         both = saved(docs.select("doc_id", "key", "text").mapInArrow(
-            _first_pass(size, bits), FIRST_PASS), "shingle-sets")
+            lean(_first_pass(size, bits)), FIRST_PASS), "shingle-sets")
         self.sets = both.where("at IS NULL").select("doc_id", "key", "s", "n", "bits")
         ranks = self.spark.sparkContext.broadcast(shingle_ranks(both.where("at IS NOT NULL").select("at", "counts"), bits))
-        rows = docs.select("text").mapInArrow(_prefixes(size, bits, percent, ranks), "h long, s long, n int, pos int")
+        rows = docs.select("text").mapInArrow(lean(_prefixes(size, bits, percent, ranks)), "h long, s long, n int, pos int")
         all_rows = rows = saved(rows, "prefixes")
         # a row for each shingle and set; the shingles of one set only are most of all
         shared = rows.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select("h")
@@ -264,7 +265,7 @@ class _Join:
         texts = _with_keys(self.texts, "s", pairs.select(F.explode(F.array("x", "y")).alias("s")))
         pairs = pairs.join(texts.select(F.col("s").alias("x"), F.col("text").alias("tx")), "x")
         pairs = pairs.join(texts.select(F.col("s").alias("y"), F.col("text").alias("ty")), "y")
-        return saved(pairs.select("x", "tx", "y", "ty").mapInArrow(_verify(self.size, self.percent), "u long, v long"), "verified")
+        return saved(pairs.select("x", "tx", "y", "ty").mapInArrow(lean(_verify(self.size, self.percent)), "u long, v long"), "verified")
 
     def open_rows(self, links: DataFrame) -> DataFrame:
         """The prefix rows of shingles that still have two components, with ``comp`` and the largest, ``main``.

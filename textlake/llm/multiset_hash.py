@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, shingle_hashes, word_hashes
+from .common import lean, saved, shingle_hashes, word_hashes
 
 IDENTITY = 32
 LIKENESS = 256
@@ -236,7 +236,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows = rows.withColumn("part", _part_of(spark.sparkContext.broadcast(bounds))("order", "tie"))
     dealt = rows.unionByName(guests).repartitionById(n_parts, F.col("part").cast("int"))
     ordered = dealt.sortWithinPartitions("part", F.col("copies") == 0, "order", "tie").select("doc_id", "text", "copies", "part")
-    out = ordered.mapInArrow(_walk, _RESULT)
+    out = ordered.mapInArrow(lean(_walk), _RESULT)
     if most < many:
         return out
     same = once.where("copies > 1").select("doc_id", "text", "copies").mapInArrow(_followed_by_itself, f"n long, {_RESULT}")

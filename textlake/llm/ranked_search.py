@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import distinct_per_doc, forget, saved, slices, text_buffers, word_hashes
+from .common import distinct_per_doc, forget, lean, saved, slices, text_buffers, word_hashes
 
 #: (item, term) rows of a block of items.
 BLOCK_TERMS = 1 << 18
@@ -221,14 +221,14 @@ def _search_block(docs: DataFrame, plan: dict, k: int, acc_bytes: int) -> DataFr
     """Top rows of one block's items; tokenises the documents once."""
     spark: SparkSession = docs.sparkSession
     sc = spark.sparkContext
-    held = saved(docs.mapInArrow(_postings(sc.broadcast(plan["terms"])), "doc_id long, n long, terms array<int>, tfs array<int>"),
+    held = saved(docs.mapInArrow(lean(_postings(sc.broadcast(plan["terms"]))), "doc_id long, n long, terms array<int>, tfs array<int>"),
                  "search-postings")
     n_docs, n_terms = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     df = np.zeros(len(plan["terms"]), np.int64)
     for term, n in held.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the block
         df[term] = n
     weights = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * x + 1))) for x in df.tolist()], np.int64)
-    best = held.mapInArrow(_score(sc.broadcast(plan), weights, n_docs, n_terms, k, acc_bytes),
+    best = held.mapInArrow(lean(_score(sc.broadcast(plan), weights, n_docs, n_terms, k, acc_bytes)),
                            "at long, item_id long, doc_id long, score long")
     order = Window.partitionBy("at").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

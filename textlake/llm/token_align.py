@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, slices, text_buffers
+from .common import lean, mix64, resident, saved, slices, text_buffers
 from .token_frames import BLOCK_BYTES, _pos_key, cut_pieces
 
 #: Pieces, and windows, that a worker remembers.
@@ -245,15 +244,9 @@ class Aligner:
             yield n_a, n_b, ";".join([texts[i] for i in numbers[x:y]]), *np.unique(pairs[ends[x]:ends[y]], return_counts=True)
 
 
-@lru_cache(maxsize=1)
-def _aligner(path_a: str, path_b: str) -> Aligner:
-    """One aligner for all tasks of a worker."""
-    return Aligner(path_a, path_b)
-
-
 def _align(path_a: str, path_b: str):
     def run(batches):
-        aligner = _aligner(path_a, path_b)
+        aligner = resident(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
             space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
@@ -281,7 +274,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     link, so their numbers are the same.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_align(path_a, path_b), _ALIGNED)
+    return rows.mapInArrow(lean(_align(path_a, path_b), keeps=True), _ALIGNED)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

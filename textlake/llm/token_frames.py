@@ -25,7 +25,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +37,13 @@ from pyspark.sql.window import Window
 
 from textlake.session import scratch_path
 
-from .common import _BYTE_KEY, _pos_key, mix64, saved, slices, text_buffers
+from .common import _BYTE_KEY, _pos_key, lean, mix64, resident, saved, slices, text_buffers
 
 END_ID = 2
 FRAME_IDS = 1 << 18
 FILE_BYTES = 32 << 20
 #: Pieces of text whose ids a worker remembers.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 _SKIP = struct.pack("<II", 0x184D2A50, 1)
 _TABLE_MAGIC = 0x184D2A5E
 _ENTRY = struct.Struct("<QIIIIQqB")
@@ -97,7 +97,7 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
         place = np.searchsorted(self.known, hashes)
         self.known, self.at, self.size = (np.insert(old, place, new) for old, new in
                                           ((self.known, hashes), (self.at, at), (self.size, size)))
@@ -139,12 +139,6 @@ class Encoder:
                 yield ids[a:b]
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker."""
-    return Encoder(path)
-
-
 def frame(docs: list[tuple[int | None, bytes]]) -> bytes:
     """Raw frame of documents (doc_id, ids as u32 bytes)."""
     ids = np.frombuffer(b"".join(x for _, x in docs), "<u4")
@@ -191,7 +185,7 @@ def _write(path: str, end_id: int | None, frame_ids: int):
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
-        encoder, packer = _encoder(path), zstandard.ZstdCompressor(level=3)
+        encoder, packer = resident(("encoder", path), lambda: Encoder(path)), zstandard.ZstdCompressor(level=3)
         held, size, place, entries = [], 0, 0, []
 
         def flush():
@@ -225,7 +219,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     files = max(int(total) // FILE_BYTES + 1, spark.sparkContext.defaultParallelism)
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(files, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    frames = rows.mapInArrow(_write(tokenizer, end_id, frame_ids), "frame binary")
+    frames = rows.mapInArrow(lean(_write(tokenizer, end_id, frame_ids), keeps=True), "frame binary")
     frames.select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(out)
 
 
@@ -260,7 +254,7 @@ def read_tokens(spark: SparkSession, path: str, only: list[int] | None = None) -
                     before += e[3]
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "doc_id long, file string, place long, n_tokens long, ids_crc32 long, ids binary")
+    return files.mapInArrow(lean(run), "doc_id long, file string, place long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:

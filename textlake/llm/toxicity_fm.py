@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct_per_doc, saved, slices, text_buffers, word_hashes
+from .common import distinct_per_doc, lean, saved, slices, text_buffers, word_hashes
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     picked = picked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("order", order)
     picked = picked.orderBy("order", "doc_id").limit(sample_docs)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    sample = saved(rows.select("toxic", "order", "text").mapInArrow(_sample_places(bits), "toxic int, order long, places array<int>"), "toxic-sample")
+    sample = saved(rows.select("toxic", "order", "text").mapInArrow(lean(_sample_places(bits)), "toxic int, order long, places array<int>"), "toxic-sample")
     p = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
     counts = sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(
         F.count("*").alias("df"), F.sum("toxic").alias("hit"))
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", bits: int = BITS, t
         for b, s in scored(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], fields)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()),
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()),
                                               T.StructField(names[1], T.IntegerType())]))
 
 
@@ -212,4 +212,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         for b, s in scored(batches):
             yield b.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
