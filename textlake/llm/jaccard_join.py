@@ -236,7 +236,8 @@ class _Join:
         nodes = self.rows.select("s").distinct()
         keys = saved(self.sets.join(nodes, "s", "left_semi").groupBy("s").agg(F.min("key").alias("key")), "candidate-keys")
         texts = _with_keys(docs.select("key", "text"), "key", keys)
-        texts = texts.join(keys, "key").groupBy("s").agg(F.first("text").alias("text"))
+        # one key a set; grouping by it keeps the join's partitioning, so texts are exchanged once
+        texts = texts.join(keys, "key").groupBy("key").agg(F.first("s").alias("s"), F.first("text").alias("text")).drop("key")
         self.texts = saved(texts, "candidate-texts")
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
