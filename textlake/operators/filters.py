@@ -36,12 +36,14 @@ def select_titles(df: DataFrame, keywords, full_extraction: bool, title: str = "
 def per_group_pending(items: DataFrame, done: DataFrame, group: list[str], number: str) -> DataFrame:
     """C11: items whose number is above the group's high-water mark.
 
+    A mark covers numbers only: items without one stay.
+
     The mark table has one row per group (years x classes), so the join is
     small on one side and never ships the item table to every task.
     """
     marks = high_water_marks(done, group, number, "_hwm")
     return (items.join(marks, group, "left")
-                 .where(F.col(number) > F.coalesce(F.col("_hwm"), F.lit(0)))
+                 .where(F.col(number).isNull() | (F.col(number) > F.coalesce(F.col("_hwm"), F.lit(0))))
                  .drop("_hwm"))
 
 

@@ -52,14 +52,15 @@ def build_documents(index: DataFrame, landed_docs: DataFrame, done: DataFrame |
     """keyword/full selection, per (class, year) resume, one parse per document.
 
     ``done`` holds the numbers already stored, ``retry`` the urls of failed
-    fetches: those come up again although a later number is stored.
+    fetches: those come up again although a later number is stored. Urls
+    without a gazette key have no number, so no mark covers them.
     """
     idx = C.drop_null(index, "title")
     idx = C.select_titles(idx, params.keywords, params.full_extraction)
     idx = idx.withColumn("doc_key", G.doc_key(F.col("url"))) \
              .withColumn("cls", F.regexp_extract("url", G.KEY_PATTERN, 1)) \
              .withColumn("year", F.substring("day_id", 1, 4)) \
-             .withColumn("n", G.doc_number(F.col("url")))
+             .withColumn("n", F.when(F.col("doc_key").isNotNull(), G.doc_number(F.col("url"))))
     if done is not None:
         pending = C.per_group_pending(idx, done, ["cls", "year"], "n")
         if retry is not None:

@@ -18,18 +18,27 @@ from textlake.operators.aggregates import high_water_marks
 from textlake.params import Params
 from textlake.plans.corpus import build_documents, build_index, fetch_outcomes, success_marks
 from textlake.session import materialize
-from textlake.sinks.tables import append_new, next_version, read_marks, write_marks
+from textlake.sinks.tables import append_new, next_version, path_exists, read_marks, write_marks
 from textlake.sources.landed import latest_landing
 
 
 def ingest_documents(index: DataFrame, landed_docs: DataFrame, state: str, params: Params = Params()) -> None:
-    """One run. ``state`` gets documents (by year), marks and retry tables."""
+    """One run. ``state`` gets documents (by year), marks and retry tables.
+
+    A document is stored once by its ``record_key``: the gazette key, or the
+    url where it has none. Marks do not cover those without a key; a later run
+    leaves out the urls of theirs that are stored.
+    """
     spark = index.sparkSession
+    stored = os.path.join(state, "documents")
+    if path_exists(spark, stored):
+        keyless = spark.read.parquet(stored).where("doc_key IS NULL").select("url")
+        index = index.join(keyless, "url", "left_anti")
     marks, retry = (read_marks(spark, os.path.join(state, x)) for x in ("marks", "retry"))
     docs = materialize(build_documents(index, landed_docs, marks, params, retry))
     ok, failed = fetch_outcomes(docs)
-    append_new(ok, os.path.join(state, "documents"), ["doc_key"], ["year"])
-    done = success_marks(ok)
+    append_new(ok.withColumn("record_key", F.coalesce("doc_key", "url")), stored, ["record_key"], ["year"])
+    done = success_marks(ok.where("doc_key IS NOT NULL"))
     if marks is not None:
         done = high_water_marks(done.unionByName(marks), ["cls", "year"], "n", "n")
     # the marks move last: a run that ends before them is done again

@@ -20,10 +20,12 @@ PAGES = f"""(SELECT *, {KEY} AS doc_key, isodow(day) <> 7 AND (page_id // 10) %
              FROM (SELECT page_id, html, CAST(DATE '{START}' + CAST(page_id // 10 AS INTEGER) AS DATE) AS day FROM pages))"""
 
 
-def _pages(t):
+def _pages(t, keyless: bool = False):
     day = F.date_add(F.lit(START).cast("date"), F.floor(F.col("page_id") / 10).cast("int"))
     letter = F.element_at(F.array(*map(F.lit, "ABC")), (F.col("page_id") % 3 + 1).cast("int"))
     key = F.concat_ws("-", letter, F.year(day).cast("string"), (F.col("page_id") + 1).cast("string"))
+    if keyless:
+        key = F.when(F.col("page_id") % 5 == 0, F.concat(letter, F.lit("-extra-"), F.col("page_id").cast("string"))).otherwise(key)
     return t.pages.select("page_id", "html", day.alias("day"), key.alias("doc_key"), page_lang(F.col("html")).alias("lang"))
 
 
@@ -32,9 +34,9 @@ def _calendar(t):
     return calendar_rows(days, "a", "b")
 
 
-def _landed_days(t, first: bool):
+def _landed_days(t, first: bool, keyless: bool = False):
     """Day pages with their items nested two levels down; every seventh day fails, first every third too."""
-    p = _pages(t)
+    p = _pages(t, keyless)
     title = F.coalesce(F.concat(F.lit("<titulo>Ley "), "lang", F.lit("</titulo>")), F.lit(""))
     item = F.concat(F.lit("<item>"), title, F.lit("<urlxml>/diario_boe/xml.php?id=BOE-"), "doc_key", F.lit("</urlxml></item>"))
     items = p.groupBy("day").agg(F.array_join(F.sort_array(F.collect_list(item)), "").alias("items"), F.min("page_id").alias("n"))
@@ -45,14 +47,14 @@ def _landed_days(t, first: bool):
     return items.select(day_id(F.col("day")).alias("day_id"), F.when(failed, 404).otherwise(200).alias("status"), body.alias("body"))
 
 
-def _landed_docs(t, first: bool):
+def _landed_docs(t, first: bool, keyless: bool = False):
     """Document pages; a cut-off page fails, first every third too. Each is landed twice, once as a failure."""
     ok = F.col("html").contains("</html>")
     ok = ok & (F.col("page_id") % 3 != 1) if first else ok
     body = F.concat(F.lit("<documento><departamento>"), F.coalesce("lang", F.lit("")), F.lit("</departamento><rango>"),
                     F.md5("html"), F.lit("</rango><texto>"), F.length("html").cast("string"), F.lit("</texto></documento>"))
     url = F.concat(F.lit(GAZETTE_ROOT + "/diario_boe/xml.php?id=BOE-"), "doc_key")
-    once = _pages(t).select(url.alias("url"), F.when(ok, 200).otherwise(500).alias("status"), body.alias("body"))
+    once = _pages(t, keyless).select(url.alias("url"), F.when(ok, 200).otherwise(500).alias("status"), body.alias("body"))
     return once.unionAll(once.withColumn("status", F.lit(500)))
 
 
@@ -100,3 +102,19 @@ def ingest_corpus(t):
     docs = format_corpus(build_documents(index, _landed_docs(t, False), None))
     out = W.dense_row_number(docs.select("doc_key", "date", "department", "rang"), [], ["date", "doc_key"], "pos")
     return out.select("doc_key", F.col("date").cast("string").alias("date"), "department", "rang", "pos")
+
+
+@register("ingest_keyless", f"""
+SELECT 'stored' AS kind, CASE WHEN page_id % 5 <> 0 THEN doc_key END AS doc_key,
+       CASE WHEN page_id % 5 <> 0 THEN doc_key ELSE '{GAZETTE_ROOT}/diario_boe/xml.php?id=BOE-' || (['A', 'B', 'C'])[CAST(page_id % 3 AS INTEGER) + 1]
+         || '-extra-' || CAST(page_id AS VARCHAR) END AS record_key, md5(html) AS rang
+FROM {PAGES} WHERE day_ok AND page_id % 3 <> 1 AND lang IS NOT NULL AND ok
+""")
+def ingest_keyless(t):
+    """Every fifth page has no gazette key; three runs store each of them once, by its url."""
+    state = scratch_path(t.spark, "keyless")
+    index = build_index(_calendar(t), _landed_days(t, False, True))
+    for first in (True, False, False):
+        ingest_documents(index, _landed_docs(t, first, True), state)
+    out = t.spark.read.parquet(f"{state}/documents")
+    return out.select(F.lit("stored").alias("kind"), "doc_key", "record_key", "rang")
