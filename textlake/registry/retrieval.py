@@ -82,3 +82,16 @@ def topk_approx(t):
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     hits = approx_top_k(q, t.embeddings, 10, exclude_same_id=True)
     return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("join_topk_index")
+def topk_index(t):
+    """A trained index of all vectors; queries are those whose id is divisible by 20.
+    No SQL twin: pytest measures the recall against the exact operator."""
+    from textlake.operators.vector_index import VectorIndex
+    from textlake.session import scratch_path
+    index = VectorIndex(t.spark, scratch_path(t.spark, "vector-index"))
+    index.build(t.embeddings)
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = index.search(q, 10, exclude_same_id=True)
+    return hits.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
