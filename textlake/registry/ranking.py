@@ -9,9 +9,11 @@ from textlake.params import Params
 from textlake.plans.prompts import context_prompts, context_report, conversation_prompts
 from textlake.plans.qa import answer_spans, examples_from_turns, model_inputs, split_label
 from textlake.plans.retrieval import reranked_contexts, retrieve, with_context
+from textlake.operators.text_index import TextIndex
 from textlake.registry.base import register
 from textlake.registry.retrieval import PAIRS_SQL, TEST_THRESHOLD
 from textlake.registry.sqlparts import terms_sql, tokens
+from textlake.session import scratch_path
 
 MODELS = ("mistral-7b-instruct", "google-gemma-7b-it", "open-chat-model")
 STAMP = "2024/01/01, 00:00:00"  # report time is a parameter, not the clock
@@ -53,6 +55,22 @@ def rank_bm25_top10(t):
     return R.top_n(s, 10).select("query_id", "doc_id", "score", "rank")
 
 
+@register("rank_bm25_index", f"""
+WITH {bm25_sql("SELECT item_id AS query_id, text FROM benchmark")}
+SELECT query_id, doc_id, score, rank FROM (
+  SELECT query_id, doc_id, round(score, 6) AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
+  FROM scores) WHERE rank <= 10
+""")
+def rank_bm25_index(t):
+    """The same top 10 from a stored inverted index; documents are added by language group, in two additions."""
+    index = TextIndex(t.spark, scratch_path(t.spark, "text-index"))
+    early = F.coalesce(F.col("lang") == "en", F.lit(False))
+    index.add(t.documents.where(early))
+    index.add(t.documents)
+    return index.search(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
 RERANK_KEPT = 4  # of ten hits, so that the cut bites
 RERANK_CANDIDATES = f"""
 WITH {PAIRS_SQL}
