@@ -81,3 +81,10 @@ def test_repeated_rows_and_empty_table(spark):
     out = K.tokenise(docs_of(spark, [(1, "same")] * 4 + [(0, "b")]), PATH).collect()
     assert sorted(r["start"] for r in out) == [0, 2, 4, 6, 8] and len({r["ids_crc32"] for r in out}) == 2
     assert K.tokenise(docs_of(spark, [(1, "a")]).limit(0), PATH).count() == 0
+
+
+def test_files_are_ordered_by_their_numbers(spark):
+    names = [f"file:/a/part-7/part-{n:05d}-6d6f-c000.txt" for n in (100000, 99999, 0, 123456, 20)]
+    df = spark.createDataFrame([(x,) for x in names], "file string")
+    got = [r.file for r in df.orderBy(K.file_number("file"), "file").collect()]
+    assert got == [names[i] for i in (2, 4, 1, 0, 3)]

@@ -76,3 +76,13 @@ def test_sample_is_bounded(spark):
     a = X.train(docs_of(spark, [r[:2] for r in rows]), labels, sample_docs=50)
     b = X.train(docs_of(spark, [r[:2] for r in rows[::-1]]), labels, sample_docs=50)
     assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    sizes, fit = [], X.fit
+    monkeypatch.setattr(X, "fit", lambda rows, n, *more, **how: sizes.append(len(n)) or fit(rows, n, *more, **how))
+    rows = [(d % 20, t) for d, t, _ in pairs(600, 4)]  # thirty texts of each id
+    labels = spark.createDataFrame([(d, d % 2) for d in range(20)], "doc_id long, toxic int")
+    X.train(docs_of(spark, rows), labels, sample_docs=7)
+    X.train(docs_of(spark, rows), labels)
+    assert sizes == [7, 20]

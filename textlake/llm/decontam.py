@@ -17,8 +17,8 @@ words (or the whole item, if that is shorter) of which ``MIN_SHARE`` are equal;
 it begins and ends in an equal word.
 
 Defined cases: NULL or wordless documents and items never match; an item
-shorter than the masks must occur whole; repeated items each match; repeated
-documents are each returned; an empty item table matches nothing.
+shorter than the masks must occur whole; repeated items each match; rows
+of one id (NULL is an id) come back as one; an empty item table matches nothing.
 """
 
 from __future__ import annotations

@@ -13,8 +13,8 @@ i64 doc_id, u8 id present, u32 ids; then all ids as u16 where all fit, else u32.
 Spark writes the files: rows are frames, the row separator is a line feed, and
 that line feed is the byte of the skippable frame before it.
 
-Documents are dealt by ranges of (doc_id, text), so files in name order are in
-ascending order of doc_id; NULL ids come first, repeated rows stand together.
+Documents are dealt by ranges of (doc_id, text), so files in the order of their
+numbers are in ascending order of doc_id; NULL ids come first, repeated rows stand together.
 Defined cases: NULL and empty texts have only the end id; strings of special
 tokens in a text become what the tokenizer file makes of them.
 """
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -257,6 +257,11 @@ def read_tokens(spark: SparkSession, path: str, only: list[int] | None = None) -
     return files.mapInArrow(lean(run), "doc_id long, file string, place long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def file_number(name) -> Column:
+    """Number in the name of a part file; names of more digits sort wrongly as text."""
+    return F.regexp_extract(name, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32): every document read back, with the ids before it in the whole folder.
 
@@ -264,7 +269,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = saved(read_tokens(spark, path).drop("ids"), "token-index")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(file_number("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select(F.col("file").alias("f"), F.coalesce(F.sum("size").over(order), F.lit(0)).alias("base"))
     inside = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))

@@ -9,7 +9,7 @@ with AdaGrad on the logistic loss over a bounded sample of labelled rows;
 every document is scored in Arrow batches with the broadcast model.
 
 Bounds: the sample has at most ``SAMPLE_DOCS`` documents, the smallest by a
-hash of their id; the model has at most ``MAX_TERMS`` places (those that tell
+hash of their id, one text an id; the model has at most ``MAX_TERMS`` places (those that tell
 the classes apart best in the sample) times 1 + FACTORS numbers.
 
 Defined cases: NULL and wordless texts get the bias alone; rows of one id with
@@ -155,8 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     picked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).dropna()
     picked = picked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("order", order)
+    n_labels = picked.count()
+    if n_labels > 2 * sample_docs:  # only ids that can be among the smallest meet in one task
+        picked = picked.where(F.col("order") < int(-(1 << 63) + (1 << 64) * 1.5 * sample_docs / n_labels))
     picked = picked.orderBy("order", "doc_id").limit(sample_docs)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
+    # one text an id, so repeated ids do not widen the sample
+    rows = rows.groupBy("doc_id", "toxic", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = saved(rows.select("toxic", "order", "text").mapInArrow(lean(_sample_places(bits)), "toxic int, order long, places array<int>"), "toxic-sample")
     p = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
     counts = sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(
