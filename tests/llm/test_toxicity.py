@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -37,6 +38,64 @@ def test_pairwise_interactions_are_learned(spark):
     assert auc(score, label) > 0.95
 
 
+def rare_pairs(n, seed, share=0.04, base=0.095):
+    """Rare words that are toxic together only; alone they are as rarely toxic as others are by chance."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a, b = rng.random() < share, rng.random() < share
+        if rng.random() < share / 10:
+            a = b = True
+        w = [f"w{rng.randrange(3000)}" for _ in range(58)] + ["scum"] * a + ["folk"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(a and b) if a or b else int(rng.random() < base), a + b))
+    return rows
+
+
+def test_rare_pair_is_learned(spark):
+    train, test = rare_pairs(6000, 1), rare_pairs(2000, 2)
+    labels = spark.createDataFrame([(d, t) for d, _, t, _ in train], "doc_id long, toxic int")
+    model = X.train(docs_of(spark, [r[:2] for r in train]), labels)
+    out = X.score(docs_of(spark, [r[:2] for r in test]), model).orderBy("doc_id").collect()
+    score, both = np.array([r["toxic_score"] for r in out]), np.array([k for *_, k in test])
+    assert score[both == 2].mean() > 0.5 and score[both == 1].mean() < 0.2 and score[both == 0].mean() < 0.2
+
+
+def test_telling_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(X, "PAIR_BLOCK", 50)
+    rng = random.Random(5)
+    docs = []
+    for i in range(400):
+        places = set(rng.sample(range(12), 4))
+        docs.append((int({1, 2} <= places or {7, 9} <= places or rng.random() < 0.1), i, sorted(places)))
+    p = sum(d[0] for d in docs) / len(docs)
+    sample = spark.createDataFrame(docs, "toxic int, order long, places array<int>")
+    df = {a: [d[0] for d in docs if a in d[2]] for a in range(12)}
+    counts = spark.createDataFrame([(a, len(x), sum(x)) for a, x in df.items()], "place int, df long, hit long")
+    want, limit = set(), math.log(12 * 11 / 2 / 0.05)
+    for a in range(12):
+        for b in range(a):
+            x = [d[0] for d in docs if a in d[2] and b in d[2]]
+            ra, rb = ((sum(df[k]) + p) / (len(df[k]) + 1) for k in (a, b))
+            odds = ra / (1 - ra) * rb / (1 - rb) * (1 - p) / p
+            e, h, n = max(odds / (1 + odds), p), sum(x), len(x)
+            g = h * math.log(h / (n * e)) + ((n - h) * math.log((n - h) / (n * (1 - e))) if n > h else 0) if h > n * e else 0
+            want |= {a, b} if g >= limit else set()
+    assert want and X.telling_pairs(sample, counts, p, bits=4) == want
+
+
+def test_scores_equal_a_plain_machine():
+    rng = np.random.default_rng(3)
+    index = np.array([0, 1, 2, 0, 3, 4, 5, 0], np.int32)
+    model = X.Model(-0.4, index, np.vstack([np.zeros(4), rng.normal(size=(5, 4))]))
+    docs = [[1, 2, 4], [], [0, 3, 7], [1, 2, 4, 5, 6], [6]]
+    got = model.scores(np.concatenate(docs).astype(np.int64), np.array(list(map(len, docs))))
+    for s, d in zip(got, docs):
+        w = [model.weights[index[x]] for x in d if index[x]]
+        raw = -0.4 + sum(x[0] for x in w) + sum(float(np.dot(x[1:], y[1:])) for i, x in enumerate(w) for y in w[:i])
+        assert abs(s - 1 / (1 + math.exp(-raw))) < 1e-12
+
+
 def test_held_out_accuracy_on_the_table(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "labels")

@@ -9,8 +9,11 @@ with AdaGrad on the logistic loss over a bounded sample of labelled rows;
 every document is scored in Arrow batches with the broadcast model.
 
 Bounds: the sample has at most ``SAMPLE_DOCS`` documents, the smallest by a
-hash of their id, one text an id; the model has at most ``MAX_TERMS`` places (those that tell
-the classes apart best in the sample) times 1 + FACTORS numbers.
+hash of their id, one text an id. The machine has a row for every place whose
+share of toxic documents deviates by ``MIN_Z`` standard units, and for both
+places of every pair that is toxic more often than its places' rates explain
+(:func:`telling_pairs`), however rare they are and whatever each tells alone.
+Neither number is capped but by the 2^BITS places.
 
 Defined cases: NULL and wordless texts get the bias alone; rows of one id with
 several labels count as toxic if any is; NULL labels are ignored; without
@@ -32,10 +35,12 @@ from .common import distinct_per_doc, lean, saved, slices, text_buffers, word_ha
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 SAMPLE_DOCS = 20_000
-MAX_TERMS = 4096
-MIN_DOCS = 3
 #: Terms whose share of toxic documents deviates by fewer standard units are left out.
 MIN_Z = 3.0
+#: Chance that any pair of a sample without interactions passes as one.
+PAIR_RISK = 0.05
+#: Entries of documents' rows that the count of pairs handles at once.
+PAIR_BLOCK = 1 << 20
 FACTORS = 8
 EPOCHS = 20
 THRESHOLD = 0.3
@@ -143,14 +148,94 @@ def _chosen_rows(index):
     return run
 
 
+def _expected(r1, r2, p: float):
+    """Toxic share of two terms' common documents if their log odds add up, no less than the mean."""
+    odds = r1 / (1 - r1) * (r2 / (1 - r2)) * ((1 - p) / p)
+    return np.maximum(odds / (1 + odds), p)
+
+
+def _evidence(hit, df, e):
+    """Log likelihood ratio of ``hit`` toxic among ``df`` documents against a share of ``e``; 0 where the share is not above it."""
+    rest = df - hit
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = hit * np.log(hit / (df * e)) + np.where(rest > 0, rest * np.log(rest / (df * (1 - e))), 0.0)
+    return np.where(hit > df * e, g, 0.0)
+
+
+def _pair_counter(shared):
+    """For terms of the batch: their pairs with later terms whose evidence reaches the limit."""
+    def counts(terms, starts, docs, size):
+        """How many of ``docs`` have each term."""
+        out, lens = np.zeros(size, np.int64), starts[docs + 1] - starts[docs]
+        block = np.cumsum(lens) // PAIR_BLOCK
+        for at in np.split(np.arange(len(docs)), np.flatnonzero(np.diff(block)) + 1):
+            n = lens[at]
+            idx = np.repeat(starts[docs[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out += np.bincount(terms[idx], minlength=size)
+        return out
+
+    def run(batches):
+        terms, starts, n_toxic, rate, p, limit = shared.value  # documents with toxic ones first
+        size = len(rate)
+        owner = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+        by = np.argsort(terms, kind="stable")
+        owner, first = owner[by], np.searchsorted(terms[by], np.arange(size + 1))
+        for b in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            for i in b.column("id").to_numpy():
+                docs = owner[first[i]:first[i + 1]]
+                cut = np.searchsorted(docs, n_toxic)
+                hit = counts(terms, starts, docs[:cut], size)
+                hit[:i + 1] = 0
+                e = _expected(rate[i], rate, p)
+                # the most evidence that so many toxic documents can give
+                js = np.flatnonzero(hit * -np.log(e) >= limit)
+                if len(js):
+                    df = hit + counts(terms, starts, docs[cut:], size)
+                    js = js[_evidence(hit[js], df[js], e[js]) >= limit]
+                    out.append(np.stack([np.full(len(js), i), js], axis=1))
+            got = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+    return run
+
+
+def telling_pairs(sample: DataFrame, counts: DataFrame, p: float, bits: int = BITS, risk: float = PAIR_RISK) -> set[int]:
+    """Places in pairs whose common documents are toxic more often than the places' own rates explain.
+
+    ``sample`` has rows (toxic, order, places), ``counts`` (place, df, hit).
+    A pair counts if the log likelihood ratio of its common documents
+    reaches ln(pairs of places / risk), so chance seldom makes one. Only
+    places with enough toxic documents to get there are looked at. Each task
+    takes some of them and counts, in the bounded sample, the documents that
+    they share with others; pairs are never written out.
+    """
+    n_places = counts.count()
+    if not 0 < p < 1 or n_places < 2:
+        return set()
+    limit = float(np.log(n_places * (n_places - 1) / 2 / risk))
+    got = counts.where(F.col("hit") >= limit / -np.log(p)).orderBy("place").toPandas()
+    if len(got) < 2:
+        return set()
+    sc, index = sample.sparkSession.sparkContext, np.zeros(1 << bits, np.int32)
+    places = got["place"].to_numpy()
+    index[places] = np.arange(1, len(places) + 1)
+    rows = sample.mapInArrow(_chosen_rows(sc.broadcast(index)), "toxic int, order long, rows binary").collect()
+    rows = [(r["toxic"], np.frombuffer(bytes(r["rows"]), np.int32) - 1) for r in sorted(rows, key=lambda r: -r["toxic"])]
+    starts = np.cumsum([0, *[len(x) for _, x in rows]])
+    rate = ((got["hit"] + p) / (got["df"] + 1)).to_numpy()
+    shared = sc.broadcast((np.concatenate([x for _, x in rows]), starts, sum(t for t, _ in rows), rate, p, limit))
+    ids = sample.sparkSession.range(0, len(places), 1, 4 * sc.defaultParallelism)
+    pairs = ids.mapInArrow(lean(_pair_counter(shared)), "a long, b long")
+    return {int(places[r[0]]) for r in pairs.select(F.explode(F.array("a", "b"))).distinct().collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-          sample_docs: int = SAMPLE_DOCS, bits: int = BITS, max_terms: int = MAX_TERMS, min_z: float = MIN_Z, **how) -> Model:
+          sample_docs: int = SAMPLE_DOCS, bits: int = BITS, min_z: float = MIN_Z, **how) -> Model:
     """Fit on at most ``sample_docs`` labelled documents.
 
     Terms are counted and chosen by Spark: those whose share of toxic
-    documents deviates most from the mean, in standard units, and one for
-    every 20 documents of those that matter in pairs only. The driver gets
-    at most ``max_terms`` terms and, of each sampled document, only those.
+    documents deviates from the mean by ``min_z`` standard units, and those of
+    telling pairs. The driver gets these and, of each sampled document, its own.
     """
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     picked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).dropna()
@@ -164,17 +249,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = rows.groupBy("doc_id", "toxic", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sample = saved(rows.select("toxic", "order", "text").mapInArrow(lean(_sample_places(bits)), "toxic int, order long, places array<int>"), "toxic-sample")
     p = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
-    counts = sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(
-        F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+    counts = saved(sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(
+        F.count("*").alias("df"), F.sum("toxic").alias("hit")), "toxic-counts")
     z = F.abs(F.col("hit") - F.col("df") * p) / F.sqrt(F.col("df") * (p * (1 - p)) + 1.0)
-    counts = counts.select("place", "df", z.alias("z")).where(F.col("df") >= MIN_DOCS)
-    best = counts.where(F.col("z") >= min_z).orderBy(F.desc("z"), "place").limit(max_terms).collect()
-    # terms that tell nothing alone may do so in pairs: of the rest those that split the sample most evenly
-    n = sample.count()
-    evenly = F.col("df") * (n - F.col("df"))
-    best += counts.where(F.col("z") < min_z).orderBy(F.desc(evenly), "place").limit(min(n // 20, max_terms - len(best))).collect()
+    best = {r["place"] for r in counts.where(z >= min_z).select("place").collect()}
+    best = sorted(best.union(telling_pairs(sample, counts, p, bits)))
     index = np.zeros(1 << bits, np.int32)
-    index[[r["place"] for r in best]] = np.arange(1, len(best) + 1)
+    index[best] = np.arange(1, len(best) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     got = sample.mapInArrow(_chosen_rows(shared), "toxic int, order long, rows binary").collect()
     got = sorted((r["order"], bytes(r["rows"]), r["toxic"]) for r in got)
