@@ -12,18 +12,25 @@ def brute(rows, order, alpha, min_count):
     docs = [words(lower_ascii(t)) for _, t in rows]
     c = Counter(tuple(w[i - n + 1:i + 1]) for w in docs for i in range(len(w)) for n in range(1, order + 1) if i - n + 1 >= 0)
     total = sum(map(len, docs))
-    table = {g: n for g, n in c.items() if n >= (min_count if len(g) > 1 else 1)}
 
-    def s(g):
+    def s(g, own):
         if len(g) == 1:
             return c[g] / total
-        if g in table and g[:-1] in table:
-            return table[g] / table[g[:-1]]
-        return alpha * s(g[1:])
-    return [(d, len(w), sum(math.log(s(tuple(w[max(0, i - order + 1):i + 1]))) for i in range(len(w)))) for (d, _), w in zip(rows, docs)]
+        others = c[g] - own[g]
+        if others >= min_count and s_known(g[:-1], own):
+            return others / (c[g[:-1]] - own[g[:-1]])
+        return alpha * s(g[1:], own)
 
+    def s_known(g, own):
+        return c[g] - own[g] >= (min_count if len(g) > 1 else 1) and (len(g) == 1 or s_known(g[:-1], own))
+    out = []
+    for (d, _), w in zip(rows, docs):
+        own = Counter(tuple(w[i - n + 1:i + 1]) for i in range(len(w)) for n in range(1, order + 1) if i - n + 1 >= 0)
+        out.append((d, len(w), sum(math.log(s(tuple(w[max(0, i - order + 1):i + 1]), own)) for i in range(len(w)))))
+    return out
 
-@pytest.mark.parametrize("order,min_count,chunk", [(2, 2, 1 << 20), (3, 2, 300), (1, 1, 200), (4, 3, 500)])
+
+@pytest.mark.parametrize("order,min_count,chunk", [(2, 2, 1 << 20), (3, 1, 300), (1, 1, 200), (4, 3, 500), (3, 1, 1 << 20)])
 def test_matches_brute_force(spark, order, min_count, chunk):
     rng = random.Random(order)
     rows = [(i, " ".join(rng.choice(["a", "B", "b", "é", "cc", "d", f"x{rng.randrange(30)}"]) for _ in range(rng.randrange(40)))) for i in range(80)]
@@ -36,6 +43,13 @@ def test_matches_brute_force(spark, order, min_count, chunk):
     assert out.where("n_words = 0 AND mean IS NOT NULL").count() == 0
 
 
+def test_text_found_elsewhere_scores_higher(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnopqrst") for _ in range(30))) for i in range(40)]
+    out = {r["doc_id"]: r["mean"] for r in lm_scores(docs_of(spark, rows + [(99, rows[0][1])])).collect()}
+    assert out[0] == out[99] > max(out[i] for i in range(1, 40))
+
+
 def test_null_ids_long_texts_and_empty_table(spark):
     rows = [(None, "a b " * 30000), (None, "a b"), (2, "b a")]
     got = sorted(lm_scores(docs_of(spark, rows)).select("n_words", "score").collect())
@@ -45,7 +59,7 @@ def test_null_ids_long_texts_and_empty_table(spark):
 
 def test_packing_round_trips():
     import numpy as np
-    keys = np.sort(np.array([0, 1, 5, 1 << 63, (1 << 64) - 1], np.uint64))
+    keys = np.sort(np.array([0, 1, 5, 1 << 55, (1 << 56) - 1], np.uint64))
     assert (_unpack(_pack(keys)) == keys).all()
     for n in ([1, 1, 2], [0, 300], [1 << 40, 7], []):
         assert _unpack_counts(_pack_counts(np.array(n, np.int64))).tolist() == n

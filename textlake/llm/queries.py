@@ -160,17 +160,30 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lm_backoff", r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT doc_id, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a
+t AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
       FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-u AS (SELECT b, count(*) AS c FROM t GROUP BY b),
-p AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b HAVING count(*) >= 2),
-n AS (SELECT count(*) AS n FROM t),
-s AS (SELECT t.doc_id, CASE WHEN t.a IS NULL THEN ln(u.c / n.n) WHEN p.c IS NOT NULL THEN ln(p.c / v.c) ELSE ln(u.c / n.n) + ln(0.4) END AS s
-      FROM t JOIN u ON u.b = t.b LEFT JOIN u AS v ON v.b = t.a LEFT JOIN p ON p.a = t.a AND p.b = t.b, n)
+u AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+uo AS (SELECT doc_id, t.c, any_value(u.n) AS n, any_value(u.n) - count(*) AS k FROM t JOIN u ON u.c = t.c GROUP BY doc_id, t.c),
+p AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+po AS (SELECT doc_id, t.b, t.c, any_value(p.n) - count(*) AS k FROM t JOIN p ON p.b = t.b AND p.c = t.c GROUP BY doc_id, t.b, t.c),
+g AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
+go AS (SELECT doc_id, t.a, t.b, t.c, any_value(g.n) - count(*) AS k FROM t JOIN g ON g.a = t.a AND g.b = t.b AND g.c = t.c
+       GROUP BY doc_id, t.a, t.b, t.c),
+m AS (SELECT count(*) AS n FROM t),
+s AS (SELECT t.doc_id,
+        CASE WHEN go.k > 0 THEN ln(go.k / pc.k)
+             ELSE CASE WHEN t.a IS NULL THEN 0 ELSE ln(0.4) END
+                + CASE WHEN po.k > 0 THEN ln(po.k / uc.k)
+                       ELSE CASE WHEN t.b IS NULL THEN 0 ELSE ln(0.4) END + ln(u1.n / m.n) END END AS s
+      FROM t JOIN uo AS u1 ON u1.doc_id = t.doc_id AND u1.c = t.c
+      LEFT JOIN uo AS uc ON uc.doc_id = t.doc_id AND uc.c = t.b
+      LEFT JOIN po ON po.doc_id = t.doc_id AND po.b = t.b AND po.c = t.c
+      LEFT JOIN po AS pc ON pc.doc_id = t.doc_id AND pc.b = t.a AND pc.c = t.b
+      LEFT JOIN go ON go.doc_id = t.doc_id AND go.a = t.a AND go.b = t.b AND go.c = t.c, m)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x.s, 0), 4) AS score
 FROM d LEFT JOIN (SELECT doc_id, sum(s) AS s FROM s GROUP BY doc_id) AS x ON x.doc_id = d.doc_id""")
 def op10_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document by the counts of all documents."""
+    """Stupid-backoff score of every document by the counts of all others, words up to three."""
     out = lm_backoff.lm_scores(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("score", 4).alias("score"))
 
