@@ -47,13 +47,38 @@ def test_upsert_touches_only_its_partitions(spark, tmp_path):
     path = tmp_path / "u"
     t = UpsertTable(spark, str(path), ["text_id"], parts=8)
     t.write_batch(spark.createDataFrame([(str(i), i, "x") for i in range(200)], ROWS))
-    before = {f: f.stat().st_mtime_ns for f in path.glob("key_part=*/*.parquet")}
+    before = {f: f.stat().st_mtime_ns for f in path.glob("parts=8/key_part=*/*.parquet")}
     t.write_batch(spark.createDataFrame([("7", 1, "y")], ROWS))
-    after = set(path.glob("key_part=*/*.parquet"))
+    after = set(path.glob("parts=8/key_part=*/*.parquet"))
     changed = {f.parent.name for f in set(before) ^ after}
     assert len(changed) == 1 and t.read().count() == 200
 
 
+def test_upsert_folders_follow_bytes(spark, tmp_path):
+    path = tmp_path / "u"
+    t = UpsertTable(spark, str(path), ["text_id"], parts=2, part_bytes=4_000)
+    rows = [(str(i), i, f"{i * 2654435761 % 2**32:x}" * 20) for i in range(4000)]
+    t.write_batch(spark.createDataFrame(rows, ROWS))
+    parts = t.current_parts()
+    assert parts >= 16 and [p.name for p in path.glob("parts=*")] == [f"parts={parts}"]
+    assert t.read().count() == 4000
+    before = {f: f.stat().st_mtime_ns for f in path.glob("parts=*/key_part=*/*.parquet")}
+    t.write_batch(spark.createDataFrame([("7", 1, "y"), ("8", 1, "y"), ("new", 1, "y")], ROWS))
+    after = set(path.glob("parts=*/key_part=*/*.parquet"))
+    assert t.current_parts() == parts and len({f.parent.name for f in set(before) ^ after}) <= 3
+    got = _state(t)
+    assert len(got) == 4001 and [got[k] for k in ("7", "8", "new", "9")] == ["y", "y", "y", rows[9][2]]
+
+
+def test_unfinished_growth_is_left_out(spark, tmp_path):
+    t = UpsertTable(spark, str(tmp_path / "u"), ["text_id"], parts=4)
+    t.write_batch(spark.createDataFrame([(str(i), i, "x") for i in range(20)], ROWS))
+    spark.createDataFrame([("1", 1, "broken")], ROWS).write.parquet(str(tmp_path / "u" / "parts=8" / "key_part=1"))
+    assert t.current_parts() == 4 and t.read().count() == 20
+    t.write_batch(spark.createDataFrame([("1", 1, "y")], ROWS))
+    assert t.read().count() == 20 and [p.name for p in (tmp_path / "u").glob("parts=*")] == ["parts=4"]
+
+
 def test_append_new_is_exactly_once(spark, tmp_path):
     p = str(tmp_path / "a")
     df = spark.createDataFrame([(i, i % 3) for i in range(20)], "k long, v long")

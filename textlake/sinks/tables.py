@@ -94,39 +94,81 @@ def overwrite_checked(df: DataFrame, path: str, vec: str, dim: int,
     w.parquet(path)
 
 
+#: Bytes of a folder of an upserted table; past twice that on average the folders double in number.
+PART_BYTES = 64 << 20
+
+
 class UpsertTable:
     """Parquet table, one row per key, partitioned by a hash of the key.
 
     A batch reads, merges and overwrites only the partitions that its keys
     fall in (dynamic partition overwrite), so writing it again changes
-    nothing. With ``order`` (a stored column, such as an event time) the row
-    of the largest order wins, whatever order the batches come in; without
-    it, and between equal orders, the batch wins over what is stored.
+    nothing, and a batch of n keys rewrites n folders at most. With ``order``
+    (a stored column, such as an event time) the row of the largest order
+    wins, whatever order the batches come in; without it, and between equal
+    orders, the batch wins over what is stored.
+
+    The number of folders follows the table's bytes: it begins with ``parts``
+    and doubles until folders hold ``part_bytes`` on average, so each row is
+    moved a few times in all however the table grows. The folders of one
+    number lie in ``parts=<number>``; a larger number is written whole before
+    it counts, and the old one is deleted after that.
     """
 
     PART = "key_part"
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str | None = None, parts: int = 16):
-        self.spark, self.path, self.key, self.order, self.parts = spark, path, key, order, parts
+    def __init__(self, spark: SparkSession, path: str, key: list[str], order: str | None = None, parts: int = 16,
+                 part_bytes: int = PART_BYTES):
+        self.spark, self.path, self.key, self.order, self.parts, self.part_bytes = spark, path, key, order, parts, part_bytes
+
+    def _dir(self, parts: int) -> str:
+        return os.path.join(self.path, f"parts={parts}")
+
+    def current_parts(self) -> int | None:
+        """The number of folders in use; None before the first batch."""
+        found = sorted((int(d[6:]) for d in list_dirs(self.spark, self.path) if d.startswith("parts=")), reverse=True)
+        return next((n for n in found if path_exists(self.spark, os.path.join(self._dir(n), "_SUCCESS"))), None)
+
+    def _placed(self, df: DataFrame, parts: int) -> DataFrame:
+        return df.withColumn(self.PART, F.pmod(F.xxhash64(*self.key), F.lit(parts)).cast("int"))
+
+    def _save(self, rows: DataFrame, parts: int, how: str) -> None:
+        rows.hint("rebalance", self.PART).write.mode("overwrite").option("partitionOverwriteMode", how) \
+            .partitionBy(self.PART).parquet(self._dir(parts))
 
     def write_batch(self, df: DataFrame) -> None:
         """Merge one batch into the table; of a key's rows in the batch the last by ``order`` counts."""
-        part = F.pmod(F.xxhash64(*self.key), F.lit(self.parts)).cast("int")
-        rows = df.withColumn(self.PART, part).withColumn("_new", F.lit(1))
-        if path_exists(self.spark, self.path):
-            stored = self.spark.read.parquet(self.path).where(_touched(rows, [self.PART]))
-            rows = rows.unionByName(stored.withColumn("_new", F.lit(0)), allowMissingColumns=True)
+        stored = self.current_parts()
+        parts = stored or self.parts
+        rows = self._placed(df, parts).withColumn("_new", F.lit(1))
+        if stored:
+            old = self.spark.read.parquet(self._dir(parts)).where(_touched(rows, [self.PART]))
+            rows = rows.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True)
         by = [F.col(self.order), F.col("_new")] if self.order else [F.col("_new")]
         values = [c for c in rows.columns if c not in (*self.key, self.PART)]
         rows = rows.groupBy(*self.key, self.PART).agg(F.max_by(F.struct(*values), F.struct(*by)).alias("_v"))
-        # stored before the table's own partitions are replaced
-        rows = materialize(rows.select(*self.key, "_v.*", self.PART).drop("_new"))
-        rows.repartitionByRange(self.PART, *self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy(self.PART).parquet(self.path)
+        rows = rows.select(*self.key, "_v.*", self.PART).drop("_new")
+        if stored:  # stored before the table's own partitions are replaced
+            self._save(materialize(rows), parts, "dynamic")
+        else:
+            self._save(rows, parts, "static")
+        self._grow(parts)
+
+    def _grow(self, parts: int) -> None:
+        """Deal the rows to more folders once these hold twice their bytes, and delete folders out of use."""
+        fs, p = _fs(self.spark, self._dir(parts))
+        size, need = fs.getContentSummary(p).getLength(), parts
+        if size > 2 * parts * self.part_bytes:
+            while size > need * self.part_bytes:
+                need *= 2
+            self._save(self._placed(self.spark.read.parquet(self._dir(parts)), need), need, "static")
+        for d in list_dirs(self.spark, self.path):
+            if d.startswith("parts=") and d != f"parts={need}":
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(os.path.join(self.path, d)), True)
 
     def read(self) -> DataFrame:
         """The newest row of every key."""
-        return self.spark.read.parquet(self.path).drop(self.PART)
+        return self.spark.read.parquet(self._dir(self.current_parts())).drop(self.PART)
 
 
 def write_marks(df: DataFrame, path: str, version: int) -> None:
