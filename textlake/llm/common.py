@@ -74,6 +74,13 @@ def resident(key: tuple, make: Callable):
     return _RESIDENT[key]
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable, keeps: bool = False) -> Callable:
     """A kernel whose worker gives freed memory back at its end.
 
@@ -87,13 +94,22 @@ def lean(run: Callable, keeps: bool = False) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            _give_back()
     return kernel
 
 
+def lean_group(run: Callable, tables: int = 1) -> Callable:
+    """The same for a kernel of groups: a function of one or two tables that gives a table."""
+    def given_back(*group: pa.Table) -> pa.Table:
+        _RESIDENT.clear()
+        try:
+            return run(*group)
+        finally:
+            _give_back()
+    # Spark looks at the number of arguments
+    return (lambda one: given_back(one)) if tables == 1 else (lambda left, right: given_back(left, right))
+
+
 # -- word kernel --------------------------------------------------------------
 
 _U = np.uint64

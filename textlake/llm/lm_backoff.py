@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, text_buffers, word_hashes
+from .common import lean_group, mix64, slices, text_buffers, word_hashes
 
 ORDER = 3
 ALPHA = 0.4
@@ -174,8 +174,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     size, words = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(spaces), F.lit(0))).first()
     chunks, buckets = int(size) // chunk_bytes + 1, int(size) // bucket_bytes + 1
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    counted = dealt.groupBy("chunk").applyInArrow(_count_chunk(order, buckets), "chunk long, bucket long, grams binary, counts binary")
-    totals = counted.groupBy("bucket").applyInArrow(_total_bucket, "chunk long, bucket long, totals binary")
+    counted = dealt.groupBy("chunk").applyInArrow(lean_group(_count_chunk(order, buckets)), "chunk long, bucket long, grams binary, counts binary")
+    totals = counted.groupBy("bucket").applyInArrow(lean_group(_total_bucket), "chunk long, bucket long, totals binary")
     scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
-        _score_chunk(order, buckets, alpha, min_count, int(words)), "doc_id long, n_words long, score double")
+        lean_group(_score_chunk(order, buckets, alpha, min_count, int(words)), 2), "doc_id long, n_words long, score double")
     return scored.withColumn("mean", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")))
