@@ -11,7 +11,7 @@ every document is scored in Arrow batches with the broadcast model.
 Bounds: the sample has at most ``SAMPLE_DOCS`` documents, the smallest by a
 hash of their id, one text an id. The machine has a row for every place whose
 share of toxic documents deviates by ``MIN_Z`` standard units, and for both
-places of every pair that is toxic more often than its places' rates explain
+places of every pair of whole words that is toxic more often than its places' rates explain
 (:func:`telling_pairs`), however rare they are and whatever each tells alone.
 Neither number is capped but by the 2^BITS places.
 
@@ -46,13 +46,13 @@ EPOCHS = 20
 THRESHOLD = 0.3
 
 
-def term_places(texts: pa.Array, bits: int = BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def term_places(texts: pa.Array, bits: int = BITS, prefixes: tuple[int, ...] = PREFIXES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, distinct places of a slice of documents, how many each has)."""
     buf, off = text_buffers(texts)
     for i, j in slices(off):
-        h, c = word_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i], letters=True, prefixes=PREFIXES)
+        h, c = word_hashes(buf[off[i]:off[j]], off[i:j + 1] - off[i], letters=True, prefixes=prefixes)
         places = (h.ravel() >> np.uint64(64 - bits)).astype(np.int64)
-        v, m = distinct_per_doc(places, np.repeat(np.arange(j - i), c * (1 + len(PREFIXES))), j - i)
+        v, m = distinct_per_doc(places, np.repeat(np.arange(j - i), c * (1 + len(prefixes))), j - i)
         yield i, v, m
 
 
@@ -127,13 +127,15 @@ def fit(rows: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, index: np.ndarra
 def _sample_places(bits: int):
     def run(batches):
         for b in batches:
-            out = []
-            for _, v, m in term_places(b.column("text"), bits):
-                ends = np.cumsum(m)
-                out += [v[e - k:e].astype(np.int32) for k, e in zip(m, ends)]
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("order"), pa.array(out, pa.list_(pa.int32()))],
-                                                 ["toxic", "order", "places"])
+            kinds = []
+            for prefixes in (PREFIXES, ()):
+                out = []
+                for _, v, m in term_places(b.column("text"), bits, prefixes):
+                    ends = np.cumsum(m)
+                    out += [v[e - k:e].astype(np.int32) for k, e in zip(m, ends)]
+                kinds.append(pa.array(out, pa.list_(pa.int32())))
+            if len(kinds[0]):
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("order"), *kinds], ["toxic", "order", "places", "words"])
     return run
 
 
@@ -199,6 +201,12 @@ def _pair_counter(shared):
     return run
 
 
+def _counted(sample: DataFrame) -> DataFrame:
+    """Rows (place, df, hit): documents with the place, and toxic ones among them."""
+    places = sample.select("toxic", F.explode("places").alias("place"))
+    return places.groupBy("place").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+
+
 def telling_pairs(sample: DataFrame, counts: DataFrame, p: float, bits: int = BITS, risk: float = PAIR_RISK) -> set[int]:
     """Places in pairs whose common documents are toxic more often than the places' own rates explain.
 
@@ -247,13 +255,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
     # one text an id, so repeated ids do not widen the sample
     rows = rows.groupBy("doc_id", "toxic", "order").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    sample = saved(rows.select("toxic", "order", "text").mapInArrow(lean(_sample_places(bits)), "toxic int, order long, places array<int>"), "toxic-sample")
+    sample = saved(rows.select("toxic", "order", "text").mapInArrow(lean(_sample_places(bits)), "toxic int, order long, places array<int>, words array<int>"), "toxic-sample")
     p = sample.agg(F.coalesce(F.avg("toxic"), F.lit(0.0))).first()[0]
-    counts = saved(sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(
-        F.count("*").alias("df"), F.sum("toxic").alias("hit")), "toxic-counts")
     z = F.abs(F.col("hit") - F.col("df") * p) / F.sqrt(F.col("df") * (p * (1 - p)) + 1.0)
-    best = {r["place"] for r in counts.where(z >= min_z).select("place").collect()}
-    best = sorted(best.union(telling_pairs(sample, counts, p, bits)))
+    best = {r["place"] for r in _counted(sample).where(z >= min_z).select("place").collect()}
+    words = sample.select("toxic", "order", F.col("words").alias("places"))
+    best = sorted(best.union(telling_pairs(words, saved(_counted(words), "toxic-words"), p, bits)))
     index = np.zeros(1 << bits, np.int32)
     index[best] = np.arange(1, len(best) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(index)
