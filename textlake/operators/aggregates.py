@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.params import HIST_BINS
+from textlake.session import materialize
 
 
 def stage_counts(df: DataFrame, **conds: Column) -> DataFrame:
@@ -18,11 +19,12 @@ def stage_counts(df: DataFrame, **conds: Column) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins between min and max, the last bin closed.
 
-    One pass for min and max (a scalar subquery), one binned count; each
-    shuffles at most a row per bin and task, whatever the number of distinct
-    values. ``hi == lo`` puts every row into bin 0.
+    The values alone are stored once, so what computes them runs once; one
+    pass over them gives min and max (a scalar subquery), one the binned
+    count. Each shuffles at most a row per bin and task, whatever the number
+    of distinct values. ``hi == lo`` puts every row into bin 0.
     """
-    v = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
+    v = materialize(df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()))
     span = v.select(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     v = v.withColumn("_s", span)
     lo, width = F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo")
