@@ -58,3 +58,27 @@ def test_word_windows(spark):
     out = {r.id: r.windows for r in with_word_windows(df, "text", 2).collect()}
     assert out[1] == ["a b", "c d", "e"]
     assert out[2] == []
+
+
+def test_chunk_rows_leave_in_small_batches():
+    """A worker holds one text's chunks, not those of the whole batch."""
+    import pyarrow as pa
+
+    from textlake.operators.chunking import _chunk_rows
+    texts = ["p" * 900 + "\n" + "q" * 900, None, "", "r" * 900] * 50
+    b = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["id", "_text"])
+    out = list(_chunk_rows(["id"], 1024, 256, SUMMARY_SEPARATORS, 2000)(iter([b])))
+    assert len(out) >= 50 and max(sum(map(len, o.column("chunk").to_pylist())) for o in out) < 4000
+    got = [(r["id"], r["chunk_no"], r["chunk"]) for o in out for r in o.to_pylist()]
+    assert got == [(i, n, c) for i, t in enumerate(texts) if t is not None
+                   for n, c in enumerate(split_recursive(t, 1024, 256, SUMMARY_SEPARATORS), 1)]
+
+
+def test_explode_recursive_equals_the_column(spark):
+    from textlake.operators.chunking import explode_recursive
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(50)
+    a = explode_chunks(docs, recursive_chunks(F.col("text")), "doc_id", ["doc_id", "lang"])
+    b = explode_recursive(docs, "text", "doc_id", ["doc_id", "lang"])
+    cols = ["doc_id", "lang", "chunk_no", "text_id", "chunk"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    assert b.schema["chunk_no"].dataType == a.schema["chunk_no"].dataType

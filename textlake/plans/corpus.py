@@ -11,7 +11,7 @@ from textlake.functions.text import object_bytes, title_prefix
 from textlake.functions.tokens import token_count
 from textlake.operators import filters as C
 from textlake.operators.aggregates import high_water_marks, histogram, vector_stats
-from textlake.operators.chunking import chunk_file, explode_chunks, recursive_chunks
+from textlake.operators.chunking import chunk_file, explode_recursive
 from textlake.operators.embedding import encode, hashing_model_id
 from textlake.operators.joins import not_yet_stored, vector_record
 from textlake.operators.partitioning import spread_small
@@ -93,8 +93,7 @@ def chunk_corpus(docs: DataFrame, done: DataFrame | None = None, params: Params
         d = not_yet_stored(d, done, key)
     meta = meta if meta is not None else [c for c in d.columns if c != text]
     d = spread_small(d, key)
-    chunks = explode_chunks(d, recursive_chunks(F.col(text), params.chunk_size, params.chunk_overlap,
-                                                params.separators), key, meta)
+    chunks = explode_recursive(d, text, key, meta, params.chunk_size, params.chunk_overlap, params.separators)
     if prefix_title and "title" in meta:
         chunks = chunks.withColumn("chunk", title_prefix(F.col("title"), F.col("chunk")))
     return chunks.withColumn("chunk_file", chunk_file(F.col(key).cast("string"), F.col("chunk_no")))
