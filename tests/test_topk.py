@@ -163,6 +163,31 @@ def test_kernel_memory_is_tiled(monkeypatch):
     assert out[out.query_id == 7].vec_id.tolist()[:2] == np.argsort(-sim)[:2].tolist()
 
 
+def test_kernel_ties_and_repeated_ids(monkeypatch):
+    """Any order of rows, any tile: the same rows, equal scores by ascending id."""
+    from textlake.operators import similarity as S
+    rng = np.random.default_rng(8)
+    v = np.repeat(np.eye(4), 500, axis=0)  # many equal scores
+    ids = np.append(rng.permutation(1990), [5] * 10)
+    q, qids = np.eye(4)[:3], np.array([3, 5, -1])
+    for tile in (32 << 20, 8 * 1024 * 300):
+        monkeypatch.setattr(S, "TILE_BYTES", tile)
+        out = S._score_block(ids, v, qids, q, 7, True)
+        for i, x in enumerate(qids):
+            want = sorted((-s, j) for s, j in zip(v @ q[i], ids) if j != x)[:7]
+            got = out[out.query_id == x]
+            assert [(-s, j) for s, j in zip(got.score, got.vec_id)] == want
+
+
+def test_groups_are_small_and_many():
+    from textlake.operators.similarity import MOST_TABLES, block_grid, plan_signatures
+    nq, nv = block_grid(600_000, 600_000, 64, 512 << 20, 12)
+    assert nq * nv >= 48 and (600_000 / nq + 600_000 / nv) * 64 * 8 * 4 <= 512 << 20
+    assert block_grid(1, 1, 64, 512 << 20, 12) == (1, 1)
+    # signatures never copy the vectors more than a few times
+    assert MOST_TABLES <= 10 and plan_signatures(np.array([0.35]), np.ones(1), 600_000, 600_000)[1] <= MOST_TABLES
+
+
 def test_signature_bits_grow_with_the_store():
     from textlake.operators.similarity import signature_bits
     assert [signature_bits(n) for n in (0, 256, 512, 1 << 18, 1 << 40)] == [1, 1, 1, 10, 24]

@@ -12,9 +12,10 @@ Two physical strategies, chosen from a checked size:
   ``Params.query_block_bytes``: it is shipped once per executor as a
   broadcast variable and vectors are never shuffled.
 * ``blocks`` -- larger query sets: queries are hashed into ``NQ`` blocks and
-  vectors into ``NV`` blocks, each half of ``Params.block_group_bytes``;
+  vectors into ``NV`` blocks that share ``Params.block_group_bytes``;
   block pairs are co-grouped and scored with the same kernel. Memory per
-  group is bounded by the budget, never by the data size; the shuffle is
+  group is bounded by the budget, never by the data size, and there are
+  several groups per core (:func:`block_grid`); the shuffle is
   V*NQ + Q*NV bytes, which is why very large query sets over very large
   stores go to the approximate operator instead.
 """
@@ -36,6 +37,12 @@ from textlake.params import Params
 # One score tile (vectors x queries, double) and its partition copy.
 TILE_BYTES = 32 * 1024 * 1024
 _QUERY_TILE = 1024
+#: Doubles of vectors that a task of the broadcast strategy scores at once.
+BLOCK_BYTES = 16 * 1024 * 1024
+#: Copies of its vectors that a scoring group holds at once (Arrow, doubles, reordered rows).
+_COPIES = 4
+#: Scoring groups per core of the cluster, at least.
+_GROUPS_PER_CORE = 4
 
 
 def _candidates(queries: DataFrame, query_id: str, vectors: DataFrame, vec_id: str) -> T.StructType:
@@ -73,26 +80,55 @@ def _score_block(vids: np.ndarray, vmat: np.ndarray, qids: np.ndarray, qmat: np.
     """Top-k candidates of one vector block, scored in tiles of both sides.
 
     A tile holds ``TILE_BYTES`` of scores at most, however many vectors and
-    queries the block has; each query tile keeps its running top-k only.
+    queries the block has. Vectors go by ascending id, so once a query holds k
+    rows only a strictly higher score can enter: most tiles cost one product
+    and one comparison.
     """
+    order = pd.Series(vids).sort_values(kind="stable", na_position="first").index.to_numpy()
+    if len(order) and (np.diff(order) < 0).any():
+        vids, vmat = vids[order], vmat[order]
     out = [pd.DataFrame({"query_id": qids[:0], "vec_id": vids[:0], "score": np.zeros(0)})]
     rows = max(1, TILE_BYTES // (8 * _QUERY_TILE))
+    numbers = vids.dtype != object and qids.dtype != object
     for s in range(0, len(qids), _QUERY_TILE):
-        q_ids, q_tile, best = qids[s:s + _QUERY_TILE], qmat[s:s + _QUERY_TILE].T, None
+        q_ids, q_tile = qids[s:s + _QUERY_TILE], qmat[s:s + _QUERY_TILE]
+        least = np.full(len(q_ids), -np.inf)
+        q_at, v_at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if exclude_same_id and numbers:
+            lo, hi = np.searchsorted(vids, q_ids, "left"), np.searchsorted(vids, q_ids, "right")
         for r in range(0, len(vids), rows):
-            v_ids = vids[r:r + rows]
-            sim = vmat[r:r + rows] @ q_tile  # (vectors, queries)
-            if exclude_same_id:
-                sim[v_ids[:, None] == q_ids[None, :]] = -np.inf
-            if len(v_ids) > k:  # ties at the k-th score are kept
-                kth = np.partition(sim, len(v_ids) - k, axis=0)[len(v_ids) - k]
-                i, j = np.nonzero((sim >= kth[None, :]) & np.isfinite(sim))
-            else:
-                i, j = np.nonzero(np.isfinite(sim))
-            tile = pd.DataFrame({"query_id": q_ids[j], "vec_id": v_ids[i], "score": sim[i, j]})
-            best = tile if best is None else _compact(pd.concat([best, tile], ignore_index=True), k)
-        if best is not None:
-            out.append(best)
+            sim = q_tile @ vmat[r:r + rows].T  # (queries, vectors)
+            if exclude_same_id and numbers:
+                for i in np.flatnonzero((lo < hi) & (lo < r + rows) & (hi > r)):
+                    sim[i, max(lo[i] - r, 0):hi[i] - r] = -np.inf
+            elif exclude_same_id:
+                sim[q_ids[:, None] == vids[None, r:r + rows]] = -np.inf
+            better = sim > least[:, None]
+            most, width = 4 * k * len(q_ids), sim.shape[1]
+            if width > k and np.count_nonzero(better) > most:
+                np.nan_to_num(sim, copy=False, nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
+                kth = np.partition(sim, width - k, axis=1)[:, width - k]
+                better &= sim >= kth[:, None]
+                if np.count_nonzero(better) > most:  # equal scores: those of the first ids
+                    first = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+                    chosen = np.zeros_like(better)
+                    np.put_along_axis(chosen, first, True, axis=1)
+                    better &= chosen
+            i, j = np.nonzero(better)
+            if not len(i):
+                continue
+            x = sim[i, j]
+            finite = np.isfinite(x)
+            q_at, v_at, score = np.append(q_at, i[finite]), np.append(v_at, j[finite] + r), np.append(score, x[finite])
+            by = np.lexsort((v_at, -score, q_at))
+            q_at, v_at, score = q_at[by], v_at[by], score[by]
+            place = np.arange(len(q_at)) - np.searchsorted(q_at, q_at)
+            full = place == k - 1
+            least[q_at[full]] = score[full]
+            kept = place < k
+            q_at, v_at, score = q_at[kept], v_at[kept], score[kept]
+        if len(q_at):
+            out.append(pd.DataFrame({"query_id": q_ids[q_at], "vec_id": vids[v_at], "score": score}))
     return pd.concat(out, ignore_index=True)
 
 
@@ -103,25 +139,32 @@ def _ids(col) -> np.ndarray:
 
 
 def _broadcast_scorer(bq, k: int, dim: int, exclude_same_id: bool, schema):
-    """``mapInArrow`` kernel: each Arrow batch's flat float buffer is reshaped
+    """``mapInArrow`` kernel: the flat float buffer of a block of rows is reshaped
     to an (n, dim) matrix without per-row Python objects."""
     import pyarrow as pa
 
+    def blocks(batches):
+        """Batches cut and put together to blocks of about ``BLOCK_BYTES``."""
+        rows, held, n = max(1, BLOCK_BYTES // (8 * max(dim, 1))), [], 0
+        for rb in batches:
+            for at in range(0, rb.num_rows, rows):
+                held.append(rb.slice(at, rows))
+                n += held[-1].num_rows
+                if n >= rows:
+                    yield pa.Table.from_batches(held)
+                    held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held)
+
     def run(batches):
         qids, qmat = bq.value
         acc = None
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            vids = _ids(rb.column("vid"))
-            flat = rb.column("vec").flatten().to_numpy(zero_copy_only=False)
-            vmat = flat.astype(np.float64).reshape(rb.num_rows, dim)
-            n = np.linalg.norm(vmat, axis=1)
-            ok = n > 0
+        for block in blocks(batches):
+            vmat, ok = _arrow_matrix(block.column("vec"), block.num_rows, dim)
             if not ok.any():
                 continue
-            vmat = vmat[ok] / n[ok, None]
-            cand = _score_block(vids[ok], vmat, qids, qmat, k, exclude_same_id)
+            vids = _ids(block.column("vid"))
+            cand = _score_block(_only(vids, ok), _only(vmat, ok), qids, qmat, k, exclude_same_id)
             acc = cand if acc is None else pd.concat([acc, cand], ignore_index=True)
             if len(acc) > 4 * k * max(len(qids), 1):
                 acc = _compact(acc, k)
@@ -139,10 +182,15 @@ def _arrow_matrix(col, n: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
     mat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
     norms = np.linalg.norm(mat, axis=1)
     ok = norms > 0
-    mat[ok] /= norms[ok, None]
+    np.divide(mat, norms[:, None], out=mat, where=ok[:, None])
     return mat, ok
 
 
+def _only(rows: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """The rows that are ok, without a copy where all are."""
+    return rows if ok.all() else rows[ok]
+
+
 def _block_scorer(k: int, dim: int, exclude_same_id: bool, schema):
     """``cogroup().applyInArrow`` kernel: one (query block, vector block) pair."""
     import pyarrow as pa
@@ -152,12 +200,24 @@ def _block_scorer(k: int, dim: int, exclude_same_id: bool, schema):
         vmat, vok = _arrow_matrix(v.column("vec"), v.num_rows, dim)
         if not qok.any() or not vok.any():
             return schema.empty_table()
-        qids, vids = _ids(q.column("qid"))[qok], _ids(v.column("vid"))[vok]
-        out = _compact(_score_block(vids, vmat[vok], qids, qmat[qok], k, exclude_same_id), k)
+        qids, vids = _only(_ids(q.column("qid")), qok), _only(_ids(v.column("vid")), vok)
+        out = _compact(_score_block(vids, _only(vmat, vok), qids, _only(qmat, qok), k, exclude_same_id), k)
         return pa.Table.from_pandas(out[["query_id", "vec_id", "score"]], schema=schema, preserve_index=False)
     return run
 
 
+def block_grid(n_queries: int, n_vectors: int, dim: int, group_bytes: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and of vectors: groups fit their memory with all copies, and every core has several."""
+    half = max(1, group_bytes // (2 * _COPIES))
+    nq, nv = (max(1, math.ceil(n * dim * 8 / half)) for n in (n_queries, n_vectors))
+    while nq * nv < _GROUPS_PER_CORE * cores and (nq < n_queries or nv < n_vectors):
+        if (n_queries / nq >= n_vectors / nv and nq < n_queries) or nv >= n_vectors:
+            nq += 1
+        else:
+            nv += 1
+    return nq, nv
+
+
 def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
                   query_id: str = "query_id", query_vec: str = "embedding",
                   vec_id: str = "vec_id", vec: str = "embedding",
@@ -191,9 +251,7 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int, *,
         cand = v.mapInArrow(_broadcast_scorer(bq, k, dim, exclude_same_id, arrow), kinds)
     else:
         n_v = v.count()
-        half = max(1, params.block_group_bytes // 2)
-        nq_blocks = max(1, math.ceil(q_bytes / half))
-        nv_blocks = max(1, math.ceil(n_v * dim * 8 / half))
+        nq_blocks, nv_blocks = block_grid(n_q, n_v, dim, params.block_group_bytes, spark.sparkContext.defaultParallelism)
         # Block ids must have one type on both sides: cogroup hash-partitions
         # each side by its own key values, and a long and an int of the same
         # value hash differently.
@@ -239,8 +297,8 @@ def _signer(bplanes, n_tables: int, n_bits: int, dim: int):
 RECALL = 0.95
 #: Queries whose exact neighbours show the cosines of the data.
 PROBES = 64
-#: Each table copies both sides once; a plan that needs more is answered exactly.
-MOST_TABLES = 64
+#: Each table copies both sides once, so this bounds what is shuffled; a plan that needs more is answered exactly.
+MOST_TABLES = 8
 #: Dot products that cost about as much as one shuffled copy of a vector.
 COPY_COST = 200
 
@@ -321,7 +379,7 @@ def approx_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, n_tables: in
                                  exclude_same_id=exclude_same_id, params=params)
     rng = np.random.default_rng(seed)
     bp = spark.sparkContext.broadcast(rng.standard_normal((n_tables * n_bits, dim)))
-    rows_per_cell = max(1, params.vector_block_bytes // max(dim * 8, 1))
+    rows_per_cell = max(1, params.vector_block_bytes // max(_COPIES * dim * 8, 1))
 
     def signed(side: DataFrame, name: str, values: str) -> DataFrame:
         schema = T.StructType([side.schema["id"], side.schema["vec"], T.StructField("buckets", T.ArrayType(T.IntegerType()))])
