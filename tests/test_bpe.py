@@ -38,3 +38,10 @@ def test_given_documents_and_queries(spark, count):
     kept = win_bpe_budget(t).collect()
     texts = {(r.conv_id, r.turn): r.text for r in t.conversations.collect()}
     assert kept and all(r.tokens == count(texts[r.conv_id, r.turn]) for r in kept)
+
+
+def test_texts_are_not_shuffled(spark):
+    from textlake.sources.tables import Tables
+    d = Tables(spark, SMALL).documents.select("lang", "text").repartition(3)
+    plan = with_bpe_count(d, vocabulary())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
