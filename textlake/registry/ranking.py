@@ -51,8 +51,7 @@ SELECT query_id, doc_id, score, rank FROM (
 def rank_bm25_top10(t):
     """K6: BM25 of every benchmark query against the whole corpus, top 10."""
     q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    s = R.bm25(q, t.documents, n_queries=t.benchmark.count()).withColumn("score", F.round("score", 6))
-    return R.top_n(s, 10).select("query_id", "doc_id", "score", "rank")
+    return R.bm25_top(q, t.documents, 10, n_queries=t.benchmark.count())
 
 
 @register("rank_bm25_index", f"""
