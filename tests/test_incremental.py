@@ -204,3 +204,27 @@ def test_upsert_feed_restarted_from_nothing(spark, tmp_path):
         upsert_feed(spark, src, EVENTS, table, str(tmp_path / ck), max_files=files).awaitTermination(300)
         got = {r.user_id: r.ts for r in table.read().select("user_id", "ts").collect()}
         assert got == {r.user_id: r.ts for r in ev.groupBy("user_id").agg(F.max("ts").alias("ts")).collect()}
+
+
+def test_replayed_batch_is_written_without_merging(spark, tmp_path, monkeypatch):
+    """Only keys are compared when a batch replaces all that its partitions hold; other batches are merged."""
+    table = UpsertTable(spark, str(tmp_path / "t"), ["text_id"], parts=4)
+    widths = []
+    from textlake.sinks import tables
+    real = tables.materialize
+    monkeypatch.setattr(tables, "materialize", lambda df: widths.append(len(df.columns)) or real(df))
+    rows = [(str(i), i, "x" * 50) for i in range(40)] + [(None, -1, "null key")]
+    full = spark.createDataFrame(rows, "text_id string, n long, body string")
+    table.write_batch(full)
+    table.write_batch(full.withColumn("n", F.col("n") + 100))
+    assert widths == [2, 2]  # the keys and their partition, never the rows
+    got = lambda: sorted((str(r.text_id), r.n, r.body) for r in table.read().collect())
+    assert got() == sorted((str(k), n + 100, b) for k, n, b in rows)
+    # no body in the batch: the column stays, empty
+    table.write_batch(full.select("text_id", "n"))
+    assert got() == sorted(((str(k), n, None) for k, n, _ in rows), key=lambda r: r[:2])
+    # a part of the keys, and a key twice: merged
+    table.write_batch(full.where("n >= 30").unionAll(full.where("n = 31")))
+    table.write_batch(spark.createDataFrame([("new", 7, "b")], full.schema))
+    assert {k: b for k, _, b in got()} == {**{str(k): b if n >= 30 else None for k, n, b in rows}, "new": "b"}
+    assert len(got()) == 42

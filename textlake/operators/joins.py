@@ -46,8 +46,8 @@ def pair_with(hits: DataFrame, table: DataFrame, left_key: str, right_key: str,
                       F.col(right_key) == F.col(left_key), "inner")
 
 
-def vector_record(df: DataFrame, key: str, vec: str, meta_cols: list[str]) -> DataFrame:
-    """D9 + C16: ``(text_id, embedding, metadata map<string,string>)``.
+def vector_record(df: DataFrame, key: str, vec: str, meta_cols: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """D9 + C16: ``(text_id, embedding, metadata map<string,string>)`` and the ``more`` columns.
 
     Metadata values are cast to string; NULL becomes '' (never 'nan').
     """
@@ -55,4 +55,4 @@ def vector_record(df: DataFrame, key: str, vec: str, meta_cols: list[str]) -> Da
     for c in meta_cols:
         kv += [F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit(""))]
     return df.select(F.col(key).cast("string").alias("text_id"), F.col(vec).alias("embedding"),
-                     F.create_map(*kv).alias("metadata"))
+                     F.create_map(*kv).alias("metadata"), *more)

@@ -134,12 +134,14 @@ def encode_and_upsert(chunks: DataFrame, store: UpsertTable, params: Params = Pa
     skew-proof row number).
     """
     meta = meta if meta is not None else [c for c in chunks.columns if c not in (text, "text_id")]
-    enc = encode(chunks, text)
-    rec = vector_record(enc, "text_id", "embedding", meta + [text]) \
+    if group:  # numbered before the vectors are there: the numbered rows are sorted and stored
+        label = F.coalesce(F.col(group).cast("string"), F.lit("")) if group in meta + [text] else F.lit(None).cast("string")
+        chunks = chunks.withColumn("_label", label).withColumn("_id", F.col("text_id").cast("string"))
+        chunks = dense_row_number(chunks, ["_label"], ["_id"], "row_no").drop("_label", "_id")
+    rec = vector_record(encode(chunks, text), "text_id", "embedding", meta + [text], ("row_no",) if group else ()) \
         .withColumn("model_id", F.lit(hashing_model_id()))
     if group:
-        rec = rec.withColumn(group, F.col("metadata")[group])
-        rec = dense_row_number(rec, [group], ["text_id"], "row_no") \
+        rec = rec.withColumn(group, F.col("metadata")[group]) \
             .withColumn("write_batch", batch_label(F.col("row_no"), params.upsert_batch)).drop("row_no")
     store.write_batch(rec)
     return vector_stats(store.read())

@@ -113,6 +113,10 @@ class UpsertTable:
     moved a few times in all however the table grows. The folders of one
     number lie in ``parts=<number>``; a larger number is written whole before
     it counts, and the old one is deleted after that.
+
+    Without ``order`` a batch of distinct keys that has all stored keys of its
+    partitions (a first load, a replay) is written as it is: no rows are
+    merged, and only the keys are compared.
     """
 
     PART = "key_part"
@@ -140,9 +144,16 @@ class UpsertTable:
         """Merge one batch into the table; of a key's rows in the batch the last by ``order`` counts."""
         stored = self.current_parts()
         parts = stored or self.parts
-        rows = self._placed(df, parts).withColumn("_new", F.lit(1))
+        rows = self._placed(df, parts)
+        table = self.spark.read.parquet(self._dir(parts)) if stored else None
+        if self.order is None and self._replaces(rows, table):
+            missing = [f for f in (table.schema if stored else []) if f.name not in rows.columns]
+            rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+            self._save(rows, parts, "dynamic" if stored else "static")
+            return self._grow(parts)
+        rows = rows.withColumn("_new", F.lit(1))
         if stored:
-            old = self.spark.read.parquet(self._dir(parts)).where(_touched(rows, [self.PART]))
+            old = table.where(_touched(rows, [self.PART]))
             rows = rows.unionByName(old.withColumn("_new", F.lit(0)), allowMissingColumns=True)
         by = [F.col(self.order), F.col("_new")] if self.order else [F.col("_new")]
         values = [c for c in rows.columns if c not in (*self.key, self.PART)]
@@ -154,6 +165,20 @@ class UpsertTable:
             self._save(rows, parts, "static")
         self._grow(parts)
 
+    def _replaces(self, rows: DataFrame, table: DataFrame | None) -> bool:
+        """Whether the batch has each key once and all stored keys of the partitions it touches.
+
+        Then there is nothing to choose between, and only keys are read to know it.
+        """
+        keys = materialize(rows.select(*self.key, self.PART))
+        if not keys.groupBy(*self.key).count().where("count > 1").isEmpty():
+            return False
+        if table is None:
+            return True
+        new = keys.select(*[F.col(k).alias(f"_n_{k}") for k in self.key])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in self.key])
+        return table.where(_touched(keys, [self.PART])).select(*self.key).join(new, same, "left_anti").isEmpty()
+
     def _grow(self, parts: int) -> None:
         """Deal the rows to more folders once these hold twice their bytes, and delete folders out of use."""
         fs, p = _fs(self.spark, self._dir(parts))
