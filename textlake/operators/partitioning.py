@@ -21,3 +21,19 @@ def spread_small(df: DataFrame, *keys: str) -> DataFrame:
     if size >= target * df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+#: Estimates above this are defaults of inputs without statistics.
+_UNKNOWN_BYTES = 1 << 50
+
+
+def deal(df: DataFrame, key: str, source: DataFrame, part_bytes: int) -> DataFrame:
+    """Hash partitions by ``key`` that stand for about ``part_bytes`` of ``source`` each, however large it is.
+
+    The number follows the optimizer's size estimate of ``source``; without
+    one it is the session's.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > _UNKNOWN_BYTES:
+        return df.repartition(key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // part_bytes)), key)

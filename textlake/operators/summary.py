@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textlake.operators.partitioning import deal
 from textlake.operators.rerank import terms
 
+#: Bytes of stored texts whose sentences and terms one task holds.
+PART_BYTES = 4 << 20
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
 
 
@@ -35,11 +38,12 @@ def extractive_summary(docs: DataFrame, n: int = 3, key: str = "doc_id", text: s
     score(sentence) = mean over its term occurrences of ln(n_sent / df)
                     = ln(n_sent) - mean(ln df),
     with df the number of sentences of the same document containing the
-    term. Documents are dealt out by key once; tokens are exploded, counted,
+    term. Documents are dealt out by key once, to tasks of ``PART_BYTES``; tokens are exploded, counted,
     scored and ranked inside the partition of their document (every grouping
     starts with the key), so no token is shuffled.
     """
-    d = docs.select(F.col(key).alias("_k"), sentences(F.col(text)).alias("_s")).repartition("_k")
+    d = docs.select(F.col(key).alias("_k"), sentences(F.col(text)).alias("_s"))
+    d = deal(d, "_k", docs, PART_BYTES)
     tok = d.select("_k", F.size("_s").alias("n_sent"), F.posexplode("_s").alias("pos", "sentence")) \
         .select("_k", "n_sent", "pos", F.explode(terms(F.col("sentence"))).alias("term"))
     # the sentences of a document with a term, with how often each has it
