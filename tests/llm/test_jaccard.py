@@ -102,3 +102,41 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["root"] for r in out.collect()}
     assert got == {**{i: -5 for i in range(41)}, -5: -5, **{i: 100 for i in range(100, 160)}}
     assert out.count() == len(got)
+
+
+def test_bitmaps_bound_the_difference_of_large_sets():
+    """Bits that differ are at most the shingles that differ, and tell unrelated sets of thousands of shingles apart."""
+    import numpy as np
+    from textlake.llm.jaccard_join import set_bitmaps
+    rng = np.random.default_rng(3)
+    values = rng.integers(1, 1 << 62, 6000).astype(np.uint64)
+    sets = [values[:2000], values[60:2000], values[2000:4000], values[:0], values[:1]]
+    sizes = np.array([len(s) for s in sets])
+    words = np.array(set_bitmaps(np.concatenate(sets), sizes).to_pylist(), np.int64)
+    apart = lambda i, j: int(np.bitwise_count((words[i] ^ words[j]).view(np.uint64)).sum())
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert apart(i, j) <= len(np.setxor1d(a, b))
+    assert apart(0, 2) > 4000 * 10 // 190  # more than linked sets may differ
+    assert not words[3].any() and apart(3, 4) == 1
+
+
+def test_texts_are_fetched_for_near_sets_only(spark, monkeypatch):
+    """Sets that share a prefix shingle and little else never need their texts."""
+    from textlake.llm import jaccard_join as J
+    rng = random.Random(8)
+    own = lambda: [f"v{rng.randrange(10 ** 6)}" for _ in range(50)]
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(common + own())) for i in range(20)]
+    rows += [(50, " ".join(own() + own())), (51, None)]
+    rows.append((52, rows[20][1] + " more"))
+    asked, texts = [], J._Join.texts
+
+    def counted(self, pairs):
+        out = texts(self, pairs)
+        asked.append(out.count())
+        return out
+    monkeypatch.setattr(J._Join, "texts", counted)
+    found = jaccard_components(docs_of(spark, rows), rank_bits=1).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 3, 90)
+    assert asked == [2]

@@ -19,9 +19,10 @@ Documents are sets of word shingles, known by 64-bit hashes. Two link when
    share a prefix shingle are compared, one side always outside the shingle's
    largest component. No pair that could join two components is left out.
    Between rounds components are known as far as two steps along the links.
-5. The last comparison also asks the sets' bitmaps, and verification the counts
-   of shingles by hash class (suffix filters: both bound the intersection from
-   above); then the intersection itself is counted from both texts.
+5. Candidates must also have bitmaps that are near enough, and verification asks
+   the counts of shingles by hash class (suffix filters: both bound the
+   intersection from above); only then are the texts of the pairs' sets fetched
+   and the intersection itself is counted from both.
 
 Defined cases: NULL and wordless texts have an empty set, link with nothing
 and are their own component; a text of fewer words than the shingle has its
@@ -41,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from .common import distinct_per_doc, forget, lean, mix64, saved, shingle_hashes, slices, text_buffers, word_hashes
 from .components import components
@@ -53,7 +55,7 @@ FIRST_PASS = "doc_id long, key long, s long, n int, bits array<long>, at int, co
 #: Counters of the rank table that travel in one row.
 _RANK_ROW = 1 << 14
 _MOST = (1 << 16) - 1
-#: Longs of a set's bitmap: a bit is set where at least one shingle hashes to it.
+#: Longs of a set's bitmap: a bit is set where an odd number of shingles hash to it.
 _BITS = 16
 _CLASSES = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60))
 
@@ -81,11 +83,11 @@ def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def set_bitmaps(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Bitmaps of sets; bits set in one and not in the other bound the shingles that two sets do not share."""
+    """Bitmaps of sets; two sets differ in at least as many shingles as their bitmaps differ in bits."""
     at = (mix64(values + np.uint64(1)) >> np.uint64(64 - 10)).astype(np.int64)
-    flags = np.zeros((len(sizes), 64 * _BITS), bool)
-    flags[np.repeat(np.arange(len(sizes)), sizes), at] = True
-    words = np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+    times = np.zeros(len(sizes) * 64 * _BITS, np.uint8)
+    np.add.at(times, np.repeat(np.arange(len(sizes)), sizes) * (64 * _BITS) + at, np.uint8(1))  # the last bit counts, so they may wrap
+    words = np.packbits(times.reshape(-1, 64 * _BITS) & 1, axis=1, bitorder="little").view(np.int64)
     return pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), _BITS).cast(pa.list_(pa.int64()))
 
 
@@ -221,24 +223,22 @@ class _Join:
 
     def __init__(self, docs: DataFrame, size: int, percent: int, bits: int):
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
-        docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+        self.docs = docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
         both = saved(docs.select("doc_id", "key", "text").mapInArrow(
             lean(_first_pass(size, bits)), FIRST_PASS), "shingle-sets")
         self.sets = both.where("at IS NULL").select("doc_id", "key", "s", "n", "bits")
         ranks = self.spark.sparkContext.broadcast(shingle_ranks(both.where("at IS NOT NULL").select("at", "counts"), bits))
         rows = docs.select("text").mapInArrow(lean(_prefixes(size, bits, percent, ranks)), "h long, s long, n int, pos int")
         all_rows = rows = saved(rows, "prefixes")
-        # a row for each shingle and set; the shingles of one set only are most of all
-        shared = rows.groupBy("h").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select("h")
-        rows = rows.join(shared, "h").groupBy("h", "s", "n", "pos").agg(F.count("*").alias("copies")).drop("copies")
+        # a row for each shingle and set; the shingles of one set only are most of all. The rows are exchanged once
+        of = Window.partitionBy("h")
+        rows = rows.withColumn("lo", F.min("s").over(of)).withColumn("hi", F.max("s").over(of)).where("lo != hi")
+        rows = rows.groupBy("h", "s", "n", "pos").agg(F.count("*").alias("copies")).drop("copies")
         self.rows = saved(rows, "shared-prefixes")
         forget(all_rows)
         nodes = self.rows.select("s").distinct()
-        keys = saved(self.sets.join(nodes, "s", "left_semi").groupBy("s").agg(F.min("key").alias("key")), "candidate-keys")
-        texts = _with_keys(docs.select("key", "text"), "key", keys)
-        # one key a set; grouping by it keeps the join's partitioning, so texts are exchanged once
-        texts = texts.join(keys, "key").groupBy("key").agg(F.first("s").alias("s"), F.first("text").alias("text")).drop("key")
-        self.texts = saved(texts, "candidate-texts")
+        one = self.sets.join(nodes, "s", "left_semi").groupBy("s").agg(F.min(F.struct("key", "n", "bits")).alias("one"))
+        self.nodes = saved(one.select("s", "one.*"), "candidate-sets")
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a, b, x, y), a < b, of rows (x, nx, px, y, ny, py): length and positional filters.
@@ -255,18 +255,34 @@ class _Join:
         return pairs.select("a", "b", F.when(F.col("flip"), F.col("b")).otherwise(F.col("a")).alias("x"),
                             F.when(F.col("flip"), F.col("a")).otherwise(F.col("b")).alias("y"))
 
+    def side(self, name: str) -> DataFrame:
+        """The candidate sets as one side of pairs: its id, size and bitmap."""
+        return self.nodes.select(F.col("s").alias(name), F.col("n").alias("n" + name), F.col("bits").alias("b" + name))
+
     def enough_bits(self):
         """Suffix filter on the bitmaps: the shingles that x and y can share at most are enough to link."""
-        alone = lambda a, b: sum((F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))) for i in range(_BITS)), F.lit(0))
-        most = F.least(F.col("nx") - alone("bx", "by"), F.col("ny") - alone("by", "bx"))
-        return (100 + self.percent) * most >= self.percent * (F.col("nx") + F.col("ny"))
+        apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(_BITS)), F.lit(0))
+        return (100 + self.percent) * (F.col("nx") + F.col("ny") - apart) >= 2 * self.percent * (F.col("nx") + F.col("ny"))
+
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """(s, text) of the sets in pairs (x, y), from one row of each."""
+        asked = pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct()
+        keys = saved(self.nodes.select("s", "key").join(asked, "s", "left_semi"), "candidate-keys")
+        texts = _with_keys(self.docs.select("key", "text"), "key", keys)
+        # one key a set; grouping by it keeps the join's partitioning, so texts are exchanged once
+        texts = texts.join(keys, "key").groupBy("key").agg(F.first("s").alias("s"), F.first("text").alias("text")).drop("key")
+        return saved(texts, "candidate-texts")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that link, as (u, v). The texts of x travel; y may be a busy pivot."""
-        texts = _with_keys(self.texts, "s", pairs.select(F.explode(F.array("x", "y")).alias("s")))
+        if pairs.isEmpty():
+            return self.spark.createDataFrame([], "u long, v long")
+        texts = self.texts(pairs)
         pairs = pairs.join(texts.select(F.col("s").alias("x"), F.col("text").alias("tx")), "x")
         pairs = pairs.join(texts.select(F.col("s").alias("y"), F.col("text").alias("ty")), "y")
-        return saved(pairs.select("x", "tx", "y", "ty").mapInArrow(lean(_verify(self.size, self.percent)), "u long, v long"), "verified")
+        out = saved(pairs.select("x", "tx", "y", "ty").mapInArrow(lean(_verify(self.size, self.percent)), "u long, v long"), "verified")
+        forget(texts)
+        return out
 
     def open_rows(self, links: DataFrame) -> DataFrame:
         """The prefix rows of shingles that still have two components, with ``comp`` and the largest, ``main``.
@@ -304,13 +320,14 @@ class _Join:
                 pivots = other.groupBy("h").agg(F.min_by(F.struct("y", "ny", "py", "cy"), order).alias("p")).select("h", "p.*")
                 pairs = side.join(pivots, "h").where("cx != cy")
             else:
-                bits = self.sets.groupBy("s").agg(F.first("bits").alias("bits"))
-                side = side.where("main IS NULL OR cx != main").join(bits.select(F.col("s").alias("x"), F.col("bits").alias("bx")), "x")
-                other = other.drop("main").join(bits.select(F.col("s").alias("y"), F.col("bits").alias("by")), "y")
+                side = side.where("main IS NULL OR cx != main").join(self.side("x").drop("nx"), "x")
+                other = other.drop("main").join(self.side("y").drop("ny"), "y")
                 pairs = side.join(other, "h").where("cx != cy AND (cy <=> main OR x < y)").where(self.enough_bits())
             pairs = self.candidates(pairs)
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
+            if turn < rounds:  # few of the sets that share a shingle can link: no texts for the others
+                pairs = pairs.join(self.side("x"), "x").join(self.side("y"), "y").where(self.enough_bits()).select("a", "b", "x", "y")
             pairs = saved(pairs, "pairs")
             new = self.links(pairs.select("x", "y"))
             done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
