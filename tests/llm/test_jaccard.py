@@ -140,3 +140,21 @@ def test_texts_are_fetched_for_near_sets_only(spark, monkeypatch):
     found = jaccard_components(docs_of(spark, rows), rank_bits=1).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, found.collect()), key=repr) == brute(rows, 3, 90)
     assert asked == [2]
+
+
+def test_prefix_rows_without_a_fitting_set_are_dropped(spark):
+    """A shingle's sets of sizes too far apart leave no rows; every two sets that fit each other stay, copies once."""
+    from textlake.llm.jaccard_join import with_partners
+    rng = random.Random(4)
+    rows = [(1, 10 * k, 2 ** k, 0) for k in range(1, 8)] + [(2, 900, 100, 0), (2, 901, 100, 11), (3, 5, 40, 0), (3, 5, 40, 0)]
+    for h in range(10, 60):
+        for s in rng.sample(range(1000), rng.randrange(1, 7)):
+            n = rng.randrange(1, 60)
+            rows += [(h, s, n, rng.randrange(n - -(-9 * n // 10) + 1))] * rng.randrange(1, 3)
+    out = [tuple(r) for r in with_partners(spark.createDataFrame(rows, "h long, s long, n int, pos int").repartition(3), 90).collect()]
+
+    def fits(a, b):
+        return a[0] == b[0] and a[1] != b[1] and 190 * min(a[2] - a[3], b[2] - b[3]) >= 90 * (a[2] + b[2])
+    assert len(out) == len(set(out)) and set(out) <= set(rows)
+    assert {r for r in rows if any(fits(r, x) for x in rows)} <= set(out)
+    assert not [r for r in out if r[0] < 10]

@@ -8,7 +8,8 @@ Documents are sets of word shingles, known by 64-bit hashes. Two link when
    order shingles rare-first; being of fixed size they are broadcast.
 2. A second pass emits each set's prefix: its ``n - ceil(percent * n / 100) + 1``
    first shingles in that order. Sets that link share a prefix shingle.
-   Shingles with one set only are dropped by a count.
+   Shingles with one set only are dropped, and so are the rows of a shingle
+   that no other set of it fits by length and position.
 3. Sets that share a prefix shingle are candidates, subject to the length and
    the positional filter. Instead of all pairs of a shingle's sets, a round
    compares every set with one pivot of the shingle, verifies each pair once
@@ -218,6 +219,26 @@ def _with_keys(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
     return df.mapInArrow(lean(run), df.schema)
 
 
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Prefix rows (h, s, n, pos), once each, without most of those that no other set of the shingle fits.
+
+    By length and position, x and y fit where ``most`` of each is at least ``percent`` times the
+    other's size. In order of size, x has nothing to fit if all smaller sets fall short of its size and
+    its own ``most`` falls short of the next larger one; two sets that fit each other thus both stay.
+    """
+    of = Window.partitionBy("h").orderBy("n", "s")
+    # the shingles of one set only are most of all
+    rows = rows.withColumn("last", F.lag("s").over(of)).withColumn("next", F.lead("s").over(of))
+    rows = rows.where("(last IS NULL OR last != s) AND coalesce(last, next) IS NOT NULL").drop("last", "next")
+    n = F.col("n").cast("long")
+    most, asked = (100 + percent) * (n - F.col("pos")) - percent * n, percent * n
+    for _ in range(2):  # what fitted a dropped row only goes too
+        rows = rows.withColumn("smaller", F.max(most).over(of.rowsBetween(Window.unboundedPreceding, -1)))
+        rows = rows.withColumn("larger", F.lead(asked).over(of))
+        rows = rows.where((F.col("smaller") >= asked) | (F.col("larger") <= most)).drop("smaller", "larger")
+    return rows
+
+
 class _Join:
     """State of one join: the stored sets, prefixes of shared shingles, texts of candidates."""
 
@@ -230,11 +251,8 @@ class _Join:
         ranks = self.spark.sparkContext.broadcast(shingle_ranks(both.where("at IS NOT NULL").select("at", "counts"), bits))
         rows = docs.select("text").mapInArrow(lean(_prefixes(size, bits, percent, ranks)), "h long, s long, n int, pos int")
         all_rows = rows = saved(rows, "prefixes")
-        # a row for each shingle and set; the shingles of one set only are most of all. The rows are exchanged once
-        of = Window.partitionBy("h")
-        rows = rows.withColumn("lo", F.min("s").over(of)).withColumn("hi", F.max("s").over(of)).where("lo != hi")
-        rows = rows.groupBy("h", "s", "n", "pos").agg(F.count("*").alias("copies")).drop("copies")
-        self.rows = saved(rows, "shared-prefixes")
+        # a row for each shingle and set, if a link of it may start there. The rows are exchanged once
+        self.rows = saved(with_partners(rows, percent), "shared-prefixes")
         forget(all_rows)
         nodes = self.rows.select("s").distinct()
         one = self.sets.join(nodes, "s", "left_semi").groupBy("s").agg(F.min(F.struct("key", "n", "bits")).alias("one"))
