@@ -88,3 +88,39 @@ def test_files_are_ordered_by_their_numbers(spark):
     df = spark.createDataFrame([(x,) for x in names], "file string")
     got = [r.file for r in df.orderBy(K.file_number("file"), "file").collect()]
     assert got == [names[i] for i in (2, 4, 1, 0, 3)]
+
+
+def test_new_pieces_go_to_the_tokenizer_in_small_runs():
+    """A block of new words only is not encoded at once: the tokenizer's results are many times the size of the ids."""
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.asked = inner, []
+
+        def encode_batch_fast(self, pieces, **how):
+            self.asked.append(len(pieces))
+            return self.inner.encode_batch_fast(pieces, **how)
+    encoder = K.Encoder(PATH)
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    texts = [" ".join(f"{97 * k:x}z" for k in range(a, a + 20000)) for a in (0, 20000, 10000)] + ["", "a b"]
+    assert [x.tobytes() for x in encoder.encode_column(pa.array(texts))] == direct(texts)
+    assert sum(counted.asked) >= 40000 and max(counted.asked) <= 4096
+
+
+def test_the_writer_gets_its_texts_in_batches_of_few_bytes(spark, tmp_path, monkeypatch):
+    """Rows of long texts reach the kernel a few MB at a time; the session's setting stays as it was."""
+    def write(*how):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{b.num_rows} {b.nbytes}".encode()], pa.binary())], ["frame"])
+        return run
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, records = spark.conf.get(name), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(K, "_write", write)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        K.write_tokens(docs_of(spark, [(1, "some words " * 2000)] * 1000), str(tmp_path / "t"), PATH)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    got = [tuple(map(int, r.value.split())) for r in spark.read.text(str(tmp_path / "t")).collect()]
+    assert sum(n for n, _ in got) == 1000 and max(size for _, size in got) < 5 << 20
+    assert spark.conf.get(name) == before

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from textlake.session import scratch_path
 
 #: Text bytes that a kernel handles at once (a longer document goes alone).
 BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch inside ``small_batches``.
+BATCH_BYTES = 4 << 20
 #: White space between words: space and U+0009 to U+000D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]"
@@ -98,6 +101,22 @@ def lean(run: Callable, keeps: bool = False) -> Callable:
     return kernel
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python kernels that run inside get their rows in batches of BATCH_BYTES, or of one larger row.
+
+    The session's own limit is ten thousand rows, which with long texts are tens
+    of MB, held by the JVM and by the worker, once more for the batch that is on its way.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lean_group(run: Callable, tables: int = 1) -> Callable:
     """The same for a kernel of groups: a function of one or two tables that gives a table."""
     def given_back(*group: pa.Table) -> pa.Table:

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from textlake.session import scratch_path
 
-from .common import _BYTE_KEY, _pos_key, lean, mix64, resident, saved, slices, text_buffers
+from .common import _BYTE_KEY, _pos_key, lean, mix64, resident, saved, slices, small_batches, text_buffers
 
 END_ID = 2
 FRAME_IDS = 1 << 18
@@ -51,6 +51,9 @@ _FOOT = struct.Struct("<IQ3s")
 _FOOT_MAGIC = b"TKF"
 #: Text bytes whose pieces are counted together.
 BLOCK_BYTES = 3 << 19
+#: Text bytes that are encoded together, and new pieces that the tokenizer gets at once: what a task holds beside its memory of pieces.
+ENCODE_BYTES = 1 << 19
+LEARN_PIECES = 1 << 12
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 
@@ -78,7 +81,7 @@ class Encoder:
     A text is cut into pieces whose ids do not depend on each other: before
     each single space between two characters that are certainly no white
     space. Pieces are known by 64-bit hashes in a sorted array with their ids
-    in one flat array, so ``limit`` pieces take some 30 bytes each; beyond it
+    in one flat array, so ``limit`` pieces take some 40 bytes each; beyond it
     the memory starts anew with the block at hand.
     """
 
@@ -92,15 +95,20 @@ class Encoder:
         self.known, self.at, self.size = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Add new pieces (ascending hashes)."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+    def _learn(self, hashes: np.ndarray, raw: bytes, cuts: list[tuple[int, int]]) -> None:
+        """Add new pieces (ascending hashes), those of the places ``cuts`` of ``raw``."""
+        sizes, ids = [], [self.ids]
+        for k in range(0, len(cuts), LEARN_PIECES):  # the tokenizer's results are many times larger than the ids in them
+            pieces = [raw[x:y].decode("utf-8") for x, y in cuts[k:k + LEARN_PIECES]]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        self.ids = np.concatenate(ids)
         place = np.searchsorted(self.known, hashes)
-        self.known, self.at, self.size = (np.insert(old, place, new) for old, new in
-                                          ((self.known, hashes), (self.at, at), (self.size, size)))
+        for name, new in (("known", hashes), ("at", at), ("size", size)):  # one array after the other is copied
+            setattr(self, name, np.insert(getattr(self, name), place, new))
 
     def encode_block(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (u32) of all documents of a block of text bytes, and where each begins."""
@@ -113,9 +121,8 @@ class Encoder:
             self._clear()
             new[:] = True
         if new.any():
-            raw = buf.tobytes()
-            cuts = [(starts[i], starts[i] + lens[i]) for i in first[new]]
-            self._learn(unique[new], [raw[x:y].decode("utf-8") for x, y in cuts])
+            begins = starts[first[new]]
+            self._learn(unique[new], buf.tobytes(), list(zip(begins.tolist(), (begins + lens[first[new]]).tolist())))
         place = np.searchsorted(self.known, unique)[inverse]
         size = self.size[place]
         ends = np.cumsum(size)
@@ -133,7 +140,7 @@ class Encoder:
     def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of an Arrow column."""
         buf, off = text_buffers(texts)
-        for i, j in slices(off, BLOCK_BYTES):
+        for i, j in slices(off, ENCODE_BYTES):
             ids, per = self.encode_block(buf[off[i]:off[j]], off[i:j + 1] - off[i])
             for a, b in zip(per[:-1], per[1:]):
                 yield ids[a:b]
@@ -220,7 +227,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, doc_id: str = "doc_i
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange(files, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     frames = rows.mapInArrow(lean(_write(tokenizer, end_id, frame_ids), keeps=True), "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(out)
+    with small_batches(spark):
+        frames.select(F.col("frame").cast("string")).write.option("lineSep", "\n").text(out)
 
 
 def read_tokens(spark: SparkSession, path: str, only: list[int] | None = None) -> DataFrame:
