@@ -146,7 +146,7 @@ def test_prefix_rows_without_a_fitting_set_are_dropped(spark):
     """A shingle's sets of sizes too far apart leave no rows; every two sets that fit each other stay, copies once."""
     from textlake.llm.jaccard_join import with_partners
     rng = random.Random(4)
-    rows = [(1, 10 * k, 2 ** k, 0) for k in range(1, 8)] + [(2, 900, 100, 0), (2, 901, 100, 11), (3, 5, 40, 0), (3, 5, 40, 0)]
+    rows = [(1, 10 * k, 2 ** k, 0) for k in range(1, 8)] + [(2, 900, 100, 0), (2, 901, 120, 0), (3, 5, 40, 0), (3, 5, 40, 0)]
     for h in range(10, 60):
         for s in rng.sample(range(1000), rng.randrange(1, 7)):
             n = rng.randrange(1, 60)
