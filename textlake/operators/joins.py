@@ -13,16 +13,19 @@ BROADCAST_BYTE_BOUND = 64 * 1024 * 1024
 _VARIABLE = ("string", "binary", "array", "map", "struct")
 
 
-def bounded_broadcast(df: DataFrame, rows_bound: int | None, text_bytes: int = 64) -> DataFrame:
-    """Broadcast hint only behind a proven bound in bytes.
+def within_bound(df: DataFrame, rows_bound: int | None, text_bytes: int = 64) -> bool:
+    """Whether :func:`bounded_broadcast` gives the hint.
 
     A row counts 16 bytes a fixed-width column and ``text_bytes`` a column of
     variable width (ids and terms; long texts need their own bound).
     """
     width = sum(text_bytes if t.startswith(_VARIABLE) else 16 for _, t in df.dtypes)
-    if rows_bound is not None and rows_bound * width <= BROADCAST_BYTE_BOUND:
-        return F.broadcast(df)
-    return df
+    return rows_bound is not None and rows_bound * width <= BROADCAST_BYTE_BOUND
+
+
+def bounded_broadcast(df: DataFrame, rows_bound: int | None, text_bytes: int = 64) -> DataFrame:
+    """Broadcast hint only behind a proven bound in bytes (:func:`within_bound`)."""
+    return F.broadcast(df) if within_bound(df, rows_bound, text_bytes) else df
 
 
 def not_yet_stored(candidates: DataFrame, stored: DataFrame, key: str,

@@ -16,11 +16,18 @@ Where only the best documents of each query are wanted, :func:`bm25_top` never
 makes a row of a (query, document) pair: a document is one row of term numbers
 and counts, and tiles of documents are scored against all queries at once.
 
+Where pairs are given (rerank), :func:`_pair_scores` never makes a row of a
+(pair, term): candidate documents and queries are one packed row each, and a
+pair is one row that carries its document's.
+
 A neural scorer plugs in through :func:`score_pairs_with` (Arrow batches).
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,8 +37,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from textlake.functions.packing import pack, unpack
 from textlake.functions.text import fold
-from textlake.operators.joins import bounded_broadcast
+from textlake.operators.joins import bounded_broadcast, within_bound
 from textlake.operators.partitioning import spread_small
 from textlake.session import materialize
 from textlake.params import BM25_B, BM25_K1
@@ -43,6 +51,13 @@ TABLE_CELLS = 1 << 23
 TILE_BYTES = 16 << 20
 #: Documents whose terms are looked up at once.
 _LOOKUP_ROWS = 512
+#: Query terms that one table in every task may number; more are scored in as many turns as they need.
+VOCABULARY_TERMS = 1 << 22
+#: Packed bytes of pairs in a partition, and those that its task unpacks at once.
+PAIR_PART_BYTES = 16 << 20
+PAIR_RUN_BYTES = 1 << 20
+#: Terms that are looked up at once (a longer document goes alone).
+_LOOKUP_TERMS = 1 << 19
 
 
 def terms(c: Column) -> Column:
@@ -89,11 +104,16 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     """``query_id, doc_id, score`` for every matching (query, doc) pair.
 
     ``candidates`` (``query_id, doc_id``) restricts scoring to retrieved
-    pairs (rerank); corpus statistics always come from all of ``docs``.
-    The query-term table is bounded by the number of queries; when that
-    count is known it is broadcast explicitly, otherwise the optimizer's
-    size-checked broadcast applies. ``doc_id`` is a key of ``docs``.
+    pairs (rerank, by :func:`_pair_scores`; they are counted, so
+    ``candidates_bound`` is not needed); corpus statistics always come from
+    all of ``docs``. The query-term table is bounded by the number of
+    queries; when that count is known it is broadcast explicitly, otherwise
+    the optimizer's size-checked broadcast applies. ``doc_id`` is a key of
+    ``docs``.
     """
+    if candidates is not None:
+        return _pair_scores(queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("_x")),
+                            docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_x")), candidates, k1, b)
     qt = query_terms(queries, query_id, query_text)
     # exact size of the (query, term) table: the broadcast bound is counted,
     # not assumed (long queries have many terms)
@@ -109,15 +129,8 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     post = table.where(F.col("term").isNotNull())
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    if candidates is None:
-        # term-at-a-time over the whole corpus: postings x query terms
-        m = post.repartition("doc_id").join(bounded_broadcast(qt, bound), "term")
-    else:
-        # rerank: start from the retrieved pairs (queries x k), so a term
-        # shared by many queries never multiplies the postings of all docs
-        pairs = bounded_broadcast(candidates.select("query_id", "doc_id"), candidates_bound)
-        m = post.join(pairs, "doc_id") \
-                .join(bounded_broadcast(qt, bound), ["query_id", "term"], "left_semi")
+    # term-at-a-time over the whole corpus: postings x query terms
+    m = post.repartition("doc_id").join(bounded_broadcast(qt, bound), "term")
     # a document's postings meet in one partition (they are few: query terms
     # only), so its scores are summed there and top_n cuts them before the
     # one exchange of candidates; the (query, document) pairs never move
@@ -127,6 +140,188 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query_id: str = "query_id",
     return m.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+def _runs(sizes: np.ndarray, most: int):
+    """Bounds of runs of rows whose sizes add up to ``most``, or of one larger row."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def _counted(row: np.ndarray, number: np.ndarray, count: np.ndarray, n_rows: int, n_terms: int) -> pa.Array:
+    """Packed column of ``n_rows`` rows with the counts of equal (row, number) added up."""
+    keys, place = np.unique(row * n_terms + number, return_inverse=True)
+    sizes = np.diff(np.searchsorted(keys, np.arange(n_rows + 1, dtype=np.int64) * n_terms))
+    return pack(sizes, keys % n_terms, np.bincount(place, count, len(keys)).astype(np.int64))
+
+
+def _numbered(table):
+    """``mapInArrow`` kernel: a text's hashed terms as one packed row of term numbers and counts.
+
+    ``table`` has the hashes of the vocabulary in order, and their numbers.
+    """
+    def run(batches):
+        hashes, numbers = table.value
+        for whole in batches:
+            n = pc.fill_null(pc.list_value_length(whole.column("_h")), 0).to_numpy(zero_copy_only=False)
+            for at, to in _runs(n, _LOOKUP_TERMS):
+                b, size = whole.slice(at, to - at), n[at:to]
+                found, place = np.unique(b.column("_h").flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                spot = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+                number = np.where(hashes[spot] == found, numbers[spot], -1)[place]
+                known = number >= 0
+                row = np.repeat(np.arange(len(size), dtype=np.int64), size)[known]
+                packed = _counted(row, number[known], np.ones(len(row)), len(size), len(hashes))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("dl"), packed], ["id", "dl", "packed"])
+    return run
+
+
+def _merged(n_terms: int):
+    """``mapInArrow`` kernel: packed rows of one document and length, and how often each comes, as one packed row."""
+    def run(batches):
+        for whole in batches:
+            lists = whole.column("packed")
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            part, number, count = unpack(lists.flatten())
+            row = np.repeat(np.arange(len(size), dtype=np.int64), size)[part]
+            count = count * whole.column("n").flatten().to_numpy(zero_copy_only=False)[part]
+            packed = _counted(row, number, count, len(size), n_terms)
+            yield pa.RecordBatch.from_arrays([whole.column("id"), whole.column("dl"), packed], ["id", "dl", "packed"])
+    return run
+
+
+def _scored_pairs(table, avgdl: float, k1: float, b: float):
+    """``mapInArrow`` kernel: ``query_id, doc_id, score`` of each pair that shares terms.
+
+    Rows come by query: first its own (``times`` is 0), then its documents,
+    each with its packed terms; ``times`` is how often the pair was given. A
+    query's terms are kept from batch to batch.
+    """
+    def run(batches):
+        idf = table.value
+        n_terms, query, held = len(idf), None, np.zeros(0, np.int64)
+        for whole in batches:
+            for at, to in _runs(pc.binary_length(whole.column("packed")).to_numpy(), PAIR_RUN_BYTES):
+                part, n = whole.slice(at, to - at), to - at
+                ids, times = part.column("query_id"), part.column("times").to_numpy()
+                new = np.ones(n, bool)
+                new[0] = ids[0].as_py() != query
+                new[1:] = pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                group = np.cumsum(new)  # 0 goes on from the rows before
+                row, number, tf = unpack(part.column("packed"))
+                key, asks = group[row] * n_terms + number, times[row] == 0
+                asked = np.unique(np.append(held, key[asks]))
+                query, lo = ids[n - 1].as_py(), group[-1] * n_terms
+                held = asked[np.searchsorted(asked, lo):] - lo
+                if not len(asked):
+                    continue
+                row, number, tf, key = (x[~asks] for x in (row, number, tf, key))
+                met = asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key
+                row, number, tf = row[met], number[met], tf[met]
+                if not len(row):
+                    continue
+                dl = part.column("dl").fill_null(0).to_numpy(zero_copy_only=False)[row]
+                gain = idf[number] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) * times[row]
+                score, kept = np.bincount(row, gain, n), np.bincount(row, minlength=n) > 0
+                mask = pa.array(kept)
+                yield pa.RecordBatch.from_arrays([ids.filter(mask), part.column("doc_id").filter(mask), pa.array(score[kept])],
+                                                 ["query_id", "doc_id", "score"])
+    return run
+
+
+def _pair_scores(queries: DataFrame, docs: DataFrame, candidates: DataFrame, k1: float, b: float) -> DataFrame:
+    """:func:`bm25` of given pairs: ``query_id, doc_id, score``; a pair that is given twice counts twice.
+
+    One pass over all texts counts the documents of each query term. Candidate
+    documents and queries are then packed where they lie (term numbers and
+    counts, some two bytes an entry); pairs fetch their document's packed row
+    and meet their query's. So texts are never exchanged, and what is grows
+    with pairs, not with pairs x terms. Terms are known by 64-bit hashes that
+    are checked to differ. Rows of one ``doc_id`` and length are one document.
+    """
+    spark = docs.sparkSession
+    pairs = materialize(candidates.where("query_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("query_id", "doc_id")
+                        .agg(F.count(F.lit(1)).cast("int").alias("times")))
+    kinds = {c: pairs.schema[c].dataType for c in ("query_id", "doc_id")}
+    queries = queries.withColumn("query_id", F.col("query_id").cast(kinds["query_id"]))
+    asking, wanted = (materialize(pairs.select(c).distinct()) for c in ("query_id", "doc_id"))
+
+    def listed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows of these ids if that takes no exchange of texts, else all rows."""
+        n = ids.count()
+        return rows.join(bounded_broadcast(ids, n), ids.columns[0], "left_semi") if within_bound(ids, n) else rows
+
+    def split(rows: DataFrame, key: str) -> DataFrame:
+        return spread_small(rows).select(F.col(key).alias("id"), terms(F.col("_x")).alias("_t"))
+
+    asked, hit = split(listed(queries, asking), "query_id"), split(listed(docs, wanted), "doc_id")
+    every = split(docs, "doc_id").select("id", F.size("_t").alias("dl"), F.array_distinct("_t").alias("_t"))
+
+    # one row a term with its number of documents, and (term NULL) one a document id with its number of rows
+    own = F.coalesce(F.concat(F.array(F.lit(None).cast("string")), "_t"), F.array(F.lit(None).cast("string")))
+    corpus = every.select("id", "dl", F.explode(own).alias("term"))
+    alone = lambda c: F.when(F.col("term").isNull(), F.col(c)).alias(c)
+    corpus = corpus.select("term", alone("id"), alone("dl"), F.lit(1).alias("n"), F.lit(0).alias("asked"))
+    want = asked.select(F.explode(F.array_distinct("_t")).alias("term"), F.lit(None).cast(corpus.schema["id"].dataType).alias("id"),
+                        F.lit(None).cast("int").alias("dl"), F.lit(0).alias("n"), F.lit(1).alias("asked"))
+    seen = materialize(corpus.unionByName(want).groupBy("term", "id").agg(
+        F.sum("n").alias("n"), F.max("asked").alias("asked"), F.max("dl").alias("dl")).where("term IS NULL OR asked = 1 AND n > 0"))
+    n_docs, avgdl, n_again = seen.where("term IS NULL").agg(F.count(F.lit(1)), F.avg("dl"), F.count_if(F.col("n") > 1)).first()
+    vocabulary = seen.where("term IS NOT NULL").select("term", "n")
+    if n_again:  # rows of one id and length count once
+        again = bounded_broadcast(seen.where("term IS NULL AND n > 1").select(F.col("id").alias("_id")), n_again)
+        rows = every.join(again, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("id", "dl", F.explode("_t").alias("term"))
+        more = rows.groupBy("id", "dl", "term").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0")
+        more = more.groupBy("term").agg(F.sum("more").alias("more"))
+        vocabulary = materialize(vocabulary.join(more, "term", "left")
+                                 .select("term", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n")))
+    seed = 0
+    while True:
+        hashed = lambda c: F.xxhash64(F.lit(seed), c)
+        n_terms, n_hashes = vocabulary.agg(F.count(F.lit(1)), F.count_distinct(hashed("term"))).first()
+        if n_terms == n_hashes:
+            break
+        seed += 1
+
+    entries = lambda kind: T.StructType([T.StructField("id", kind), T.StructField("dl", T.IntegerType()),
+                                         T.StructField("packed", T.BinaryType())])
+    scores = T.StructType([T.StructField("query_id", kinds["query_id"]), T.StructField("doc_id", docs.schema["doc_id"].dataType),
+                           T.StructField("score", T.DoubleType())])
+
+    def packed(rows: DataFrame, table) -> DataFrame:
+        rows = rows.select("id", F.size("_t").alias("dl"), F.transform("_t", hashed).alias("_h"))
+        return rows.mapInArrow(_numbered(table), entries(rows.schema["id"].dataType)).where(F.length("packed") > 0)
+
+    turns, found = -(-n_terms // VOCABULARY_TERMS), []
+    for turn in range(turns):
+        part = vocabulary.select(hashed("term").alias("h"), "n").where(F.pmod("h", F.lit(turns)) == turn).toArrow()
+        if not part.num_rows:
+            continue
+        hashes, df = part["h"].to_numpy(), part["n"].to_numpy()
+        often, numbers, by = np.argsort(-df, kind="stable"), np.empty(len(df), np.int32), np.argsort(hashes)
+        numbers[often] = np.arange(len(df))  # frequent terms have small numbers, so small gaps
+        table = spark.sparkContext.broadcast((hashes[by], numbers[by]))
+        idf = spark.sparkContext.broadcast(np.log((n_docs - df[often] + 0.5) / (df[often] + 0.5) + 1.0))
+        theirs = materialize(packed(hit, table))
+        if n_again:
+            theirs = theirs.groupBy("id", "dl", "packed").agg(F.count(F.lit(1)).alias("n")) \
+                .groupBy("id", "dl").agg(F.collect_list(F.struct("packed", "n")).alias("p")).select("id", "dl", "p.packed", "p.n")
+            theirs = theirs.mapInArrow(_merged(len(df)), entries(hit.schema["id"].dataType))
+        mean = theirs.agg(F.avg(F.length("packed"))).first()[0] or 0
+        met = pairs.join(theirs.withColumnRenamed("id", "doc_id"), "doc_id").select("query_id", scores["doc_id"].name, "times", "dl", "packed")
+        ours = packed(asked, table).select(F.col("id").alias("query_id"), F.lit(None).cast(scores["doc_id"].dataType).alias("doc_id"),
+                                           F.lit(0).alias("times"), F.lit(None).cast("int").alias("dl"), "packed")
+        ours = ours.join(bounded_broadcast(asking, asking.count()), "query_id", "left_semi")
+        n_parts = max(spark.sparkContext.defaultParallelism, math.ceil(mean * pairs.count() / PAIR_PART_BYTES))
+        rows = met.unionByName(ours).repartition(n_parts, "query_id").sortWithinPartitions("query_id", "times")
+        rows = rows.mapInArrow(_scored_pairs(idf, avgdl, k1, b), scores)
+        found.append(rows if turns == 1 else materialize(rows))
+    if not found:
+        return spark.createDataFrame([], scores)
+    return reduce(DataFrame.unionByName, found).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
 def top_n(scored: DataFrame, n: int, group: str = "query_id", score: str = "score",
           tie: str = "doc_id", name: str = "rank") -> DataFrame:
     """Top-n per group by (score desc, tie asc); 1-based ``rank``."""

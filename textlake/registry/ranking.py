@@ -91,14 +91,9 @@ def rank_rerank_hits(t):
     text against each hit's text; position 0 is best, the first four stay."""
     q = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
     hits = retrieve(q, t.embeddings, Params(), min_score=-2.0, exclude_same_id=True, materialize=True)
-    qtext = t.documents.join(hits.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id",
-                             "left_semi") \
-        .select(F.col("doc_id").alias("query_id"), "text")
+    qtext = t.documents.select(F.col("doc_id").alias("query_id"), "text")  # those that were asked are taken of them
     cand = hits.select("query_id", F.col("vec_id").alias("doc_id"))
-    n_q = q.count()
-    s = R.bm25(qtext, t.documents, candidates=cand, n_queries=n_q,
-               candidates_bound=n_q * Params().top_k) \
-        .withColumn("score", F.round("score", 6))
+    s = R.bm25(qtext, t.documents, candidates=cand).withColumn("score", F.round("score", 6))
     out = R.rerank(hits.select("query_id", "vec_id", "rank"), s, RERANK_KEPT)
     return out.select("query_id", "vec_id", "rank", "rerank_score",
                       F.col("rank_pos").cast("long").alias("rank_pos"))
