@@ -25,6 +25,7 @@ A neural scorer plugs in through :func:`score_pairs_with` (Arrow batches).
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -276,13 +277,11 @@ def _pair_scores(queries: DataFrame, docs: DataFrame, candidates: DataFrame, k1:
         more = more.groupBy("term").agg(F.sum("more").alias("more"))
         vocabulary = materialize(vocabulary.join(more, "term", "left")
                                  .select("term", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n")))
-    seed = 0
-    while True:
-        hashed = lambda c: F.xxhash64(F.lit(seed), c)
+    for seed in itertools.count():
+        hashed = lambda c, seed=F.lit(seed): F.xxhash64(seed, c)
         n_terms, n_hashes = vocabulary.agg(F.count(F.lit(1)), F.count_distinct(hashed("term"))).first()
         if n_terms == n_hashes:
             break
-        seed += 1
 
     entries = lambda kind: T.StructType([T.StructField("id", kind), T.StructField("dl", T.IntegerType()),
                                          T.StructField("packed", T.BinaryType())])
@@ -290,7 +289,7 @@ def _pair_scores(queries: DataFrame, docs: DataFrame, candidates: DataFrame, k1:
                            T.StructField("score", T.DoubleType())])
 
     def packed(rows: DataFrame, table) -> DataFrame:
-        rows = rows.select("id", F.size("_t").alias("dl"), F.transform("_t", hashed).alias("_h"))
+        rows = rows.select("id", F.size("_t").alias("dl"), F.transform("_t", lambda x: hashed(x)).alias("_h"))
         return rows.mapInArrow(_numbered(table), entries(rows.schema["id"].dataType)).where(F.length("packed") > 0)
 
     turns, found = -(-n_terms // VOCABULARY_TERMS), []
@@ -309,14 +308,21 @@ def _pair_scores(queries: DataFrame, docs: DataFrame, candidates: DataFrame, k1:
                 .groupBy("id", "dl").agg(F.collect_list(F.struct("packed", "n")).alias("p")).select("id", "dl", "p.packed", "p.n")
             theirs = theirs.mapInArrow(_merged(len(df)), entries(hit.schema["id"].dataType))
         mean = theirs.agg(F.avg(F.length("packed"))).first()[0] or 0
-        met = pairs.join(theirs.withColumnRenamed("id", "doc_id"), "doc_id").select("query_id", scores["doc_id"].name, "times", "dl", "packed")
-        ours = packed(asked, table).select(F.col("id").alias("query_id"), F.lit(None).cast(scores["doc_id"].dataType).alias("doc_id"),
+        doc_kind = scores["doc_id"].dataType
+        met = pairs.join(theirs.withColumnRenamed("id", "doc_id"), "doc_id") \
+            .select("query_id", F.col("doc_id").cast(doc_kind).alias("doc_id"), "times", "dl", "packed")
+        ours = packed(asked, table).select(F.col("id").alias("query_id"), F.lit(None).cast(doc_kind).alias("doc_id"),
                                            F.lit(0).alias("times"), F.lit(None).cast("int").alias("dl"), "packed")
         ours = ours.join(bounded_broadcast(asking, asking.count()), "query_id", "left_semi")
         n_parts = max(spark.sparkContext.defaultParallelism, math.ceil(mean * pairs.count() / PAIR_PART_BYTES))
         rows = met.unionByName(ours).repartition(n_parts, "query_id").sortWithinPartitions("query_id", "times")
         rows = rows.mapInArrow(_scored_pairs(idf, avgdl, k1, b), scores)
-        found.append(rows if turns == 1 else materialize(rows))
+        if turns == 1:
+            found.append(rows)
+        else:  # the next turn's tables take the place of these
+            found.append(materialize(rows))
+            table.unpersist()
+            idf.unpersist()
     if not found:
         return spark.createDataFrame([], scores)
     return reduce(DataFrame.unionByName, found).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
